@@ -27,16 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the table read back and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     It cuts the lineage and pins the rows: an executor lost later costs a read,
     not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_at(df, name)[0]
 
 
 def text_or_empty(column: str = "text") -> Column:
