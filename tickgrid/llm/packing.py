@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(places(configurations(histogram, capacity)), "length long, lo long, hi long, each long, first long, at long")
     before = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("own", own).join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("base") + F.col("own"))
+    ranked = pieces.withColumn("own", own).join(before, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own"))
     k = F.col("rank") - F.col("lo")
     placed = ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("r.*", (F.col("first") + F.expr("(rank - lo) div each")).alias("sequence_id"), (F.col("at") + k % F.col("each") * F.col("r.length")).alias("offset")).drop("part", "own", "base", "rank")
