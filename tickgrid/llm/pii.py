@@ -230,7 +230,8 @@ def spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, the number of spans of each base kind, ``base_sha256`` and ``spans`` for every row."""
     tagged = _annotated_ids(docs)
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of_kind = lambda k: F.filter("pii", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return tagged.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
 
 
