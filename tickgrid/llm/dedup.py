@@ -10,14 +10,15 @@ and rows that differ in spite of an equal digest are grouped by their whole text
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickgrid.llm.common import WHITE_SPACE, shared_dir, text_or_empty, written, written_at
 
-#: A digest held by more rows than this is dealt out over several tasks when bytes are compared.
-SALT_ROWS = 2000
+#: Bits of the bitmap that tells which digests were hit; at most 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 #: How much of the digest table one micro-batch reads at most.
 BATCH_BYTES = 16 << 30
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,10 +29,14 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), f"{WHITE_SPACE}+", " ")
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """One row per (document, digest), with the number of such rows and where the text lies."""
-    rows = docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("digest"), F.input_file_name().alias("locator"))
-    return rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.min("locator").alias("locator"))
+def sha256(body: Column) -> Column:
+    return F.sha2(body.cast("binary"), 256)
+
+
+def _digests(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per document, digest and SHA-256, with the number of such rows and where the text lies."""
+    rows = docs.select("doc_id", digest(normalised()).alias("digest"), sha256(normalised()).alias("text_sha256"), F.input_file_name().alias("locator"))
+    return rows.groupBy("doc_id", "digest", "text_sha256").agg(F.count("*").alias("n"), F.min("locator").alias("locator"))
 
 
 def first_seen(digests: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -42,8 +47,11 @@ def first_seen(digests: DataFrame, path: str, files_per_batch: int | None = None
     spark = digests.sparkSession
     out = f"{shared_dir(spark)}/first-seen-{uuid.uuid4().hex}"
     limit = {"maxFilesPerTrigger": str(files_per_batch)} if files_per_batch else {"maxBytesPerTrigger": str(BATCH_BYTES)}
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Disk for the state is taken as it is needed, not in advance: there is one store for each partition.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         entry = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
         state = spark.readStream.schema(digests.schema).options(**limit).parquet(path).groupBy("digest").agg(F.min(entry).alias("entry"), F.sum("n").alias("group_size"))
@@ -56,63 +64,74 @@ def first_seen(digests: DataFrame, path: str, files_per_batch: int | None = None
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, entry struct<unnamed: boolean, doc_id: long, locator: string>, group_size long, epoch int"
     changes = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/epoch=*")
     last = changes.groupBy("digest").agg(F.max_by("entry", "epoch").alias("entry"), F.max("group_size").alias("group_size"))
     return last.select("digest", F.col("entry.doc_id").alias("keep_id"), F.col("entry.locator").alias("keep_locator"), "group_size")
 
 
-def _compared(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits ``(doc_id, digest, keep_id, group_size)`` whose bytes differ from the row that stays.
+def _slot(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+
+
+def _hit_texts(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """``doc_id, digest, body`` of all documents whose digest is a hit, and of few others.
+
+    A bitmap of fixed size over the hits' digests, broadcast, keeps most other texts from
+    being shuffled; rows that pass it by chance do no harm.
+    """
+    slot = _slot(F.col("digest"))
+    bits = hits.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    texts = docs.select("doc_id", normalised().alias("body")).withColumn("digest", digest(F.col("body")))
+    position = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(position div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    texts = texts.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("position", position).join(F.broadcast(bits), "bucket")
+    return texts.filter(F.floor(byte / F.pow(F.lit(2), F.col("position") % 8)) % 2 == 1).select("doc_id", "digest", "body")
+
+
+def _unlike(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """All rows of those digests that different texts share, by comparing the full bytes of every hit.
 
-    The row that stays is copied once for every SALT_ROWS members, so a group of any
-    size is compared in many tasks.
+    Minimum and maximum of the bytes are taken on the map side first, so that a group of
+    copies of any size sends one text from each task.
     """
-    parts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    keepers = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), "doc_id")
-    members = hits.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("salt"), "doc_id")
-    wanted = keepers.withColumn("role", F.lit(0)).unionByName(members.withColumn("role", F.lit(1)))
-    texts = docs.select(F.col("doc_id").alias("id"), normalised().alias("body"))
-    full = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).filter(F.sha2(F.col("body").cast("binary"), 256) == F.col("digest"))
-    kept = full.filter("role = 0").groupBy("digest", "salt").agg(F.first("body").alias("kept_body"))
-    return full.filter("role = 1").join(kept, ["digest", "salt"]).filter("body <> kept_body").select("doc_id", "digest", "body")
+    full = _hit_texts(docs, hits, digest)
+    suspects = written(full.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "suspects")
+    if suspects.isEmpty():
+        return suspects.select(F.lit(None).cast("long").alias("doc_id"), "digest", F.lit("").alias("body"))
+    return full.join(suspects, "digest", "left_semi")
 
 
-def exact_groups(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, files_per_batch: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs(doc_id, text)``.
 
     Texts are equal when identical after each run of white space becomes one space;
     null counts as empty. The row with the smallest doc_id stays, null ids last; of
     fully repeated rows exactly one is kept. An empty table gives an empty one; other
-    columns are ignored.
+    columns are ignored. ``digest`` only decides which rows are compared.
     """
-    digests, path = written_at(_digests(docs), "digests")
+    digests, path = written_at(_digests(docs, digest), "digests")
     if digests.isEmpty():
-        return digests.select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
+        return digests.select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     state = written(first_seen(digests, path, files_per_batch), "groups")
+    hits = state.filter("group_size > 1").select("digest")
+    unlike = written(_unlike(docs, hits, digest), "unlike")
     groups = digests.join(state, "digest")
-    # A digest of one document needs no comparison.
-    hits = groups.filter(F.col("group_size") > F.col("n")).select("doc_id", "digest", "keep_id", "group_size")
-    unlike = written(_compared(docs, hits), "unlike")
-    if not unlike.isEmpty():  # two texts with one SHA-256 digest
-        apart = unlike.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size"))
-        moved = unlike.join(apart, ["digest", "body"]).select("doc_id", "digest", "own_keep", "own_size")
-        lost = moved.groupBy("digest").agg(F.count("*").alias("lost"))
-        groups = groups.join(moved, ["doc_id", "digest"], "left").join(lost, "digest", "left")
-        groups = groups.withColumn("group_size", F.coalesce("own_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))).withColumn("keep_id", F.coalesce("own_keep", "keep_id"))
+    if not unlike.isEmpty():  # different texts with one digest: their rows are grouped by the whole text
+        by_text = unlike.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size"))
+        sized = by_text.select("digest", sha256(F.col("body")).alias("text_sha256"), "own_keep", "own_size")
+        groups = groups.join(sized, ["digest", "text_sha256"], "left")
+        groups = groups.withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_keep"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
     copy = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
     return groups.select("*", copy).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256")
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per group of equal texts, with the columns of ``docs``."""
     kept = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
-    digest = F.sha2(normalised().cast("binary"), 256)
-    rows = docs.withColumn("__digest", digest).join(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    rows = docs.withColumn("__digest", sha256(normalised())).join(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
     return rows.drop("__digest")

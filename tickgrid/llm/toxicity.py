@@ -20,17 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.common import text_or_empty
+from tickgrid.llm.common import text_or_empty, written
 
 #: Subsequences span at most SPAN places; DECAY is what each place costs; longer strings are read in overlapping parts.
 SPAN, DECAY, PART = 7, 0.7, 16
 LETTERS = 27
-#: The bound on labelled documents that a model is fitted on, and on words that reach the driver.
-SAMPLE_DOCS, WITNESSES, BENIGN = 20_000, 64, 6_000
-LANDMARKS, MIN_DOCS = 96, 3
-#: A witness must be this much likelier (log odds) in toxic documents.
-MIN_ODDS = 3.0
+#: The bound on labelled documents that a model is fitted on, and on strings that reach the driver.
+SAMPLE_DOCS, CANDIDATES, BENIGN = 10_000, 2_000, 6_000
+LANDMARKS = 96
+#: A witness starts words of this share of the toxic documents (and of so many), and is this much likelier there (log odds).
+MIN_SHARE, MIN_DOCS, MIN_ODDS = 0.015, 4, 3.0
+#: Lengths of word beginnings that are looked at; a stem may be followed by any ending.
+STEMS = range(4, 13)
 THRESHOLD = 0.3
+#: Words and stems that a task remembers before it starts anew.
+MEMORY = 400_000
 
 #: Digits and signs often written for letters (fixed values).
 LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
@@ -54,8 +58,9 @@ def units(text: str) -> set[str]:
 
 
 def parts(unit: str) -> list[str]:
-    """A unit, in overlapping parts where it is long."""
-    return [unit[i : i + PART] for i in range(0, max(1, len(unit) - PART // 2), PART // 2)]
+    """A unit's beginnings, which may be stems, and the unit, in overlapping parts where it is long."""
+    whole = [unit[i : i + PART] for i in range(0, max(1, len(unit) - PART // 2), PART // 2)]
+    return [unit[:n] for n in STEMS if n < min(len(unit), PART)] + whole
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -110,7 +115,7 @@ def vectors(strings: list[str]) -> np.ndarray:
 
 def margins(strings: list[str], beta: np.ndarray, bias: float) -> np.ndarray:
     """The SVM's margin for each string, through the folded weights."""
-    out = np.full(len(strings), bias)
+    out = np.full(len(strings), bias, np.float64)
     for places, block in by_length(strings):
         number, weight = subsequences(block)
         out[places] += (beta[number] * weight).sum(1) / np.maximum(np.sqrt((weight**2).sum(1)), 1e-9)
@@ -154,54 +159,59 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS)
     n = labelled.count()
     if n > sample:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < sample)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(labelled, "doc_id")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(labelled, "doc_id")
+    # Copies would make any of their words look telling: of texts that begin alike one is taken.
+    return rows.withColumn("start", F.substring("text", 1, 64)).dropDuplicates(["start", "toxic"]).drop("start")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     """Train on the labelled sample: folded weights, their bias, and the scale from margins to scores."""
-    rows = training_rows(docs, labels, sample)
-    # A witness is a word of the sentences of toxic documents that benign ones rarely hold.
+    rows = written(training_rows(docs, labels, sample), "labelled")
+    # A witness begins words in the sentences of toxic documents and hardly any in benign ones.
     sentences = F.explode(F.split(F.lower("text"), _SENTENCE)).alias("sentence")
-    seen = rows.select("doc_id", "toxic", sentences).select("doc_id", "toxic", F.explode(F.split("sentence", r"\s+")).alias("word"))
-    seen = seen.select("doc_id", "toxic", F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("word")).filter("word <> ''").distinct()
-    words = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    words = rows.select("doc_id", "toxic", sentences).select("doc_id", "toxic", F.explode(F.split("sentence", r"\s+")).alias("word"))
+    word = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    words = written(words.select("doc_id", "toxic", word.alias("word")).filter("word <> ''").distinct(), "words")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     n_bad, n_good = int(totals[0]), int(totals[1])
     empty = {"beta": np.zeros(LETTERS**3), "bias": -1.0, "scale": (1.0, 0.0)}
     if not n_bad or not n_good:
         return empty
-    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    words = words.withColumn("odds", odds)
-    witnesses = [r.word for r in words.filter((F.col("bad") >= MIN_DOCS) & (F.col("odds") >= MIN_ODDS) & (F.length("word") >= 3)).orderBy(F.desc(F.col("bad") * F.col("odds")), "word").limit(WITNESSES).collect()]
-    # Words that explain toxic documents no others do; one by one, so that rare company of true insults is left out.
-    benign = words.filter("good > 0")
-    common = benign.orderBy(F.desc("good"), "word").limit(BENIGN // 2).collect()
-    spread = benign.orderBy(F.xxhash64("word"), "word").limit(BENIGN // 2).collect()
-    witnesses = _cover(rows, witnesses, n_bad)
+    stem = F.explode(F.filter(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.substring("word", F.lit(1), n)), lambda x: F.length(x) >= STEMS[0])).alias("stem")
+    # Stems that toxic documents hold often enough, then how often benign ones hold those.
+    often = words.filter("toxic = 1").select("doc_id", stem).distinct().groupBy("stem").agg(F.count("*").alias("bad")).filter(F.col("bad") >= max(MIN_DOCS, MIN_SHARE * n_bad))
+    in_good = words.filter("toxic = 0").select("doc_id", stem).join(often, "stem", "left_semi").distinct().groupBy("stem").agg(F.count("*").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.coalesce("good", F.lit(0)) + 0.5) / (n_good + 1))
+    found = often.join(in_good, "stem", "left").filter(odds >= MIN_ODDS).orderBy(F.desc(F.col("bad") * odds), "stem").limit(CANDIDATES)
+    witnesses = _longest({r.stem: r.bad for r in found.collect()})
     if not witnesses:
         return empty
-    plain = sorted({p for r in [*common, *spread] for p in parts(_folded(r.word))})
-    beta, bias = fit_words([_folded(w) for w in witnesses], plain)
-    top = rows.select("doc_id", "text").transform(lambda d: scored(d, {"beta": beta, "bias": bias, "scale": None})).withColumnRenamed("score", "margin")
-    pairs = top.join(rows.select("doc_id", "toxic").distinct(), "doc_id").groupBy("toxic", F.round("margin", 2).alias("margin")).count().collect()
+    benign = words.filter("toxic = 0").groupBy("word").agg(F.count("*").alias("good"))
+    common = benign.orderBy(F.desc("good"), "word").limit(BENIGN // 3).collect()
+    spread = benign.orderBy(F.xxhash64("word"), "word").limit(BENIGN // 3).collect()
+    plain = {p for r in [*common, *spread] for p in parts(_folded(r.word))}
+    beta, bias = fit_words(witnesses, sorted(plain))
+    # The benign words that the first model takes for insults join its negatives.
+    first = scored(benign.select(F.col("word").alias("doc_id"), F.col("word").alias("text")), {"beta": beta, "bias": bias, "scale": None}, "string")
+    hard = first.orderBy(F.desc("score"), "doc_id").limit(BENIGN // 3).collect()
+    plain |= {p for r in hard for p in parts(_folded(r.doc_id))}
+    beta, bias = fit_words(witnesses, sorted(plain))
+    margin = scored(rows, {"beta": beta, "bias": bias, "scale": None}).select("doc_id", F.round("score", 2).alias("margin"))
+    pairs = margin.join(rows.select("doc_id", "toxic"), "doc_id").groupBy("toxic", "margin").count().collect()
     return {"beta": beta, "bias": bias, "scale": _platt([(r.margin, r.toxic, r["count"]) for r in pairs])}
 
 
-def _cover(rows: DataFrame, witnesses: list[str], n_bad: int) -> list[str]:
-    """Choose witnesses greedily while each still explains toxic documents that those before it do not."""
-    if not witnesses:
-        return []
-    held = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, witnesses)))
-    sets = rows.filter("toxic = 1").select(held.alias("held")).groupBy(F.array_sort("held").alias("held")).count().collect()
-    left = [(set(r.held), r["count"]) for r in sets]
-    chosen: list[str] = []
-    while True:
-        gain = {w: sum(n for s, n in left if w in s) for w in witnesses}
-        best = max(gain, key=lambda w: (gain[w], w))
-        if gain[best] < max(MIN_DOCS, 0.002 * n_bad):
-            return chosen
-        chosen.append(best)
-        left = [(s, n) for s, n in left if best not in s]
+def _longest(stems: dict[str, int]) -> list[str]:
+    """The shortest stems, each made longer as long as nearly all of its documents go on in the same way."""
+    chosen = []
+    for stem in sorted(stems, key=lambda x: (len(x), x)):
+        if any(stem[:n] in stems for n in range(1, len(stem))):
+            continue  # a form of a shorter one
+        at = stem
+        while longer := [x for x in stems if len(x) == len(at) + 1 and x.startswith(at) and stems[x] >= 0.9 * stems[stem]]:
+            at = longer[0]
+        chosen.append(_folded(at))
+    return sorted(set(chosen))
 
 
 def _platt(pairs: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -215,32 +225,32 @@ def _platt(pairs: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
+def scored(docs: DataFrame, model: dict, id_type: str = "long") -> DataFrame:
     """``doc_id, score`` for every row: the largest margin over the whole text, on the model's scale."""
     beta, bias, scale = docs.sparkSession.sparkContext.broadcast(model["beta"]), model["bias"], model["scale"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        stems: dict[str, float] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 texts = [units(t.as_py() or "") for t in some.column(1)]
                 new = list(set().union(*texts).difference(known))
-                if len(known) + len(new) > 400_000:
+                if len(known) + len(new) > MEMORY or len(stems) > MEMORY:
                     known.clear()
+                    stems.clear()
                     new = list(set().union(*texts))
                 pieces = [parts(_folded(u)) for u in new]
-                flat = [p for ps in pieces for p in ps]
-                value = margins(flat, beta.value, bias) if flat else np.zeros(0)
-                ends = np.cumsum([len(p) for p in pieces])
-                for u, e, p in zip(new, ends, pieces):
-                    known[u] = float(value[e - len(p) : e].max())
+                fresh = list({p for ps in pieces for p in ps}.difference(stems))
+                stems.update(zip(fresh, margins(fresh, beta.value, bias).tolist()))
+                known.update((u, max(map(stems.__getitem__, ps))) for u, ps in zip(new, pieces))
                 best = np.array([max((known[u] for u in us), default=bias) for us in texts])
                 if scale is not None:
                     best = 1 / (1 + np.exp(-np.clip(scale[0] * best + scale[1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(best)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
