@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,11 +29,14 @@ LETTERS = 27
 #: The bound on labelled documents that a model is fitted on, and on strings that reach the driver.
 SAMPLE_DOCS, CANDIDATES, BENIGN = 10_000, 2_000, 6_000
 LANDMARKS = 96
-#: A witness starts words of this share of the toxic documents (and of so many), and is this much likelier there (log odds).
-MIN_SHARE, MIN_DOCS, MIN_ODDS = 0.015, 4, 3.0
+#: A witness starts words of this share of the toxic documents (and of so many), is this much likelier there (log odds),
+#: and its count lies so many standard deviations above what benign documents let expect.
+MIN_SHARE, MIN_DOCS, MIN_ODDS, MIN_DEVIATION = 0.015, 4, 1.7, 8.0
 #: Lengths of word beginnings that are looked at; a stem may be followed by any ending.
 STEMS = range(4, 13)
 THRESHOLD = 0.3
+#: The margin from which on a word is a hit.
+HIT = 0.3
 #: Words and stems that a task remembers before it starts anew.
 MEMORY = 400_000
 
@@ -49,11 +53,10 @@ def _folded(word: str) -> str:
     return plain.translate(LOOKS_LIKE) if any(c.isalpha() for c in plain) else plain
 
 
-def units(text: str) -> set[str]:
-    """The strings of a text that are scored: its words, and runs of single characters joined up."""
-    found = {_EDGES.sub("", w) for w in text.split()}
+def units(text: str) -> dict[str, int]:
+    """The strings of a text that are scored, with their counts: its words, and runs of single characters joined up."""
+    found = Counter(text.split())
     found.update(re.sub(r"\s+", "", m) for m in _SPACED.findall(text))
-    found.discard("")
     return found
 
 
@@ -140,13 +143,14 @@ def fit_words(witnesses: list[str], benign: list[str]) -> tuple[np.ndarray, floa
     white = basis[:, keep] / np.sqrt(value[keep])
     z = np.concatenate([(vectors(words[i : i + 1024]) @ land.T) @ white for i in range(0, len(words), 1024)])
     cost = np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * max(1, len(negative))))
-    w, b = np.zeros(z.shape[1]), 0.0
-    for t in range(2000):  # gradient steps on the squared hinge
-        slack = np.maximum(0, 1 - y * (z @ w + b)) * cost * y
-        rate = 0.5 / (1 + t / 400)
-        w += rate * (2 * z.T @ slack / len(y) - 1e-4 * w)
-        b += rate * 2 * slack.mean()
-    return (land.T @ (white @ w)).astype(np.float64), float(b)
+    one = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+    ridge = 1e-3 * np.eye(one.shape[1])
+    w = np.zeros(one.shape[1])
+    for _ in range(25):  # Newton steps on the squared hinge
+        active = y * (one @ w) < 1
+        inside = one[active] * cost[active, None]
+        w = np.linalg.solve(inside.T @ one[active] / len(y) + ridge, inside.T @ y[active] / len(y))
+    return (land.T @ (white @ w[:-1])).astype(np.float64), float(w[-1])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -174,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     words = written(words.select("doc_id", "toxic", word.alias("word")).filter("word <> ''").distinct(), "words")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     n_bad, n_good = int(totals[0]), int(totals[1])
-    empty = {"beta": np.zeros(LETTERS**3), "bias": -1.0, "scale": (1.0, 0.0)}
+    empty = {"beta": np.zeros(LETTERS**3), "bias": -1.0, "scale": np.array([1.0, 0.0, 0.0, -2.0])}
     if not n_bad or not n_good:
         return empty
     stem = F.explode(F.filter(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.substring("word", F.lit(1), n)), lambda x: F.length(x) >= STEMS[0])).alias("stem")
@@ -182,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     often = words.filter("toxic = 1").select("doc_id", stem).distinct().groupBy("stem").agg(F.count("*").alias("bad")).filter(F.col("bad") >= max(MIN_DOCS, MIN_SHARE * n_bad))
     in_good = words.filter("toxic = 0").select("doc_id", stem).join(often, "stem", "left_semi").distinct().groupBy("stem").agg(F.count("*").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.coalesce("good", F.lit(0)) + 0.5) / (n_good + 1))
-    found = often.join(in_good, "stem", "left").filter(odds >= MIN_ODDS).orderBy(F.desc(F.col("bad") * odds), "stem").limit(CANDIDATES)
+    usual = F.greatest(F.lit(1.0), F.coalesce("good", F.lit(0)) * (n_bad / n_good))
+    found = often.join(in_good, "stem", "left").filter((odds >= MIN_ODDS) & (F.col("bad") - usual >= MIN_DEVIATION * F.sqrt(usual))).orderBy(F.desc(F.col("bad") * odds), "stem").limit(CANDIDATES)
     witnesses = _longest({r.stem: r.bad for r in found.collect()})
     if not witnesses:
         return empty
@@ -196,9 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     hard = first.orderBy(F.desc("score"), "doc_id").limit(BENIGN // 3).collect()
     plain |= {p for r in hard for p in parts(_folded(r.doc_id))}
     beta, bias = fit_words(witnesses, sorted(plain))
-    margin = scored(rows, {"beta": beta, "bias": bias, "scale": None}).select("doc_id", F.round("score", 2).alias("margin"))
-    pairs = margin.join(rows.select("doc_id", "toxic"), "doc_id").groupBy("toxic", "margin").count().collect()
-    return {"beta": beta, "bias": bias, "scale": _platt([(r.margin, r.toxic, r["count"]) for r in pairs])}
+    seen = scored(rows, {"beta": beta, "bias": bias, "scale": None}).join(rows.select("doc_id", "toxic"), "doc_id").collect()
+    return {"beta": beta, "bias": bias, "scale": _scale(np.array([(r.best, r.hits, r.density) for r in seen]), np.array([r.toxic for r in seen], float))}
 
 
 def _longest(stems: dict[str, int]) -> list[str]:
@@ -214,19 +218,22 @@ def _longest(stems: dict[str, int]) -> list[str]:
     return sorted(set(chosen))
 
 
-def _platt(pairs: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """A logistic curve from margins to scores, classes weighted alike."""
-    m, y, n = (np.array(x, float) for x in zip(*pairs))
-    weight = n / np.where(y > 0, n[y > 0].sum() or 1, n[y == 0].sum() or 1)
-    a, b = 1.0, 0.0
-    for _ in range(3000):
-        miss = (1 / (1 + np.exp(-np.clip(a * m + b, -30, 30))) - y) * weight
-        a, b = a - 0.5 * ((miss * m).sum() + 1e-3 * a), b - 0.5 * miss.sum()
-    return float(a), float(b)
+def _scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic model from a document's largest margin, number and density of hits to its score."""
+    one = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(4)
+    for _ in range(30):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
+        bend = (one * (p * (1 - p))[:, None]).T @ one / len(y) + 1e-4 * np.eye(4)
+        w -= np.linalg.solve(bend, one.T @ (p - y) / len(y) + 1e-4 * w)
+    return w
 
 
 def scored(docs: DataFrame, model: dict, id_type: str = "long") -> DataFrame:
-    """``doc_id, score`` for every row: the largest margin over the whole text, on the model's scale."""
+    """``doc_id, score`` and what it is made of, for every row and over the whole text.
+
+    These are the largest margin of a string, how many words are hits, and their density.
+    """
     beta, bias, scale = docs.sparkSession.sparkContext.broadcast(model["beta"]), model["bias"], model["scale"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,16 +248,18 @@ def scored(docs: DataFrame, model: dict, id_type: str = "long") -> DataFrame:
                     known.clear()
                     stems.clear()
                     new = list(set().union(*texts))
-                pieces = [parts(_folded(u)) for u in new]
+                pieces = [parts(_folded(_EDGES.sub("", u))) for u in new]
                 fresh = list({p for ps in pieces for p in ps}.difference(stems))
                 stems.update(zip(fresh, margins(fresh, beta.value, bias).tolist()))
                 known.update((u, max(map(stems.__getitem__, ps))) for u, ps in zip(new, pieces))
                 best = np.array([max((known[u] for u in us), default=bias) for us in texts])
-                if scale is not None:
-                    best = 1 / (1 + np.exp(-np.clip(scale[0] * best + scale[1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(best)], ["doc_id", "score"])
+                hits = np.array([sum(n for u, n in us.items() if known[u] >= HIT) for us in texts], float)
+                size = np.array([max(1, us.total()) for us in texts], float)
+                x = np.stack([best, np.log1p(hits), np.log1p(100 * hits / size)], axis=1)
+                score = x[:, 0] if scale is None else 1 / (1 + np.exp(-np.clip(x @ scale[:3] + scale[3], -30, 30)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2])], ["doc_id", "score", "best", "hits", "density"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, best double, hits double, density double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
