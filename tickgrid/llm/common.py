@@ -46,3 +46,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bits of the bitmap in ``may_hold``; at most 4 MB are broadcast, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Mark whether a row's ``key`` may be among ``keys`` (a table with a column of that name).
+
+    Returned is ``df`` with a boolean column ``may_hold``: false is certain, true is not.
+    It rests on a broadcast bitmap of fixed size, so large rows need not be shuffled to
+    find out that most of them have no partner.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = keys.select(F.bitmap_bucket_number(slot).alias("__bucket"), F.bitmap_bit_position(slot).alias("__bit"))
+    bits = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    out = df.withColumn("__bucket", F.bitmap_bucket_number(slot)).withColumn("__position", F.bitmap_bit_position(slot)).join(F.broadcast(bits), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("cast(__position div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__position") % 8)) % 2 == 1, F.lit(False))
+    return out.withColumn("may_hold", found).drop("__bucket", "__position", "__bits")

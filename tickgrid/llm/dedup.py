@@ -15,10 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.common import WHITE_SPACE, shared_dir, text_or_empty, written, written_at
+from tickgrid.llm.common import WHITE_SPACE, may_hold, shared_dir, text_or_empty, written, written_at
 
-#: Bits of the bitmap that tells which digests were hit; at most 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
 #: How much of the digest table one micro-batch reads at most.
 BATCH_BYTES = 16 << 30
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,23 +70,14 @@ def first_seen(digests: DataFrame, path: str, files_per_batch: int | None = None
     return last.select("digest", F.col("entry.doc_id").alias("keep_id"), F.col("entry.locator").alias("keep_locator"), "group_size")
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
 def _hit_texts(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """``doc_id, digest, body`` of all documents whose digest is a hit, and of few others.
 
     A bitmap of fixed size over the hits' digests, broadcast, keeps most other texts from
     being shuffled; rows that pass it by chance do no harm.
     """
-    slot = _slot(F.col("digest"))
-    bits = hits.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     texts = docs.select("doc_id", normalised().alias("body")).withColumn("digest", digest(F.col("body")))
-    position = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(position div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    texts = texts.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("position", position).join(F.broadcast(bits), "bucket")
-    return texts.filter(F.floor(byte / F.pow(F.lit(2), F.col("position") % 8)) % 2 == 1).select("doc_id", "digest", "body")
+    return may_hold(texts, "digest", hits).filter("may_hold").select("doc_id", "digest", "body")
 
 
 def _unlike(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:

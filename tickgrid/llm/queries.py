@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickgrid.llm import bpe, chat, dedup, licenses, packing, pii, simhash, tiff, toxicity
+from tickgrid.llm import bpe, chat, dedup, licenses, packing, pii, simhash, suffix, tiff, toxicity
 
 #: The conversation that op1 adds: both turns say this.
 ADDED_TEXT = r"\### Assistant: </turn> ok"
@@ -53,7 +53,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_licenses, op5_bpe, op6_exact_dedup, op7_tiff, op8_toxicity, op9_pii)}
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_licenses, op5_bpe, op6_exact_dedup, op7_tiff, op8_toxicity, op9_pii, op10_suffix)}
 
 ORACLE_SQL = {
     # formatted_chars: 7 for "<turn " and ">", 8 for the end mark and line feed, and a backslash for each escaped sign.
