@@ -34,7 +34,7 @@ from tickgrid.llm.common import text_or_empty
 #: How many words the lexicon holds at most.
 LEXICON_WORDS = 50_000
 #: Words that a task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 
 #: Python's str.split() also splits at these, which are no white space to the tokenizer.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -67,7 +67,6 @@ class WordBPE:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = byte_alphabet()
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
 
     def merged(self, letters: str) -> list[int]:
         """The ids of one piece, given in byte letters: the best-ranked neighbours are joined until none can be."""
@@ -108,23 +107,16 @@ class WordBPE:
                     heappush(heap, (r, k, parts[k], parts[right[k]]))
         return [self.vocab[p] for p in parts if p is not None]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of a word of normalised text, which holds no white space."""
+    def split(self, word: str) -> list[str]:
+        """The pieces, in byte letters, of a word of normalised text, which holds no white space."""
         if word.isascii() and word.isprintable():
-            pieces = self.pieces.findall(word)
-        elif _RARE.search(word):  # which characters are letters is up to the library's own tables
-            pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
-        else:
-            pieces = ["".join(map(self.letters.__getitem__, m.encode())) for m in self.pieces.findall(word)]
-        out: list[int] = []
-        for p in pieces:
-            ids = self.known.get(p)
-            if ids is None:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                ids = self.known[p] = self.merged(p)
-            out += ids
-        return out
+            return [word] if word.isalpha() else self.pieces.findall(word)
+        if _RARE.search(word):  # which characters are letters is up to the library's own tables
+            return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+        return ["".join(map(self.letters.__getitem__, m.encode())) for m in self.pieces.findall(word)]
+
+    def word(self, word: str) -> list[int]:
+        return [i for p in self.split(word) for i in self.merged(p)]
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special tokens stand apart, (True, token); what lies between is normalised."""
@@ -148,6 +140,7 @@ def vocabulary(path: str) -> WordBPE:
 # --- the lexicon ----------------------------------------------------------------
 
 _MAGIC = b"LEX1"
+_ARC = struct.Struct("<II").unpack_from
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
@@ -189,10 +182,10 @@ def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     table, first = bytearray(), []
     for final, arcs in states:
         first.append(len(table))
-        table += struct.pack("<BH", final, len(arcs))
+        table += struct.pack("<BH", final, len(arcs)) + bytes(b for b, _ in arcs)
         passed = int(final)
-        for b, s in arcs:
-            table += struct.pack("<BII", b, first[s], passed)
+        for _, s in arcs:
+            table += struct.pack("<II", first[s], passed)
             passed += count[s]
     ids, offsets = bytearray(), [0]
     for _, own in words:
@@ -217,24 +210,19 @@ class Lexicon:
 
     def get(self, word: str) -> list[int] | None:
         """The ids of a word, or None where the lexicon does not hold it."""
-        data, at, number = self.data, self.root, 0
-        for b in word.encode():
-            place = self.states + at
-            low, high = 0, data[place + 1] | data[place + 2] << 8
-            arcs, n = place + 3, high
-            while low < high:
-                mid = (low + high) // 2
-                if data[arcs + 9 * mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == n or data[arcs + 9 * low] != b:
+        data, find, at, number = self.data, self.data.find, self.states + self.root, 0
+        letters = word.encode()
+        for k in range(len(letters)):
+            n = data[at + 1] | data[at + 2] << 8
+            i = find(letters[k : k + 1], at + 3, at + 3 + n)
+            if i < 0:
                 return None
-            at, passed = struct.unpack_from("<II", data, arcs + 9 * low + 1)
+            target, passed = _ARC(data, at + 3 + n + 8 * (i - at - 3))
+            at = self.states + target
             number += passed
-        if not data[self.states + at]:
+        if not data[at]:
             return None
-        a, b = struct.unpack_from("<II", data, self.offsets + 4 * number)
+        a, b = _ARC(data, self.offsets + 4 * number)
         return list(struct.unpack_from(f"<{(b - a) // 2}H", data, self.ids + a))
 
 
@@ -271,21 +259,37 @@ def share_lexicon(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> st
 
 
 class Encoder:
-    """Encodes texts word by word; what it has seen lately it knows at once."""
+    """Encodes texts word by word. What it has seen lately it knows at once: words met since the memory last filled, and those of the time before."""
 
     def __init__(self, model: WordBPE, lexicon: Lexicon) -> None:
         self.model, self.lexicon = model, lexicon
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
 
     def _new(self, word: str) -> tuple[int, str, str]:
-        ids = self.lexicon.get(word)
-        if ids is None:
-            ids = self.model.word(word)
+        found = self.before.get(word)
+        if found is None:
+            ids = self.lexicon.get(word)
+            if ids is None:
+                pieces = self.model.split(word)
+                if len(pieces) == 1:
+                    ids = self.model.merged(pieces[0])
+            if ids is not None:
+                found = (len(ids), " ".join(map(str, ids)), " ".join(map(self.model.token.__getitem__, ids)))
+            else:  # pieces are remembered too: they are met with other signs around them
+                parts = [self._piece(p) for p in pieces]
+                found = (sum(x[0] for x in parts), " ".join(x[1] for x in parts), " ".join(x[2] for x in parts))
         if len(self.seen) >= MEMORY:
-            self.seen.clear()
-        self.seen[word] = found = (len(ids), " ".join(map(str, ids)), " ".join(self.model.token[i] for i in ids))
+            self.before, self.seen = self.seen, {}
+        self.seen[word] = found
         return found
 
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        if piece.isascii() and piece.isalpha():
+            return self.seen.get(piece) or self._new(piece)
+        ids = self.model.merged(piece)
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.model.token.__getitem__, ids))
+
     def encode(self, text: str) -> list[tuple[int, str, str]]:
         """Per word: how many ids, the ids in decimal, and their tokens; words without ids are left out."""
         known, out = self.seen.get, []
