@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +38,8 @@ STEMS = range(4, 13)
 THRESHOLD = 0.3
 #: The margin from which on a word is a hit.
 HIT = 0.3
-#: Words and stems that a task remembers before it starts anew.
-MEMORY = 400_000
+#: Words that a task remembers before it starts anew.
+MEMORY = 500_000
 
 #: Digits and signs often written for letters (fixed values).
 LOOKS_LIKE = str.maketrans("013457@$", "oieastas")
@@ -48,9 +49,13 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _folded(word: str) -> str:
-    """Lower case without accents, look-alike signs as letters."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
-    return plain.translate(LOOKS_LIKE) if any(c.isalpha() for c in plain) else plain
+    """Lower case without accents, look-alike signs as letters, no signs at the ends."""
+    word = word.lower()
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    if not word.isalnum():
+        word = _EDGES.sub("", word)
+    return word if word.isalpha() or not any(map(str.isalpha, word)) else word.translate(LOOKS_LIKE)
 
 
 def units(text: str) -> dict[str, int]:
@@ -60,40 +65,33 @@ def units(text: str) -> dict[str, int]:
     return found
 
 
+def wholes(unit: str) -> list[str]:
+    """A unit, in overlapping parts where it is long."""
+    return [unit[i : i + PART] for i in range(0, max(1, len(unit) - PART // 2), PART // 2)] if len(unit) > PART else [unit]
+
+
 def parts(unit: str) -> list[str]:
-    """A unit's beginnings, which may be stems, and the unit, in overlapping parts where it is long."""
-    whole = [unit[i : i + PART] for i in range(0, max(1, len(unit) - PART // 2), PART // 2)]
-    return [unit[:n] for n in STEMS if n < min(len(unit), PART)] + whole
+    """A unit's parts and their beginnings, which may be stems."""
+    return [p[:n] for p in wholes(unit) for n in (*STEMS, PART) if n < len(p)] + wholes(unit)
 
 
-def _codes(strings: list[str]) -> np.ndarray:
-    width = max(map(len, strings))
-    out = np.zeros((len(strings), width), np.int64)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in s]
-    return out
+@lru_cache(maxsize=None)
+def _picks(width: int) -> tuple[np.ndarray, ...]:
+    """Places of all subsequences in a string of ``width``, by their last place; their weights."""
+    found = sorted(((i, j, k) for i, j, k in combinations(range(width), 3) if k - i < SPAN), key=lambda p: (p[2], p))
+    i, j, k = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return i, j, k, (DECAY ** (k - i - 2.0)).astype(np.float32)
 
 
 def subsequences(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and weights, row by row; 0 stands for none. Equal subsequences of a string are summed."""
-    codes = _codes(strings)
-    width = codes.shape[1]
-    picks = [(i, j, k) for i, j, k in combinations(range(width), 3) if k - i < SPAN]
-    if not picks:
-        return np.zeros((len(strings), 1), np.int64), np.zeros((len(strings), 1))
-    i, j, k = (np.array(x) for x in zip(*picks))
+    """Feature numbers and weights of strings of one length, in the order of _picks; 0 stands for none."""
+    width = len(strings[0])
+    codes = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4").reshape(-1, width).astype(np.int32) - 96
+    codes[(codes < 1) | (codes > 26)] = 0
+    i, j, k, weight = _picks(width)
     a, b, c = codes[:, i], codes[:, j], codes[:, k]
     number = np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, 0)
-    order = np.argsort(number, axis=1, kind="stable")
-    number = np.take_along_axis(number, order, 1)
-    weight = np.where(number > 0, (DECAY ** (k - i - 2.0))[order], 0.0)
-    total = np.cumsum(weight, axis=1)
-    last = np.ones(number.shape, bool)
-    last[:, :-1] = number[:, 1:] != number[:, :-1]
-    ends = np.where(last, total, 0.0)
-    before = np.maximum.accumulate(ends, axis=1)
-    before = np.concatenate([np.zeros((len(strings), 1)), before[:, :-1]], axis=1)
-    return np.where(last, number, 0), np.where(last & (number > 0), total - before, 0.0)
+    return number, np.where(number > 0, weight, np.float32(0))
 
 
 def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -107,21 +105,31 @@ def by_length(strings: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 
 def vectors(strings: list[str]) -> np.ndarray:
-    """Unit-length subsequence vectors, dense; for landmarks and training words only."""
+    """Subsequence vectors, dense, divided by the root of the summed squares of all occurrences; for landmarks and training words."""
     out = np.zeros((len(strings), LETTERS**3), np.float32)
     for places, block in by_length(strings):
         number, weight = subsequences(block)
-        out[places[:, None], number] += weight
+        np.add.at(out, (places[:, None], number), weight / np.sqrt(np.maximum((weight**2).sum(1, keepdims=True), 1e-9)))
     out[:, 0] = 0
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 def margins(strings: list[str], beta: np.ndarray, bias: float) -> np.ndarray:
-    """The SVM's margin for each string, through the folded weights."""
+    """The SVM's largest margin over each string and its beginnings.
+
+    Subsequences come by their last place, so running sums give all beginnings at once.
+    """
     out = np.full(len(strings), bias, np.float64)
     for places, block in by_length(strings):
+        width = len(block[0])
+        if width < 3:
+            continue
         number, weight = subsequences(block)
-        out[places] += (beta[number] * weight).sum(1) / np.maximum(np.sqrt((weight**2).sum(1)), 1e-9)
+        value = np.cumsum(beta[number] * weight, axis=1)
+        size = np.cumsum(weight * weight, axis=1)
+        last = _picks(width)[2]
+        ends = np.searchsorted(last, [n for n in (*STEMS, width) if n <= width]) - 1
+        out[places] = (value[:, ends] / np.sqrt(np.maximum(size[:, ends], 1e-9))).max(1) + bias
     return out
 
 
@@ -238,22 +246,23 @@ def scored(docs: DataFrame, model: dict, id_type: str = "long") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        stems: dict[str, float] = {}
+        weights = beta.value.astype(np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 texts = [units(t.as_py() or "") for t in some.column(1)]
                 new = list(set().union(*texts).difference(known))
-                if len(known) + len(new) > MEMORY or len(stems) > MEMORY:
+                if len(known) + len(new) > MEMORY:
                     known.clear()
-                    stems.clear()
                     new = list(set().union(*texts))
-                pieces = [parts(_folded(_EDGES.sub("", u))) for u in new]
-                fresh = list({p for ps in pieces for p in ps}.difference(stems))
-                stems.update(zip(fresh, margins(fresh, beta.value, bias).tolist()))
-                known.update((u, max(map(stems.__getitem__, ps))) for u, ps in zip(new, pieces))
+                folded = [_folded(u) for u in new]
+                known.update(zip(new, margins([f[:PART] for f in folded], weights, bias).tolist()))
+                for u, f in zip(new, folded):
+                    if len(f) > PART:
+                        known[u] = max(margins(wholes(f), weights, bias).tolist())
                 best = np.array([max((known[u] for u in us), default=bias) for us in texts])
-                hits = np.array([sum(n for u, n in us.items() if known[u] >= HIT) for us in texts], float)
+                high = {u for us in texts for u in us if known[u] >= HIT}
+                hits = np.array([sum(us[u] for u in high.intersection(us)) for us in texts], float)
                 size = np.array([max(1, us.total()) for us in texts], float)
                 x = np.stack([best, np.log1p(hits), np.log1p(100 * hits / size)], axis=1)
                 score = x[:, 0] if scale is None else 1 / (1 + np.exp(-np.clip(x @ scale[:3] + scale[3], -30, 30)))
