@@ -24,7 +24,6 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ from tickgrid.llm.common import may_hold, text_or_empty, written
 
 LENGTH, SAMPLE = 50, 20
 SPAN = LENGTH - SAMPLE + 1
-#: Bytes of text that are hashed at once, that a task settles and deals out at once, and that a bucket stands for on average.
-BLOCK, DEAL_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20, 16 << 20
+#: Bytes of text that are hashed at once; entries that a task settles and deals out at once, and that a bucket gets on average.
+BLOCK, DEAL, BUCKET = 1 << 20, 1 << 20, 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -105,9 +104,17 @@ def _blocks(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def _deals(texts: Iterator[tuple]) -> Iterator[list[list[tuple]]]:
-    """Blocks, as many as are dealt out at once."""
-    return iter(lambda blocks=_blocks(texts): list(islice(blocks, DEAL_BYTES // BLOCK)), [])
+def _dealt(parts: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
+    """Arrays of entries, block by block, joined up to what is dealt out at once."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= DEAL:
+            yield list(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield list(map(np.concatenate, zip(*held)))
 
 
 def _joined(block: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,13 +173,12 @@ def _sampled(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Step 1, map side: each block's samples by bucket; those that repeat in the block go to buckets from ``n_buckets`` on, as settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _deals(_texts(batches)):
-            found = []
-            for block in blocks:
-                _, samples, piece, _ = _joined(block)
-                change = np.concatenate([[True], (samples[1:] != samples[:-1]) | (piece[1:] != piece[:-1])]) if len(samples) else np.zeros(0, bool)
-                found.append((samples[change], np.array([p[0] for p in block], np.int64)[piece[change]]))
-            samples, row = map(np.concatenate, zip(*found))
+        def block_samples(block: list[tuple]) -> tuple:
+            _, samples, piece, _ = _joined(block)
+            change = np.concatenate([[True], (samples[1:] != samples[:-1]) | (piece[1:] != piece[:-1])]) if len(samples) else np.zeros(0, bool)
+            return samples[change], np.array([p[0] for p in block], np.int64)[piece[change]]
+
+        for samples, row in _dealt(map(block_samples, _blocks(_texts(batches)))):
             order = np.lexsort((row, samples))
             s, r = samples[order], row[order]
             fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])]) if len(s) else np.zeros(0, bool)
@@ -235,18 +241,17 @@ def _suffixes(rows: DataFrame, n_buckets: int) -> DataFrame:
     """Step 2, map side: suffixes whose sample repeats, by bucket; repeats of an earlier document in the block are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _deals(_texts(batches)):
-            found = []
-            for block in blocks:
-                keys, samples, piece, place = _joined(block)
-                wanted = np.zeros(len(keys), bool)
-                ends = np.searchsorted(piece, np.arange(len(block) + 1))
-                for i, p in enumerate(block):
-                    a, b = ends[i], ends[i + 1]
-                    wanted[a:b] = np.isin(samples[a:b], np.array(p[4] or [], np.int64).view(np.uint64))
-                piece = piece[wanted]
-                found.append((keys[wanted], samples[wanted], place[wanted], np.array([p[1] for p in block], np.int64)[piece], np.array([p[0] for p in block], np.int64)[piece]))
-            keys, samples, place, doc, row = map(np.concatenate, zip(*found))
+        def block_suffixes(block: list[tuple]) -> tuple:
+            keys, samples, piece, place = _joined(block)
+            wanted = np.zeros(len(keys), bool)
+            ends = np.searchsorted(piece, np.arange(len(block) + 1))
+            for i, p in enumerate(block):
+                a, b = ends[i], ends[i + 1]
+                wanted[a:b] = np.isin(samples[a:b], np.array(p[4] or [], np.int64).view(np.uint64))
+            piece = piece[wanted]
+            return keys[wanted], samples[wanted], place[wanted], np.array([p[1] for p in block], np.int64)[piece], np.array([p[0] for p in block], np.int64)[piece]
+
+        for keys, samples, place, doc, row in _dealt(map(block_suffixes, _blocks(_texts(batches)))):
             order = np.lexsort((doc, keys))
             new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
             lowest = np.empty(len(keys), np.int64)
@@ -322,7 +327,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(row_key().alias("row"), _place().alias("doc_id"), text_or_empty().alias("text"))
     sizes = written(rows.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("n")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_buckets = max(8, math.ceil(total / BUCKET_BYTES))
+    n_buckets = max(8, math.ceil(2 * total / SPAN / BUCKET))  # two samples in SPAN + 1 suffixes
     # Exact copies are removed whole and are no one's first source, so the sorting needs only first copies.
     first = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     copies = written(sizes.join(first, "digest").filter((F.col("doc_id") > F.col("first")) & (F.col("n") >= LENGTH)).select("row", "n"), "copies")
@@ -331,6 +336,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = _repeated_samples(_sampled(own, n_buckets), n_buckets).groupBy("row").agg(F.collect_set("sample").alias("samples"))
     hits = written(hits, "samples")
     likely = may_hold(own, "row", hits).filter("may_hold").drop("may_hold").join(hits, "row")
+    wanted = hits.agg(F.coalesce(F.sum(F.size("samples")), F.lit(0))).first()[0] * (SPAN + 1) // 2
+    n_buckets = max(8, math.ceil(wanted / BUCKET))
     found = _repeats(_suffixes(likely, n_buckets), n_buckets)
     return found.unionByName(copies.select("row", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
 
