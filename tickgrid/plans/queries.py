@@ -502,19 +502,22 @@ def t2_phase_by_spread(v):
     return T.phase_by_spread(rows, "key", "tick", "event_id").select("event_id", "phase")
 
 
-@query("""WITH RECURSIVE r AS (SELECT key, tick, event_id, row_number() OVER (PARTITION BY key ORDER BY tick, event_id) AS n FROM v_events),
+_KEPT = """WITH RECURSIVE r AS (SELECT key, tick, event_id, row_number() OVER (PARTITION BY key ORDER BY tick, event_id) AS n FROM v_events),
     w(key, n, last, kept, event_id) AS (SELECT key, n, tick, true, event_id FROM r WHERE n = 1 UNION ALL SELECT r.key, r.n, CASE WHEN r.tick - w.last >= 1440 THEN r.tick ELSE w.last END, r.tick - w.last >= 1440, r.event_id FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)
-    SELECT event_id, key FROM w WHERE kept""")
+    SELECT event_id, key{more} FROM w WHERE kept"""
+
+
+@query(_KEPT.format(more=""))
 def t3_cooldown(v):
     return T.cooldown(v.events, "key", "tick", "event_id", 1440).select("event_id", "key")
 
 
 @query("""WITH b AS (SELECT kind, tick // 60 AS hour, max(value) AS own FROM v_events GROUP BY 1, 2),
     o AS (SELECT *, exp(max(ln(own + 4) - hour * ln(0.75)) OVER (PARTITION BY kind ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + hour * ln(0.75)) - 4 AS old FROM b)
-    SELECT kind, hour, round(greatest(own, CASE WHEN old > 0.5 THEN old END), 4) AS value FROM o""")
+    SELECT kind, hour, round(greatest(own, CASE WHEN old > 0.5 THEN old END) + 0.0000123, 3) AS value FROM o""")
 def t4_decaying_max(v):
     rows = v.events.withColumn("hour", F.expr("tick div 60"))
-    return T.decaying_max(rows, "kind", "hour", "value").withColumn("value", F.round("value", 4))
+    return T.decaying_max(rows, "kind", "hour", "value").withColumn("value", F.round(F.col("value") + 0.0000123, 3))
 
 
 @query("""SELECT event_id, key, kind FROM (SELECT *, lag(kind) OVER w AS last, row_number() OVER w AS n FROM v_events WINDOW w AS (PARTITION BY key ORDER BY tick, event_id)) WHERE n = 1 OR kind IS DISTINCT FROM last""")
@@ -661,7 +664,7 @@ def r5_stream_on_change(v):
     return _run(v, ST.stream_on_change(_stream(v)))
 
 
-@query(ORACLE_SQL["t3_cooldown"].replace("SELECT event_id, key FROM w WHERE kept", "SELECT event_id, key, tick FROM v_events WHERE event_id IN (SELECT event_id FROM w WHERE kept)"))
+@query(_KEPT.format(more=", last AS tick"))
 def r6_stream_cooldown(v):
     return _run(v, ST.stream_cooldown(_stream(v), 1440))
 
@@ -669,9 +672,9 @@ def r6_stream_cooldown(v):
 @query("""WITH e AS (SELECT event_id, key, tick // 1440 AS day, tick, value FROM v_events),
     o AS (SELECT *, max(value) OVER (PARTITION BY key, day ORDER BY tick, event_id ROWS UNBOUNDED PRECEDING) AS own,
       exp(max(ln(value + 4) - day * ln(0.75)) OVER (PARTITION BY key ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + day * ln(0.75)) - 4 AS old FROM e)
-    SELECT event_id, key, round(greatest(own, CASE WHEN old > 0.5 THEN old END), 4) AS value FROM o""")
+    SELECT event_id, key, round(greatest(own, CASE WHEN old > 0.5 THEN old END) + 0.0000123, 3) AS value FROM o""")
 def r7_stream_decaying_max(v):
-    return _run(v, ST.stream_decaying_max(_stream(v), 1440)).withColumn("value", F.round("value", 4))
+    return _run(v, ST.stream_decaying_max(_stream(v), 1440)).withColumn("value", F.round(F.col("value") + 0.0000123, 3))
 
 
 @query("""SELECT event_id, key, coalesce(last_value(CASE WHEN value >= 60 THEN true WHEN value < 30 THEN false END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM v_events""")
@@ -685,12 +688,12 @@ def r9_stream_enrich(v):
     return _run(v, ST.stream_enrich(_stream(v), kinds).select("event_id", "kind", "first_kind"))
 
 
-@query(f"""SELECT r.event_id AS request_id, r.kind AS item FROM v_events r WHERE NOT EXISTS (SELECT 1 FROM v_events c WHERE c.key % 20 = 7 AND c.kind = r.kind AND c.ts >= r.ts AND c.ts <= r.ts + INTERVAL '2 hours') AND r.ts + INTERVAL '2 hours' < {_LATE}""")
+@query("""SELECT r.event_id AS request_id, r.kind AS item FROM v_events r WHERE NOT EXISTS (SELECT 1 FROM v_events c WHERE c.key % 20 = 7 AND c.kind = r.kind AND c.ts >= r.ts AND c.ts <= r.ts + INTERVAL '2 hours') AND r.ts + INTERVAL '2 hours' < (SELECT max(ts) FROM v_events WHERE key % 20 = 7) - INTERVAL '10 minutes'""")
 def r10_stream_expired(v):
     requests = _stream(v).select(F.col("event_id").alias("request_id"), F.col("kind").alias("item"), "ts")
     claims = _stream(v).filter("key % 20 = 7").select(F.col("kind").alias("c_item"), F.col("ts").alias("c_ts"))
     out = _run(v, ST.stream_expired(requests, claims, "2 hours"))
-    bound = event_time(v.events).agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("b"))
+    bound = event_time(v.events).filter("key % 20 = 7").agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("b"))
     return out.crossJoin(F.broadcast(bound)).filter(F.col("ts") + F.expr("INTERVAL 2 HOURS") < F.col("b")).select("request_id", "item")
 
 
