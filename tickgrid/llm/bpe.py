@@ -34,10 +34,10 @@ from tickgrid.llm.common import text_or_empty
 #: How many words the lexicon holds at most.
 LEXICON_WORDS = 50_000
 #: Words that a task remembers before it starts anew.
-MEMORY = 250_000
+MEMORY = 400_000
 
 #: Python's str.split() also splits at these, which are no white space to the tokenizer.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Characters whose case, composition or class depends on more than simple tables.
 _RARE = re.compile("[^\x00-\u024f]")
 _NONE = 1 << 60
@@ -111,7 +111,7 @@ class WordBPE:
         """The pieces, in byte letters, of a word of normalised text, which holds no white space."""
         if word.isascii() and word.isprintable():
             return [word] if word.isalpha() else self.pieces.findall(word)
-        if _RARE.search(word):  # which characters are letters is up to the library's own tables
+        if is_rare(word):  # which characters are letters is up to the library's own tables
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
         return ["".join(map(self.letters.__getitem__, m.encode())) for m in self.pieces.findall(word)]
 
@@ -120,16 +120,28 @@ class WordBPE:
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special tokens stand apart, (True, token); what lies between is normalised."""
-        for i, part in enumerate(self.cut.split(text)):
+        parts = self.cut.split(text) if any(t in text for t in self.special) else [text]
+        for i, part in enumerate(parts):
             if i % 2:
                 yield True, part
             elif part:
-                yield False, self.library.normalizer.normalize_str(part) if _RARE.search(part) else part.lower()
+                yield False, self.library.normalizer.normalize_str(part) if is_rare(part) else part.lower()
+
+
+def is_rare(text: str) -> bool:
+    """Whether a text has characters whose treatment is up to the library's tables. Most texts are told by one copy, without a search."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _RARE.search(text) is not None
+    return False
 
 
 def words_of(text: str) -> list[str]:
     """The white-space separated words of normalised text."""
-    return [w for w in _SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
+    return [w for w in _SPACES.split(text) if w] if any(c in text for c in _SEPARATORS) else text.split()
 
 
 @lru_cache(maxsize=2)
