@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.operators.joins import neighbours8, radius_join
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, which cuts the lineage."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tickgrid.sources.shared import written
 
 
 def _running_min(df: DataFrame, value: str, across: str, along: str, out: str) -> DataFrame:
@@ -68,14 +52,14 @@ def diffuse(sectors: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     near = neighbours8(sectors, "sector_id")
     threat = sectors.select("sector_id", F.coalesce("threat", F.lit(0.0)).alias("threat"))
     around = near.join(threat.withColumnRenamed("sector_id", "neighbour"), "neighbour").groupBy("sector_id").agg(F.sum("threat").alias("around"))
-    base = _written(threat.join(around, "sector_id", "left").select("sector_id", (F.col("threat") + F.coalesce("around", F.lit(0.0))).alias("base")), "base")
-    linked = _written(near.join(links.select("sector_id", "neighbour").distinct(), ["sector_id", "neighbour"]), "links")
+    base = written(threat.join(around, "sector_id", "left").select("sector_id", (F.col("threat") + F.coalesce("around", F.lit(0.0))).alias("base")), "base")
+    linked = written(near.join(links.select("sector_id", "neighbour").distinct(), ["sector_id", "neighbour"]), "links")
     d = base.select("sector_id", F.lit(0.0).alias("d"))
     for i in range(rounds):
         flow = linked.join(d.withColumnRenamed("sector_id", "neighbour"), "neighbour").groupBy("sector_id").agg((0.95 * F.max(F.col("d") * F.col("weight"))).alias("flow"))
         d = base.join(flow, "sector_id", "left").select("sector_id", F.greatest("base", F.coalesce("flow", F.lit(0.0))).alias("d"))
         if i % 5 == 4:
-            d = _written(d, "diffuse")
+            d = written(d, "diffuse")
     return d
 
 
@@ -108,16 +92,16 @@ def regions(cells: DataFrame) -> DataFrame:
     """
     free = cells.filter(~F.col("blocked")).select("cell_id", "x", "y")
     run = free.withColumn("island", F.col("x") - F.row_number().over(W.partitionBy("y").orderBy("x")))
-    member = _written(run.withColumn("run", F.min("cell_id").over(W.partitionBy("y", "island"))).select("cell_id", "x", "y", "run"), "runs")
+    member = written(run.withColumn("run", F.min("cell_id").over(W.partitionBy("y", "island"))).select("cell_id", "x", "y", "run"), "runs")
     below = member.select("x", (F.col("y") + 1).alias("y"), F.col("run").alias("other"))
     touch = member.join(below, ["x", "y"]).select("run", "other").distinct()
-    links = _written(touch.unionByName(touch.select(F.col("other").alias("run"), F.col("run").alias("other"))), "touch")
-    label = _written(member.select("run").distinct().withColumn("region", F.col("run")), "labels")
+    links = written(touch.unionByName(touch.select(F.col("other").alias("run"), F.col("run").alias("other"))), "touch")
+    label = written(member.select("run").distinct().withColumn("region", F.col("run")), "labels")
     while True:
         near = links.join(label.withColumnRenamed("run", "other"), "other").groupBy("run").agg(F.min("region").alias("near"))
         step = label.join(near, "run", "left").select("run", F.least("region", F.coalesce("near", "region")).alias("next"), "region")
         jump = step.join(label.select(F.col("run").alias("next"), F.col("region").alias("far")), "next")
-        new = _written(jump.select("run", F.least("next", "far").alias("new"), "region"), "labels")
+        new = written(jump.select("run", F.least("next", "far").alias("new"), "region"), "labels")
         changed = new.filter("new <> region").limit(1).count()
         label = new.select("run", F.col("new").alias("region"))
         if not changed:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickgrid.functions.expr import distance
 from tickgrid.operators import aggregates as A
 from tickgrid.operators import grid as G
 from tickgrid.operators import joins as J
@@ -19,6 +17,7 @@ from tickgrid.operators import temporal as T
 from tickgrid.operators.rules import standard_rules
 from tickgrid.sources import tables as S
 from tickgrid.sources.fixtures import duckdb_views, event_time, view
+from tickgrid.sources.shared import shared_dir
 from tickgrid.streaming import operators as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,16 +26,6 @@ ORACLE_SQL: dict[str, str] = {}
 VIEWER = 3
 
 
-def shared_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Source:
     """The fixture views and tables of one scale."""
 
