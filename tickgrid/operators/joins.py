@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickgrid.functions.expr import distance
+from tickgrid.sources.shared import written
 
 
 def resolve_rules(units: DataFrame, key: str, *dims: DataFrame) -> DataFrame:
@@ -58,12 +59,13 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, extent:
     """The closest ``b`` of each ``a`` as ``a_id, b_id, distance``; ties go to the smallest id.
 
     Rows of ``a`` without a partner within ``r`` are tried again at twice the radius until
-    it spans ``extent``, the diameter of the map; so the work follows the local density.
+    it spans ``extent``, the diameter of the map; so the work follows the local density. Each
+    round's pairs are written, so a later round does not make them again.
     """
     out, left = None, a.select(a_id, "x", "y")
     while True:
         pairs = radius_join(left, b.select(b_id, "x", "y"), r)
-        best = pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance")
+        best = written(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"), "nearest")
         out = best if out is None else out.unionByName(best)
         if r >= extent:
             return out
