@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickgrid.llm.common import text_or_empty
+from tickgrid.llm.common import text_or_empty, written
 
 #: How many words the lexicon holds at most.
 LEXICON_WORDS = 50_000
@@ -255,7 +255,15 @@ def frequent_words(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> l
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]
+    counts = written(counts, "words")
+    # How many words there are by order of frequency tells from where on the top ones start; only those are sorted and fetched.
+    level = F.floor(F.log2("n") * 8)
+    held, lowest = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held, lowest = held + r.words, r.level
+        if held >= n:
+            break
+    return [r.word for r in counts.filter(level >= lowest).orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
 def share_lexicon(docs: DataFrame, tokenizer: str, n: int = LEXICON_WORDS) -> str:
