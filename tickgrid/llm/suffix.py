@@ -258,6 +258,7 @@ def _suffixes(rows: DataFrame, n_buckets: int) -> DataFrame:
             lowest[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             settled = doc > lowest
             bucket = _bucket_of(samples, n_buckets) + np.where(settled, n_buckets, 0)
+            keys, doc = np.where(settled, np.uint64(0), keys), np.where(settled, 0, doc)  # settled ones need no more sorting
             yield _batch(list(_deal(bucket, [keys.view(np.int64), doc, row, place])), ["bucket", "keys", "docs", "rows", "places"], [pa.int32()] + [pa.binary()] * 4)
 
     return rows.select("row", "doc_id", "text", "samples").mapInArrow(run, _SUFFIX_ROWS)
