@@ -21,6 +21,7 @@ from xxhash import xxh64_intdigest
 
 from tickgrid.llm.common import written
 from tickgrid.llm.components import connected_components
+from tickgrid.llm.near import near_copies
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -125,9 +126,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps its smallest doc_id.
+    """The rows of ``docs`` that stay when each group of near copies keeps its smallest doc_id.
 
+    Near copies have a Jaccard similarity of at least 0.8 over five-word shingles; two bits
+    of a fingerprint, the bound of ``near_duplicates``, would leave most of them.
     Rows that share a doc_id count as one document. Columns are those of ``docs``.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
