@@ -10,6 +10,7 @@ a string, the trained model folds into one weight per subsequence, of a fixed si
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -30,9 +31,10 @@ LETTERS = 27
 #: The bound on labelled documents that a model is fitted on, and on strings that reach the driver.
 SAMPLE_DOCS, CANDIDATES, BENIGN = 10_000, 2_000, 6_000
 LANDMARKS = 96
-#: A witness starts words of this share of the toxic documents (and of so many), is this much likelier there (log odds),
-#: and its count lies so many standard deviations above what benign documents let expect.
-MIN_SHARE, MIN_DOCS, MIN_ODDS, MIN_DEVIATION = 0.015, 4, 1.7, 8.0
+#: A witness starts words of toxic documents this much likelier (log odds); at most this share of those found is expected by chance.
+MIN_ODDS, FALSE_SHARE = 1.7, 0.01
+#: The bound on disturbed forms of witnesses that the SVM is trained on.
+FORMS = 40_000
 #: Lengths of word beginnings that are looked at; a stem may be followed by any ending.
 STEMS = range(4, 13)
 THRESHOLD = 0.3
@@ -141,11 +143,12 @@ def _disturbed(word: str) -> list[str]:
 
 def fit_words(witnesses: list[str], benign: list[str]) -> tuple[np.ndarray, float]:
     """Nystroem features against landmarks and a squared-hinge SVM; returned folded, as weights and a bias."""
-    positive = sorted({p for w in witnesses for d in _disturbed(w) for p in parts(d)})
+    forms = sorted({p for w in witnesses for d in _disturbed(w) for p in parts(d)})
+    positive = sorted({p for w in witnesses for p in wholes(w)}.union(forms[:: -(-len(forms) // FORMS)]))
     negative = sorted(set(benign) - set(positive))
     words = positive + negative
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    land = vectors((witnesses + negative[:: max(1, len(negative) // LANDMARKS)])[: LANDMARKS + len(witnesses)])
+    land = vectors(witnesses[:: -(-len(witnesses) // LANDMARKS)] + negative[:: max(1, len(negative) // LANDMARKS)][:LANDMARKS])
     value, basis = np.linalg.eigh(land @ land.T)
     keep = value > 1e-6
     white = basis[:, keep] / np.sqrt(value[keep])
@@ -190,15 +193,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     if not n_bad or not n_good:
         return empty
     stem = F.explode(F.filter(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.substring("word", F.lit(1), n)), lambda x: F.length(x) >= STEMS[0])).alias("stem")
-    # Stems that toxic documents hold often enough, then how often benign ones hold those.
-    often = words.filter("toxic = 1").select("doc_id", stem).distinct().groupBy("stem").agg(F.count("*").alias("bad")).filter(F.col("bad") >= max(MIN_DOCS, MIN_SHARE * n_bad))
+    # Stems of toxic documents, and how often benign ones hold those.
+    in_bad = written(words.filter("toxic = 1").select("doc_id", stem).distinct().groupBy("stem").agg(F.count("*").alias("bad")), "stems")
+    tried, most = in_bad.agg(F.count("*"), F.max("bad")).first()
+    if not tried:  # no word of the toxic documents has as many letters as a stem
+        return empty
+    # Rarer stems cannot be told from chance even if no benign document holds them.
+    often = in_bad.filter(F.col("bad") >= min(most, math.ceil(math.log(FALSE_SHARE) / math.log(n_bad / (n_bad + n_good)))))
     in_good = words.filter("toxic = 0").select("doc_id", stem).join(often, "stem", "left_semi").distinct().groupBy("stem").agg(F.count("*").alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.coalesce("good", F.lit(0)) + 0.5) / (n_good + 1))
-    usual = F.greatest(F.lit(1.0), F.coalesce("good", F.lit(0)) * (n_bad / n_good))
-    found = often.join(in_good, "stem", "left").filter((odds >= MIN_ODDS) & (F.col("bad") - usual >= MIN_DEVIATION * F.sqrt(usual))).orderBy(F.desc(F.col("bad") * odds), "stem").limit(CANDIDATES)
+    counted = written(often.join(in_good, "stem", "left").na.fill(0, ["good"]), "counted")
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
+    # Counts are of a bounded sample, so few pairs of counts differ.
+    pairs = {(r.bad, r.good): r.n for r in counted.groupBy("bad", "good").agg(F.count("*").alias("n")).collect()}
+    telling = docs.sparkSession.createDataFrame(_telling(pairs, tried, n_bad, n_good), "bad long, good long")
+    found = counted.join(telling, ["bad", "good"], "left_semi").orderBy(F.desc(F.col("bad") * odds), "stem").limit(CANDIDATES)
     witnesses = _longest({r.stem: r.bad for r in found.collect()})
-    if not witnesses:
-        return empty
     benign = words.filter("toxic = 0").groupBy("word").agg(F.count("*").alias("good"))
     common = benign.orderBy(F.desc("good"), "word").limit(BENIGN // 3).collect()
     spread = benign.orderBy(F.xxhash64("word"), "word").limit(BENIGN // 3).collect()
@@ -213,6 +222,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     return {"beta": beta, "bias": bias, "scale": _scale(np.array([(r.best, r.hits, r.density) for r in seen]), np.array([r.toxic for r in seen], float))}
 
 
+def _telling(pairs: dict[tuple[int, int], int], tried: int, n_bad: int, n_good: int) -> list[tuple[int, int]]:
+    """The counts (toxic, benign) of witnesses, given the number of stems for each pair of counts.
+
+    An exact binomial test, with the false discoveries among all stems ``tried`` bounded
+    (Benjamini and Hochberg). Where labels are too few for any stem to pass, those of the
+    smallest p-value are taken, so that both classes always give a model.
+    """
+    rate = n_bad / (n_bad + n_good)
+    of = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(b + g for b, g in pairs) + 1)))])
+
+    def chance(bad: int, good: int) -> float:
+        """The logarithm of the chance of so many toxic documents among those that hold a stem."""
+        k = np.arange(bad, bad + good + 1)
+        each = of[bad + good] - of[k] - of[bad + good - k] + k * math.log(rate) + (bad + good - k) * math.log(1 - rate)
+        return float(each.max() + math.log(np.exp(each - each.max()).sum()))
+
+    ranked = sorted((chance(*p), -p[0], p) for p in pairs)
+    bound, seen = -math.inf, 0
+    for value, _, p in ranked:
+        seen += pairs[p]
+        if value <= math.log(FALSE_SHARE * seen / tried):
+            bound = value
+    odds = lambda p: math.log((p[0] + 0.5) / (n_bad + 1)) - math.log((p[1] + 0.5) / (n_good + 1))
+    return [p for value, _, p in ranked if value <= bound and odds(p) >= MIN_ODDS] or [ranked[0][2]]
+
+
 def _longest(stems: dict[str, int]) -> list[str]:
     """The shortest stems, each made longer as long as nearly all of its documents go on in the same way."""
     chosen = []
