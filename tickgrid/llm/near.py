@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from tickgrid.llm.common import may_hold, written
 from tickgrid.llm.components import connected_components
 
 SEED = 42
+MARK = "__set"
 WORDS_EACH = 5
 #: Sets are near copies when PARTS_ALIKE of PARTS of their union is shared.
 PARTS_ALIKE, PARTS = 4, 5
@@ -48,6 +50,18 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], ["doc_id", "set_id"])
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with the set id of each text, the same for equal sets of shingles, in the column MARK."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([_set_id(grams(t.as_py())) for t in batch.column(place)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, MARK])
+
+    return docs.mapInArrow(run, StructType(docs.schema.fields + [StructField(MARK, LongType())]))
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
@@ -141,7 +155,7 @@ def links(docs: DataFrame, n: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, set_id, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, set_id, component, component_id`` for every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reachable over texts whose sets of five-word
     shingles have a Jaccard similarity of 0.8 or more (null where the whole component has
@@ -152,4 +166,4 @@ def near_copies(docs: DataFrame) -> DataFrame:
     low = marks.groupBy("set_id").agg(F.min("doc_id").alias("low"))
     grouped = written(low.join(labels, "set_id", "left").select("set_id", "low", F.coalesce("component", "set_id").alias("component")), "grouped")
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    return marks.join(grouped.join(lowest, "component").select("set_id", "component_id"), "set_id").select("doc_id", "set_id", "component_id")
+    return marks.join(grouped.join(lowest, "component").select("set_id", "component", "component_id"), "set_id").select("doc_id", "set_id", "component", "component_id")

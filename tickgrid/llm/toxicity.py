@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickgrid.llm.common import text_or_empty, written
+from tickgrid.llm.near import MARK, marked, near_copies
 
 #: Subsequences span at most SPAN places; DECAY is what each place costs; longer strings are read in overlapping parts.
 SPAN, DECAY, PART = 7, 0.7, 16
@@ -167,16 +168,20 @@ def fit_words(witnesses: list[str], benign: list[str]) -> tuple[np.ndarray, floa
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled documents that may be learned from (crc32 of the id as text, modulo 4, is not 2), about ``sample`` at most.
 
-    Where there are more, a part is chosen by a hash of the id alone.
+    Where there are more, a part is chosen by a hash of the id alone. Near copies (whole
+    texts, as in the near-dedup stage) with one label count once.
     """
     labelled = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = labelled.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     n = labelled.count()
     if n > sample:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < sample)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(labelled, "doc_id")
-    # Copies would make any of their words look telling: of texts that begin alike one is taken.
-    return rows.withColumn("start", F.substring("text", 1, 64)).dropDuplicates(["start", "toxic"]).drop("start")
+    rows = written(marked(docs.select("doc_id", text_or_empty().alias("text")).join(labelled, "doc_id")), "sample")
+    # Near copies would make any of their words look telling: of each group the smallest doc_id is taken.
+    groups = near_copies(rows).select("doc_id", "set_id", "component").distinct().join(labelled, "doc_id")
+    first = groups.groupBy("component", "toxic").agg(F.min(F.struct("doc_id", "set_id")).alias("first")).select("first.*")
+    kept = rows.join(first.withColumnRenamed("set_id", MARK), ["doc_id", MARK], "left_semi")
+    return kept.groupBy("doc_id", "toxic", MARK).agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
