@@ -120,7 +120,14 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None, digest: Ca
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one per group of equal texts, with the columns of ``docs``."""
-    kept = exact_groups(docs).filter("kept").select("doc_id", "text_sha256")
-    rows = docs.withColumn("__digest", sha256(normalised())).join(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return rows.drop("__digest")
+    """The rows of ``docs`` that stay, exactly one per group of equal texts, with the columns of ``docs``."""
+    # How many rows have the identifier that stays: more than one where it is null or a row is repeated.
+    kept = exact_groups(docs).filter("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).agg(F.count("*").alias("__n"))
+    kept = written(kept, "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
+    rows = docs.withColumn("__digest", sha256(normalised()))
+    one = rows.join(kept.filter("__n = 1"), same, "left_semi")
+    several = kept.filter("__n > 1")
+    if not several.isEmpty():
+        one = one.unionByName(rows.join(several, same, "left_semi").dropDuplicates(["__digest"]))
+    return one.drop("__digest")

@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 
 from tickgrid.llm.common import written
 from tickgrid.llm.components import connected_components
-from tickgrid.llm.near import near_copies
+from tickgrid.llm.near import MARK, marked, near_copies
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -130,7 +130,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near copies have a Jaccard similarity of at least 0.8 over five-word shingles; two bits
     of a fingerprint, the bound of ``near_duplicates``, would leave most of them.
-    Rows that share a doc_id count as one document. Columns are those of ``docs``.
+    Rows that share a doc_id count as one document. Of a group where no row has a doc_id
+    exactly one row stays. Columns are those of ``docs``.
     """
-    kept = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    groups = written(near_copies(docs), "near-copies")
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    unnamed = written(groups.filter("component_id is null").groupBy("component").agg(F.min("set_id").alias(MARK)).select(MARK), "unnamed")
+    if unnamed.isEmpty():
+        return named
+    rows = marked(docs.filter("doc_id is null")).join(unnamed, MARK, "left_semi")
+    return named.unionByName(rows.dropDuplicates([MARK]).select(*docs.columns))
