@@ -52,3 +52,22 @@ def may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__bits", F.expr("cast(__position div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__position") % 8)) % 2 == 1, F.lit(False))
     return out.withColumn("may_hold", found).drop("__bucket", "__position", "__bits")
+
+
+#: Parts that the rows of one key are spread over in ``with_group``.
+SALTS = 1024
+
+
+def with_group(rows: DataFrame, key: str, spread: Column, values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add to each row aggregates over all rows of its ``key``: ``{name: (function, column)}`` of min, max or sum.
+
+    A key may hold any share of the rows: they are summed up in SALTS parts (by a hash of
+    ``spread``), the parts' results are joined to their key's and those to the rows, so no
+    task gets more than a part's rows or SALTS results of one key. Null keys group together.
+    """
+    parts = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    first = parts.groupBy(key, "__salt").agg(*[getattr(F, f)(c).alias(name) for name, (f, c) in values.items()])
+    whole = first.groupBy(F.col(key).alias("__key")).agg(*[getattr(F, f)(name).alias(f"__{name}") for name, (f, _) in values.items()])
+    told = first.select(F.col(key).alias("__own"), F.col("__salt").alias("__part")).join(whole, F.col("__own").eqNullSafe(F.col("__key"))).drop("__key")
+    both = parts.join(told, F.col(key).eqNullSafe(F.col("__own")) & (F.col("__salt") == F.col("__part")))
+    return both.select(*rows.columns, *[F.col(f"__{name}").alias(name) for name in values])
