@@ -2,10 +2,13 @@
 
 Two strings are alike as far as they share subsequences of three letters, each weighted
 down with the room it spans, so an insult with inserted characters or gaps still shares
-most of its subsequences with the plain word. Witness words are taken from the sentences
-of a bounded sample of labelled documents; kernel values against landmark words, whitened,
-are the features of an SVM. Because those features are linear in the subsequence vector of
-a string, the trained model folds into one weight per subsequence, of a fixed size.
+most of its subsequences with the plain word. A bounded sample of labelled documents is
+learned from, sentence by sentence: word statistics give a first model, which points out
+the most suspicious word of each sentence; the SVM is then trained on the sentences,
+each through that word (a sentence of a toxic document is toxic if its worst word is the
+document's worst). Kernel values against landmark words, whitened, are the features. They
+are linear in the subsequence vector of a string, so the model folds into one weight per
+subsequence, of a fixed size.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ SAMPLE_DOCS, CANDIDATES, BENIGN = 10_000, 2_000, 6_000
 LANDMARKS = 96
 #: A witness starts words of toxic documents this much likelier (log odds); at most this share of those found is expected by chance.
 MIN_ODDS, FALSE_SHARE = 1.7, 0.01
-#: The bound on disturbed forms of witnesses that the SVM is trained on.
-FORMS = 40_000
+#: The bounds on disturbed forms of insults and on words of sentences that the SVM is trained on; the weight of sentences that are not their document's worst.
+FORMS, SENTENCE_WORDS, OTHERS = 40_000, 20_000, 0.05
 #: Lengths of word beginnings that are looked at; a stem may be followed by any ending.
 STEMS = range(4, 13)
 THRESHOLD = 0.3
@@ -142,29 +145,71 @@ def _disturbed(word: str) -> list[str]:
     return [word, "".join(c + "." for c in word)[:-1], *(word[:i] + x + word[i:] for i in middle for x in ("x", "-", word[i]))]
 
 
-def fit_words(witnesses: list[str], benign: list[str]) -> tuple[np.ndarray, float]:
-    """Nystroem features against landmarks and a squared-hinge SVM; returned folded, as weights and a bias."""
-    forms = sorted({p for w in witnesses for d in _disturbed(w) for p in parts(d)})
-    positive = sorted({p for w in witnesses for p in wholes(w)}.union(forms[:: -(-len(forms) // FORMS)]))
-    negative = sorted(set(benign) - set(positive))
-    words = positive + negative
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    land = vectors(witnesses[:: -(-len(witnesses) // LANDMARKS)] + negative[:: max(1, len(negative) // LANDMARKS)][:LANDMARKS])
+def nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the landmarks and what whitens kernel values against them."""
+    land = vectors(landmarks)
     value, basis = np.linalg.eigh(land @ land.T)
     keep = value > 1e-6
-    white = basis[:, keep] / np.sqrt(value[keep])
+    return land, basis[:, keep] / np.sqrt(value[keep])
+
+
+def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks: list[str]) -> tuple[np.ndarray, float]:
+    """A squared-hinge SVM on weighted strings, both classes of equal weight in sum; returned folded, as weights and a bias."""
+    words = [*sorted(positive), *sorted(negative)]
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+    cost = np.array([positive[w] for w in sorted(positive)] + [negative[w] for w in sorted(negative)])
+    land, white = nystroem(landmarks)
     z = np.concatenate([(vectors(words[i : i + 1024]) @ land.T) @ white for i in range(0, len(words), 1024)])
-    cost = np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * max(1, len(negative))))
+    for sign in (1, -1):
+        cost[y == sign] /= 2 * max(1e-9, cost[y == sign].sum())
     one = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     ridge = 1e-3 * np.eye(one.shape[1])
     w = np.zeros(one.shape[1])
     for _ in range(25):  # Newton steps on the squared hinge
         active = y * (one @ w) < 1
         inside = one[active] * cost[active, None]
-        w = np.linalg.solve(inside.T @ one[active] / len(y) + ridge, inside.T @ y[active] / len(y))
+        w = np.linalg.solve(inside.T @ one[active] + ridge, inside.T @ y[active])
     return (land.T @ (white @ w[:-1])).astype(np.float64), float(w[-1])
 
 
+def _forms(insults: dict[str, float], bound: int = FORMS) -> dict[str, float]:
+    """Insults with their disturbed forms, as many as the bound allows; the forms of one weigh as much as itself."""
+    out: dict[str, float] = {}
+    found = {w: sorted({p for d in _disturbed(w) for p in parts(d)}) for w in sorted(insults)}
+    step = -(-sum(map(len, found.values())) // bound) or 1
+    for w, forms in found.items():
+        for p in wholes(w):
+            out[p] = out.get(p, 0) + insults[w]
+        some = forms[::step]
+        for p in some:
+            out[p] = out.get(p, 0) + insults[w] / len(some)
+    return out
+
+
+def fit_witnesses(witnesses: list[str], benign: list[str]) -> tuple[np.ndarray, float]:
+    """The first model, from witness words against benign ones."""
+    positive = dict.fromkeys(_forms(dict.fromkeys(witnesses, 1.0)), 1.0)
+    negative = dict.fromkeys(set(benign) - set(positive), 1.0)
+    plain = sorted(negative)
+    return fit_words(positive, negative, witnesses[:: -(-len(witnesses) // LANDMARKS)] + plain[:: max(1, len(plain) // LANDMARKS)][:LANDMARKS])
+
+
+def fit_sentences(sentences: list[tuple[str, float, float]], benign: list[str]) -> tuple[np.ndarray, float]:
+    """The model from sentences, given as (worst word, weight in toxic sentences, weight in benign ones)."""
+    bad = {w: n for w, n, _ in sentences if n}
+    good = {w: n for w, _, n in sentences if n}
+    balance = sum(good.values()) / max(1e-9, sum(bad.values()))
+    # Disturbed forms only of what is toxic more often than not.
+    insults = {w: n for w, n in bad.items() if n * balance > good.get(w, 0)}
+    positive = {w: n for w, n in bad.items() if w not in insults} | _forms(insults)
+    # Words that are in no sentence's worst place are benign too.
+    rest = set(benign) - set(good) - set(positive) - {""}
+    negative = good | dict.fromkeys(rest, sum(good.values()) / max(1, len(rest)))
+    heavy = lambda d: sorted(d, key=lambda w: (-d[w], w))
+    land = heavy(insults)[:LANDMARKS] + heavy(good)[: LANDMARKS // 2] + sorted(rest)[:: max(1, 2 * len(rest) // LANDMARKS)][: LANDMARKS // 2]
+    return fit_words(positive, negative, sorted(set(land)))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled documents that may be learned from (crc32 of the id as text, modulo 4, is not 2), about ``sample`` at most.
 
@@ -216,17 +261,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> dict:
     benign = words.filter("toxic = 0").groupBy("word").agg(F.count("*").alias("good"))
     common = benign.orderBy(F.desc("good"), "word").limit(BENIGN // 3).collect()
     spread = benign.orderBy(F.xxhash64("word"), "word").limit(BENIGN // 3).collect()
-    plain = {p for r in [*common, *spread] for p in parts(_folded(r.word))}
-    beta, bias = fit_words(witnesses, sorted(plain))
-    # The benign words that the first model takes for insults join its negatives.
-    first = scored(benign.select(F.col("word").alias("doc_id"), F.col("word").alias("text")), {"beta": beta, "bias": bias, "scale": None}, "string")
-    hard = first.orderBy(F.desc("score"), "doc_id").limit(BENIGN // 3).collect()
-    plain |= {p for r in hard for p in parts(_folded(r.doc_id))}
-    beta, bias = fit_words(witnesses, sorted(plain))
+    plain = sorted({p for r in [*common, *spread] for p in parts(_folded(r.word))})
+    beta, bias = fit_witnesses(witnesses, plain)
+    beta, bias = fit_sentences(_sentence_words(rows, beta, bias), plain)
     seen = scored(rows, {"beta": beta, "bias": bias, "scale": None}).join(rows.select("doc_id", "toxic"), "doc_id").collect()
     return {"beta": beta, "bias": bias, "scale": _scale(np.array([(r.best, r.hits, r.density) for r in seen]), np.array([r.toxic for r in seen], float))}
 
 
+def _sentence_words(rows: DataFrame, beta: np.ndarray, bias: float) -> list[tuple[str, float, float]]:
+    """The worst word of each sentence under a model, with the weights of its toxic and benign sentences.
+
+    A toxic document's worst sentence counts as toxic and its others not at all; a benign
+    one's worst sentence counts as benign, its others with the weight OTHERS. At most
+    SENTENCE_WORDS words are kept, the heaviest and so the most telling ones.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(beta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value.astype(np.float32)
+        for batch in batches:
+            out: list[tuple] = []
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                found = [{p for u in units(x) for p in parts(_folded(u)) if p} for x in re.split(_SENTENCE, text.as_py())]
+                words = sorted(set().union(*found))
+                if not words:
+                    continue
+                value = dict(zip(words, margins(words, weights, bias).tolist()))
+                worst = [max(f, key=lambda w: (value[w], w)) for f in found if f]
+                first = max(worst, key=lambda w: (value[w], w))
+                out.append((first, float(toxic), float(1 - toxic)))
+                out += [(w, 0.0, OTHERS) for w in worst if not toxic]
+            columns = zip(*out) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()))], ["word", "bad", "good"])
+
+    words = rows.select("text", "toxic").mapInArrow(run, "word string, bad double, good double").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return [tuple(r) for r in words.orderBy(F.desc("bad"), F.desc(F.round("good", 6)), "word").limit(SENTENCE_WORDS).collect()]
+
+
 def _telling(pairs: dict[tuple[int, int], int], tried: int, n_bad: int, n_good: int) -> list[tuple[int, int]]:
     """The counts (toxic, benign) of witnesses, given the number of stems for each pair of counts.
 
