@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -48,10 +49,19 @@ def test_template_folds_and_marks():
     assert [chat.unescape(p[1]) for p in pieces if p[2]] == ["</turn>\\"]
 
 
-@pytest.mark.parametrize("bad", ["{{ a.__class__ | no }}", "{% import os %}", "{% for x in y %}{% endfor %}", "{{ 'a }}", "{% if a %}", "{{ f(a) }}"])
+@pytest.mark.parametrize("bad", ["{{ a.__class__ | no }}", "{% import os %}", "{% for x in y %}{% endfor %}", "{{ 'a }}", "{% if a %}", "{{ f(a) }}",
+    "{{ turn.text }}", "{% for t in turns %}{{ t.role == 'user' }}{% endfor %}", "{% for t in turns %}{{ u.text }}{% endfor %}", "{% for t in turns %}{% for u in turns %}{% endfor %}{% endfor %}", "{{ ('a' == 'b') | trim }}"])
 def test_template_is_sandboxed(bad):
     with pytest.raises(chat.TemplateError):
-        list(chat.compile_template(bad)(iter([])))
+        chat.compile_template(bad)
+
+
+def test_each_loop_sees_all_turns(spark):
+    template = "{% for t in turns %}({{ t.text }}){% endfor %}|{% for t in turns %}{% if loop.first %}!{% endif %}{% generation %}{{ t.text }}{% endgeneration %}{% endfor %}."
+    assert "".join(p[1] for p in chat.compile_template(template)(iter([("user", "a"), ("x", "b")]))) == "(a)(b)|!ab."
+    df = spark.createDataFrame([(1, 0, "user", "a" * 2_000_000), (1, 1, "assistant", ""), (1, 2, "user", "b")], "conv_id long, turn long, role string, text string")
+    rows = chat.format_conversations(df, template).orderBy("start").collect()
+    assert "".join(r.formatted for r in rows) == "(" + "a" * 2_000_000 + ")()(b)|!" + "a" * 2_000_000 + "b."
 
 
 def test_chat_round_trip(spark):
@@ -311,7 +321,7 @@ def _plain_spans(text: str) -> list[tuple]:
 def test_pii_base_equals_plain_patterns(spark):
     r = random.Random(8)
     noise = ["".join(r.choice("0123456789 .-+@a%_()é") for _ in range(120)) for _ in range(300)]
-    texts = [*[t for t in ODD if t is None or len(t) < 50_000], *noise, "4111-1111-1111-1111", "é+33 6 12 34 56 78😀", "001.002.003.004 1.2.3.999", 'token = "abc123abc123abc" end']
+    texts = [*ODD, "a@b.co x " * 3000, "+1 555 123 4567 é " * 500, *noise, "4111-1111-1111-1111", "é+33 6 12 34 56 78😀", "001.002.003.004 1.2.3.999", 'token = "abc123abc123abc" end']
     got = {x.doc_id: x for x in pii.spans(_docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = _plain_spans(t or "")
@@ -324,6 +334,23 @@ def test_pii_base_equals_plain_patterns(spark):
     assert {x.doc_id: x.text for x in red.collect()} == {0: "mail [email] now", 1: None, 2: "plain", None: "no id"} and red.columns[0] == "doc_id"
 
 
+def test_redact_keeps_clashing_columns_and_long_texts(spark):
+    long = "é" * 2500 + " a@b.co 10.0.0.1 " + "x" * 3000 + " c@d.ef"
+    rows = [(0, "call +1 555 123 4567@x.de", "f", "p", "b"), (1, long, "f", "p", "b"), (2, "a@b.co " * 2000, "f", "p", "b")]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, found string, pii string, blocks string")).orderBy("doc_id").collect()
+    assert [r[2:] for r in got] == [("f", "p", "b")] * 3
+    assert got[1].text == "é" * 2500 + " [email] [ip] " + "x" * 3000 + " [email]"
+    assert got[0].text == "call [phone]" and got[2].text == "[email] " * 2000
+
+
+def test_pii_time_grows_with_the_text(spark):
+    texts = ["a.aa.a@b.co " * 100_000, "1.2.3.4 " * 150_000, "+1 555 123 4567," * 60_000, "+1--" * 300_000, "1 " * 600_000]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].n_email, got[1].n_ip, got[2].n_phone, got[3].n_phone, got[4].n_card) == (100_000, 150_000, 60_000, 0, 0)
+    assert time.time() - began < 90
+
+
 def test_labeler_estimates_separate():
     patterns = [((1, 1, 1, 0), 50), ((1, 0, 1, 1), 30), ((-1, -1, 0, -1), 40), ((1, -1, 0, -1), 3)]
     found = pii.estimate(patterns)["posterior"]

@@ -260,6 +260,44 @@ def _value(tree: object) -> Callable[[dict], object]:
     return lambda scope: f(*(a(scope) for a in args))
 
 
+def _is_test(tree: object, names: frozenset[str], place: str) -> bool:
+    """Whether an expression is a test and not a text; unknown names and mixed types raise."""
+    if isinstance(tree, Const):
+        return isinstance(tree.value, bool)
+    if isinstance(tree, Name):
+        if tree.path not in names:
+            raise TemplateError(f"unknown name {tree.path!r} {place}")
+        return tree.path == "loop.first"
+    kinds = [_is_test(a, names, place) for a in tree.args]
+    if tree.op in ("and", "or"):
+        if kinds[0] != kinds[1]:
+            raise TemplateError(f"{tree.op!r} of a test and a text {place}")
+        return kinds[0]
+    if tree.op in ("+", *FILTERS) and any(kinds):
+        raise TemplateError(f"{tree.op!r} needs texts {place}")
+    return tree.op in ("==", "!=", "not")
+
+
+def check(tree: tuple, names: frozenset[str] = frozenset(), inside: bool = False) -> int:
+    """Raise for unknown names, tests put out as text and loops within loops; the number of loops."""
+    n = 0
+    for node in tree:
+        if isinstance(node, Emit):
+            if _is_test(node.value, names, "in an output"):
+                raise TemplateError("a test cannot be put out as text")
+        elif isinstance(node, Branch):
+            _is_test(node.test, names, "in a test")
+            n += check(node.yes, names, inside) + check(node.no, names, inside)
+        elif isinstance(node, Generation):
+            n += check(node.body, names, inside)
+        elif inside:
+            raise TemplateError("a loop over turns inside another")
+        else:
+            check(node.body, names | {f"{node.variable}.role", f"{node.variable}.text", "loop.first"}, True)
+            n += 1
+    return n
+
+
 def _render(tree: tuple, learnt: bool = False) -> Callable[[dict, Iterator], Iterator[Piece]]:
     steps = []
     for node in tree:
@@ -287,9 +325,15 @@ def _render(tree: tuple, learnt: bool = False) -> Callable[[dict, Iterator], Ite
 
 
 def compile_template(source: str) -> Callable[[Iterator[tuple[str, str]]], Iterator[Piece]]:
-    """A function from an iterator of (role, text) to rendered pieces; it holds one turn at a time."""
-    run = _render(fold(parse(source)))
-    return lambda turns: run({"#": -1}, turns)
+    """A function from an iterator of (role, text) to rendered pieces.
+
+    It holds one turn at a time; a template with several loops holds a conversation's turns,
+    since each loop goes over all of them. Faults in the template raise here.
+    """
+    tree = parse(source)
+    loops = check(tree)
+    run = _render(fold(tree))
+    return lambda turns: run({"#": -1}, turns if loops < 2 else list(turns))
 
 
 # --- Spark -------------------------------------------------------------------------

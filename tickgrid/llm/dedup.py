@@ -120,7 +120,14 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None, digest: Ca
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, exactly one per group of equal texts, with the columns of ``docs``."""
+    """The rows of ``docs`` that stay, exactly one per group of equal texts, with the columns of ``docs``, whatever those are called."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    names = dict(zip(docs.columns, own)) | {"doc_id": "doc_id", "text": "text"}
+    kept = _first_rows(docs.toDF(*[names[c] for c in docs.columns]))
+    return kept.toDF(*docs.columns)
+
+
+def _first_rows(docs: DataFrame) -> DataFrame:
     # How many rows have the identifier that stays: more than one where it is null or a row is repeated.
     kept = exact_groups(docs).filter("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).agg(F.count("*").alias("__n"))
     kept = written(kept, "kept")
