@@ -145,6 +145,49 @@ def test_cut_and_configurations():
     assert sum(t for _, t in packing.configurations({342: 300, 341: 600})) == 300
 
 
+def _fewest(histogram: dict, capacity: int) -> int:
+    """The fewest sequences, by trying all ways to fill one after the other."""
+    from functools import lru_cache
+
+    lengths = sorted(histogram, reverse=True)
+
+    @lru_cache(maxsize=None)
+    def fewest(left: tuple) -> int:
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)  # the longest piece left goes into the next sequence
+        best = sum(left)
+
+        def fill(i: int, room: int, now: tuple) -> None:
+            nonlocal best
+            if i == len(now):
+                best = min(best, 1 + fewest(now))
+                return
+            for n in range(min(now[i], room // lengths[i]), -1, -1):
+                fill(i + 1, room - n * lengths[i], now[:i] + (now[i] - n,) + now[i + 1 :])
+
+        fill(0, capacity - lengths[first], left[:first] + (left[first] - 1,) + left[first + 1 :])
+        return best
+
+    return fewest(tuple(histogram[k] for k in lengths))
+
+
+def test_plans_are_near_the_optimum():
+    r = random.Random(11)
+    for _ in range(40):
+        case = {r.randrange(1, 25): r.randrange(1, 5) for _ in range(r.randrange(1, 5))}
+        plan = sum(t for _, t in packing.configurations(case, 24))
+        assert _fewest(case, 24) <= plan <= _fewest(case, 24) + 1
+
+
+def test_program_reaches_the_bound_on_large_histograms():
+    r = random.Random(12)
+    case = {n: r.randrange(150, 250) * (3 if n < 300 else 1) for n in range(1, 1025)}
+    plan, rest = packing.solve(case, 1024)
+    total = plan.total() + packing.best_fit(rest, 1024).total()
+    assert total <= -(-sum(k * n for k, n in case.items()) // 1024) + 1 and plan.total() > 0.9 * total
+
+
 def test_packed_sequences_are_gapless(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [*ODD, *(f"text {i} " * (i % 90 + 1) for i in range(200))]

@@ -3,8 +3,9 @@
 The number of distinct piece lengths is bounded by the capacity, so the whole corpus
 is summed up by one histogram. Over it a configuration linear program (how many
 sequences to fill in which way) is solved by multiplicative weights, each round pricing
-the best configuration by a knapsack recurrence. The fractional answer is rounded down
-and the rest is filled best-fit. Pieces then take their places by rank, in Spark.
+the best configuration by a knapsack recurrence. A round takes its configuration as often
+as the pieces left allow, rounded down, so the answer is whole; what no full configuration
+holds is filled best-fit. Pieces then take their places by rank, in Spark.
 """
 
 from __future__ import annotations
@@ -27,10 +28,8 @@ CAPACITY = 1024
 END_OF_TEXT = 2
 #: Pieces of one length are ranked in this many groups, so that a very common length is no single task.
 RANK_GROUPS = 256
-#: Rounds of multiplicative weights, how far a round's configuration covers its scarcest length, and how fast weights fall.
-ROUNDS, STEP, RATE = 1500, 0.5, 0.1
-#: Rounding keeps configurations that leave at most this many tokens free; the rest is left to best-fit.
-SLACK = 1
+#: Rounds of multiplicative weights at most, how fast the weight of a length falls as it is covered, and how much more a long piece is worth than its tokens.
+ROUNDS, RATE, TILT = 4000, 0.1, 0.02
 
 #: Split pattern of the byte-level vocabulary (a fixed value of that public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -84,7 +83,7 @@ def best_configuration(values: np.ndarray, lengths: np.ndarray, capacity: int) -
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
         total = worth[1 : room + 1] + best[room - 1 :: -1][:room]
-        k = int(total.argmax())
+        k = room - 1 - int(total[::-1].argmax())  # of equal ones the longest
         if total[k] > best[room - 1]:
             best[room], choice[room] = total[k], k + 1
         else:
@@ -99,23 +98,43 @@ def best_configuration(values: np.ndarray, lengths: np.ndarray, capacity: int) -
     return found
 
 
-def solve_fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Multiplicative weights on the configuration program: configuration -> how often, fractional."""
+def _priced(weights: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[Counter, int]:
+    """A configuration of great weight that the pieces left allow, and the room it leaves; the knapsack is solved anew for room that a scarce length left."""
+    place = {int(n): i for i, n in enumerate(lengths)}
+    found, room, left = Counter(), capacity, left.copy()
+    while room and (usable := (left > 0) & (lengths <= room) & (weights > 0)).any():
+        for length, n in best_configuration(weights[usable], lengths[usable], room).items():
+            n = min(n, int(left[place[length]]))
+            found[length] += n
+            left[place[length]] -= n
+            room -= n * length
+    return found, room
+
+
+def solve(histogram: dict[int, int], capacity: int, drop: bool = True, rounds: int = ROUNDS) -> tuple[Counter, dict[int, int]]:
+    """Multiplicative weights on the configuration program: full configurations with how often, and the pieces left.
+
+    The weight of a length falls by exp(-RATE) as all its pieces are covered. Where the
+    configuration found is not full, its longest length is left for best-fit and the others
+    go on (``drop``), or all that is left is best-fit's.
+    """
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[int(n)] for n in lengths], float)
     place = {int(n): i for i, n in enumerate(lengths)}
-    covered, plan = np.zeros(len(lengths)), defaultdict(float)
+    left, dropped, plan = need.copy(), np.zeros(len(lengths), bool), Counter()
     for _ in range(rounds):
-        if covered.min(initial=1.0) >= 1 - 1e-9:
+        weights = np.where((left > 0) & ~dropped, lengths / capacity * (1 + TILT * lengths / capacity) * np.exp(-RATE * (1 - left / need)), 0)
+        found, room = _priced(weights, lengths, left, capacity)
+        if not found or room and not drop:
             break
-        weights = np.where(covered < 1 - 1e-9, lengths / capacity * np.exp(-RATE * covered), 0)
-        found = best_configuration(weights, lengths, capacity)
-        held = {k: n for k, n in found.items() if weights[place[k]] > 0}
-        times = STEP * min(need[place[k]] / n for k, n in held.items())
-        for k, n in held.items():
-            covered[place[k]] += times * n / need[place[k]]
-        plan[tuple(sorted(held.items(), reverse=True))] += times
-    return plan
+        if room:
+            dropped[place[max(found)]] = True
+            continue
+        times = int(min(left[place[k]] // n for k, n in found.items()))
+        for k, n in found.items():
+            left[place[k]] -= times * n
+        plan[tuple(sorted(found.items(), reverse=True))] += times
+    return plan, {int(k): int(n) for k, n in zip(lengths, left) if n}
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
@@ -145,17 +164,15 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Whole configurations that hold the histogram exactly: the rounded program, or best-fit where that needs fewer."""
-    rest, plan = dict(histogram), Counter()
-    for config, times in sorted(solve_fractional(histogram, capacity).items(), key=lambda x: (-x[1], x[0])):
-        whole = min(int(times + 1e-9), *(rest[k] // n for k, n in config))
-        if whole > 0 and sum(k * n for k, n in config) >= capacity - SLACK:
-            plan[config] += whole
-            for k, n in config:
-                rest[k] -= whole * n
-    plan.update(best_fit({k: n for k, n in rest.items() if n}, capacity))
-    plain = best_fit(histogram, capacity)
-    return sorted((plan if plan.total() <= plain.total() else plain).items(), reverse=True)
+    """Whole configurations that hold the histogram exactly: the program's, or best-fit where that needs fewer."""
+    plans = []
+    for drop in (True, False):
+        plan, rest = solve(histogram, capacity, drop)
+        plan.update(best_fit(rest, capacity))
+        plans.append(plan)
+        if plan.total() == -(-sum(k * n for k, n in histogram.items()) // capacity):
+            break  # no plan needs fewer
+    return sorted(min([*plans, best_fit(histogram, capacity)], key=Counter.total).items(), reverse=True)
 
 
 def places(plan: list[tuple[tuple, int]]) -> list[tuple[int, int, int, int, int, int]]:
