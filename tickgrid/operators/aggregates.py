@@ -22,25 +22,36 @@ def sector_threat(units: DataFrame, players: DataFrame, viewer: int, size: int)
     return with_relation(units, players, viewer).groupBy(*_sectors(size)).agg(F.sum(signed).alias("threat"))
 
 
-def armed(units: DataFrame, kinds: DataFrame, weapons: DataFrame) -> DataFrame:
-    """Units with ``power``, from the two weapons of their kind."""
-    w = lambda p: weapons.select(F.col("weapon_id").alias(f"{p}_id"), F.col("damage").alias(f"{p}_damage"), F.col("range").alias(f"{p}_range"), F.col("rof").alias(f"{p}_rof"))
+def armed(units: DataFrame, kinds: DataFrame, weapons: DataFrame, projectiles: DataFrame) -> DataFrame:
+    """Units with ``power``, from the two weapons of their kind, and whether either can hit the ground or the air."""
+    hits = weapons.join(projectiles, "projectile_id", "left")
+    w = lambda p: hits.select(F.col("weapon_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("damage", "range", "rof", "anti_ground", "anti_air")])
     rules = kinds.join(w("p"), F.col("primary_w") == F.col("p_id"), "left").join(w("s"), F.col("secondary_w") == F.col("s_id"), "left")
     power = firepower(F.col("hp"), F.col("max_hp"), [tuple(F.col(f"{p}_{c}") for c in ("damage", "range", "rof")) for p in "ps"])
-    return units.join(rules.drop("name"), "kind_id", "left").withColumn("power", power)
+    either = lambda c: F.coalesce(f"p_{c}", F.lit(False)) | F.coalesce(f"s_{c}", F.lit(False))
+    out = units.join(rules.drop("name"), "kind_id", "left").withColumn("power", power)
+    return out.withColumn("anti_ground", either("anti_ground")).withColumn("anti_air", either("anti_air"))
 
 
-def power_totals(units: DataFrame, kinds: DataFrame, weapons: DataFrame, players: DataFrame, viewer: int) -> DataFrame:
-    """Nine totals in one pass: enemy and own power on ground and in the air, armed and defensive, and the units counted."""
-    u = armed(with_relation(units, players, viewer), kinds, weapons)
+def power_totals(
+    units: DataFrame, kinds: DataFrame, weapons: DataFrame, projectiles: DataFrame, players: DataFrame, cells: DataFrame, viewer: int,
+    ground: Column, flying: Column, building: Column, combatant: Column, size: int = 8,
+) -> DataFrame:
+    """Nine totals in one row: how certain the view is (visible share), and the power seen and owned.
+
+    Of enemies the units on the ground, those that fly, those other than buildings that hit
+    the air, and buildings that hit the ground; of the viewer's own the buildings that hit the
+    ground, combatants that hit the ground, combatants and buildings that hit the air, and
+    flying combatants. The four classes are given as conditions over a unit with its kind.
+    """
+    u = armed(with_relation(units, players, viewer), kinds, weapons, projectiles)
     enemy, own = F.col("relation") == "enemy", F.col("relation") == "self"
-    ground, still = F.col("zone") == "F", F.col("stance") == "N"
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("power"))), F.lit(0.0))
-    return u.agg(
-        total(enemy & ground & ~still).alias("enemy_land"), total(enemy & ~ground & ~still).alias("enemy_air"), total(enemy & still).alias("enemy_defence"),
-        total(own & ground & ~still).alias("own_land"), total(own & ~ground & ~still).alias("own_air"), total(own & still).alias("own_defence"),
-        total(enemy).alias("enemy_power"), total(own).alias("own_power"), F.count(F.when(enemy | own, 1)).alias("counted"),
+    totals = u.agg(
+        total(enemy & ground).alias("enemy_ground"), total(enemy & flying).alias("enemy_air"), total(enemy & ~building & F.col("anti_air")).alias("enemy_anti_air"), total(enemy & building & F.col("anti_ground")).alias("enemy_defence"),
+        total(own & building & F.col("anti_ground")).alias("own_defence"), total(own & combatant & F.col("anti_ground")).alias("own_anti_ground"), total(own & (combatant | building) & F.col("anti_air")).alias("own_anti_air"), total(own & flying & combatant).alias("own_air"),
     )
+    return totals.crossJoin(overall_visibility(cells, size).select(F.col("visibility").alias("certainty")))  # one row each
 
 
 def visibility(cells: DataFrame, size: int) -> DataFrame:

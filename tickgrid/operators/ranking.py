@@ -126,12 +126,19 @@ def pick_target(units: DataFrame, viewers: DataFrame, enemies: DataFrame, starts
     return out.select("viewer", kind.alias("kind"), (-F.col("t.neg")).alias("unit_id"), F.coalesce("t.x", "s.sx").alias("x"), F.coalesce("t.y", "s.sy").alias("y"))
 
 
-def split_quota(sets: DataFrame, total: int, priority: float) -> DataFrame:
-    """Whole targets per member in proportion to weights (halves up), and an equal share of a priority."""
+def split_quota(sets: DataFrame, total: int, priority: float, owned: DataFrame) -> DataFrame:
+    """Whole targets per member in proportion to weights (halves up), what is missing of each, and its share of a priority.
+
+    The share goes by the number missing among all missing of the set; it is null where the
+    set misses none. ``owned(set_id, item, owned)`` has a row per member at most.
+    """
     rows = sets.select("set_id", F.explode("members").alias("item", "w"))
     own = W.partitionBy("set_id")
     target = half_up(total * F.col("w") / F.sum("w").over(own)).cast("long")
-    return rows.select("set_id", "item", target.alias("target"), (F.lit(priority) / F.count("*").over(own)).alias("share"))
+    counted = rows.withColumn("target", target).join(owned, ["set_id", "item"], "left")
+    missing = counted.withColumn("missing", F.greatest(F.col("target") - F.coalesce("owned", F.lit(0)), F.lit(0)).cast("long"))
+    share = F.try_divide(F.lit(priority) * F.col("missing"), F.sum("missing").over(own))
+    return missing.withColumn("share", share).select("set_id", "item", "target", "missing", "share")
 
 
 def seeded_pick(df: DataFrame, by: str, key: str, seed: str) -> DataFrame:

@@ -1,30 +1,81 @@
-"""A book of priority rules that compile to one column expression."""
+"""A book of priority, cap and placement rules that compile to column expressions.
+
+Rules are code, their parameters are rows: ``with_parameters`` joins a rules table to the
+options, so that a kind gets another rule or other numbers without code.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Make = Callable[[], Column]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Functions without arguments that give a Column over the option's row; without a cap there is no limit, without a place there is the base."""
+
+    priority: Make
+    cap: Make | None = None
+    place: Make | None = None
+
 
 class RuleBook:
-    """Rules by family name. A rule is a function without arguments that gives a Column over the option's row."""
+    """Rules by family name."""
 
     def __init__(self) -> None:
-        self._rules: dict[str, Callable[[], Column]] = {}
+        self._rules: dict[str, Rule] = {}
 
-    def register(self, name: str, rule: Callable[[], Column]) -> RuleBook:
-        self._rules[name] = rule
+    def register(self, name: str, rule: Make, cap: Make | None = None, place: Make | None = None) -> RuleBook:
+        self._rules[name] = Rule(rule, cap, place)
         return self
 
-    def priority(self, family: str = "family", fallback: Column | None = None) -> Column:
-        """One chain of cases; families without a rule get minus the number owned."""
-        otherwise = -F.col("owned").cast("double") if fallback is None else fallback
+    def _chain(self, family: str, part: Callable[[Rule], Make | None], fallback: Column) -> Column:
         chain = F
         for name, rule in sorted(self._rules.items()):
-            chain = chain.when(F.col(family) == name, rule())
-        return chain.otherwise(otherwise) if self._rules else otherwise
+            if (make := part(rule)) is not None:
+                chain = chain.when(F.col(family) == name, make())
+        return fallback if chain is F else chain.otherwise(fallback)
+
+    def priority(self, family: str = "family", fallback: Column | None = None) -> Column:
+        """One chain of cases; families without a rule get minus the number owned."""
+        return self._chain(family, lambda r: r.priority, -F.col("owned").cast("double") if fallback is None else fallback)
+
+    def max_count(self, family: str = "family") -> Column:
+        """How many of an option there may be; null without limit."""
+        return self._chain(family, lambda r: r.cap, F.lit(None).cast("long"))
+
+    def placement(self, family: str = "family") -> Column:
+        """Where an option is wanted, as ``struct<x, y>``: the base, unless a rule says otherwise."""
+        return self._chain(family, lambda r: r.place, base_place())
+
+
+def with_parameters(options: DataFrame, rules: DataFrame) -> DataFrame:
+    """Options with the parameters of their item from a rules table ``(item, family, ..)``; without a row the family is ``other``."""
+    return options.join(rules, "item", "left").withColumn("family", F.coalesce("family", F.lit("other")))
+
+
+def base_place() -> Column:
+    return F.struct(F.col("base_x").alias("x"), F.col("base_y").alias("y"))
+
+
+def front_place() -> Column:
+    """A quarter of the way from the base to the front, in whole cells (halves up)."""
+    step = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) / 4 + 0.5).cast("int")
+    return F.struct(step("base_x", "front_x").alias("x"), step("base_y", "front_y").alias("y"))
+
+
+def column_cap() -> Column:
+    return F.col("cap").cast("long")
+
+
+def threat_cap() -> Column:
+    """One more for each time the threat exceeds the own strength, up to the cap."""
+    return F.least(F.col("cap"), 1 + F.floor(F.col("threat") / F.greatest(F.lit(1.0), F.col("strength")))).cast("long")
 
 
 def basic_rule() -> Column:
@@ -46,4 +97,4 @@ def threat_rule() -> Column:
 
 
 def standard_rules() -> RuleBook:
-    return RuleBook().register("basic", basic_rule).register("power", power_rule).register("threat", threat_rule)
+    return RuleBook().register("basic", basic_rule, column_cap).register("power", power_rule).register("threat", threat_rule, threat_cap, front_place)

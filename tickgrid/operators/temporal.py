@@ -90,12 +90,23 @@ def idle_stages(df: DataFrame, key: str, ts: str, id_column: str, soft: int, har
     return df.withColumn("gap", gap).withColumn("stage", stage)
 
 
-def ramp(df: DataFrame, key: str, ts: str, id_column: str, reset: Column, p0: float, rate: float = 1.01, cap: float = 50.0) -> DataFrame:
-    """Add ``update_no`` since the last reset and ``priority``, which grows by ``rate`` an update up to ``cap``."""
+def ramp(
+    df: DataFrame, key: str, ts: str, id_column: str, reset: Column, p0: float, size: int, smallest: int, rate: float = 1.01, cap: float = 50.0, every: int = 240,
+) -> DataFrame:
+    """Updates since the last reset: ``update_no``, a growing ``priority``, a falling ``requested`` size, and whether it ``ended``.
+
+    The priority grows by ``rate`` an update up to ``cap``. The size falls by one at an update
+    more than ``every`` after the last fall (or the first update); below ``smallest`` it ends.
+    """
     w = _past(key, ts, id_column)
     island = df.withColumn("__island", F.sum(F.when(reset, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    n = F.row_number().over(W.partitionBy(key, "__island").orderBy(ts, id_column)) - 1
-    return island.withColumn("update_no", n).withColumn("priority", F.least(F.lit(p0) * F.pow(F.lit(rate), F.col("update_no")), F.lit(cap))).drop("__island")
+    own = W.partitionBy(key, "__island").orderBy(ts, id_column)
+    falls = cooldown(island.select(F.struct(key, "__island").alias("__group"), key, ts, id_column), "__group", ts, id_column, every, strict=True)
+    marked = island.join(falls.select(key, id_column, F.lit(1).alias("__fall")), [key, id_column], "left")
+    requested = size + 1 - F.sum(F.coalesce("__fall", F.lit(0))).over(own)  # the first update counts no fall
+    out = marked.withColumn("update_no", F.row_number().over(own) - 1).withColumn("requested", requested.cast("int"))
+    out = out.withColumn("priority", F.least(F.lit(p0) * F.pow(F.lit(rate), F.col("update_no")), F.lit(cap))).withColumn("ended", F.col("requested") < smallest)
+    return out.select(*df.columns, "update_no", "priority", "requested", "ended")
 
 
 def retry_exclusion(outcomes: DataFrame, key: str, reason: str, reasons: list[str], most: int = 3) -> DataFrame:
@@ -105,26 +116,38 @@ def retry_exclusion(outcomes: DataFrame, key: str, reason: str, reasons: list[st
     return counts.withColumn("excluded", excluded).withColumn("escort", F.col(reasons[0]) + 1)
 
 
+#: Rows back to which ``halving_mean`` reads: what is further weighs less than a double of the sum can hold.
+HALVINGS = 60
+
+
 def halving_mean(df: DataFrame, key: str, ts: str, id_column: str, value: str) -> DataFrame:
-    """Per key ``L += (v - L) / 2`` over its rows in order, from 0.
+    """Per key ``L += (v - L) / 2`` over its rows in order, from 0, and the number of rows.
 
-    A row ``k`` places from the end weighs ``2^-(k+1)``; past 60 places that is nothing in
-    a double, so a window over places and a sum are the fold.
+    A row ``k`` places from the end weighs ``2^-(k+1)``. Only the last HALVINGS rows of a key
+    are ranked (Spark keeps no more of a group in each task), all are counted.
     """
     k = F.row_number().over(W.partitionBy(key).orderBy(F.desc(ts), F.desc(id_column)))
-    return df.withColumn("__k", k).groupBy(key).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("__k"))).alias("level"), F.count("*").alias("n"))
+    last = df.withColumn("__k", k).filter(F.col("__k") <= HALVINGS)
+    level = last.groupBy(key).agg(F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("__k"))).alias("level"))
+    return level.join(df.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def group_lifecycle(df: DataFrame, name: str, ts: str, id_column: str, kind: str, starts: str, ends: str) -> DataFrame:
+def group_lifecycle(df: DataFrame, name: str, ts: str, id_column: str, kind: str, starts: str, ends: str, reason: Column) -> DataFrame:
     """Intervals of named groups: a start counts only when none of the name is active; the next end closes it.
 
-    Returned are name, start, end (null while open) and duration.
+    Returned are name, start, end and the reason of the closing row (both null while open), and duration.
     """
     w = _past(name, ts, id_column)
     rows = df.filter(F.col(kind).isin(starts, ends))
     flips = rows.withColumn("__before", F.lag(kind).over(w)).filter((F.col(kind) == starts) & (F.col("__before").isNull() | (F.col("__before") == ends)) | (F.col(kind) == ends) & (F.col("__before") == starts))
-    spans = flips.withColumn("end", F.lead(ts).over(w)).filter(F.col(kind) == starts)
-    return spans.select(name, F.col(ts).alias("start"), "end", (F.col("end") - F.col(ts)).alias("duration"))
+    spans = flips.withColumn("end", F.lead(ts).over(w)).withColumn("reason", F.lead(reason).over(w)).filter(F.col(kind) == starts)
+    return spans.select(name, F.col(ts).alias("start"), "end", (F.col("end") - F.col(ts)).alias("duration"), "reason")
+
+
+def lifecycle_by_reason(spans: DataFrame) -> DataFrame:
+    """Closed intervals by reason: how many, and their mean and longest duration."""
+    closed = spans.filter(F.col("end").isNotNull())
+    return closed.groupBy("reason").agg(F.count("*").alias("n"), F.avg("duration").alias("mean_duration"), F.max("duration").alias("longest"))
 
 
 def per_period(df: DataFrame, ts: str, every: str, aggs: list[Column]) -> DataFrame:

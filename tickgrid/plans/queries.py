@@ -14,7 +14,7 @@ from tickgrid.operators import joins as J
 from tickgrid.operators import predicates as P
 from tickgrid.operators import ranking as R
 from tickgrid.operators import temporal as T
-from tickgrid.operators.rules import standard_rules
+from tickgrid.operators.rules import standard_rules, with_parameters
 from tickgrid.sources import tables as S
 from tickgrid.sources.fixtures import duckdb_views, event_time, view
 from tickgrid.sources.shared import shared_dir
@@ -66,9 +66,9 @@ def s1_scan_cells(v):
 
 
 @query(f"""SELECT u.unit_id, u.owner, u.kind_id FROM v_units u JOIN v_players p ON u.owner = p.player JOIN v_kinds k ON u.kind_id = k.kind_id
-    WHERE u.owner <> {VIEWER} AND NOT (p.team = (SELECT team FROM v_players WHERE player = {VIEWER}) AND NOT p.is_neutral) AND NOT p.is_neutral AND p.is_combatant AND k.cost > 1200""")
+    WHERE u.owner <> {VIEWER} AND NOT (p.team = (SELECT team FROM v_players WHERE player = {VIEWER}) AND NOT p.is_neutral) AND NOT p.is_neutral AND p.is_combatant AND k.cost > 905""")
 def s2_scan_units(v):
-    return S.scan_units(v.units, v.players, v.kinds, VIEWER, "enemy", F.col("cost") > 1200).select("unit_id", "owner", "kind_id")
+    return S.scan_units(v.units, v.players, v.kinds, VIEWER, "enemy", F.col("cost") > 905).select("unit_id", "owner", "kind_id")
 
 
 @query("SELECT event_id, key, kind, value FROM v_events")
@@ -247,11 +247,11 @@ def j12_missing_members(v):
     return J.missing_members(target, v.events.filter("tick >= 20000 and key % 2 = 0").select(F.col("kind").alias("item")))
 
 
-@query("""WITH a AS (SELECT key AS unit_id, kind AS group_id FROM v_events WHERE event_id % 3 = 0), u AS (SELECT DISTINCT key AS unit_id FROM v_events WHERE event_id % 3 = 1)
+@query("""WITH a AS (SELECT key AS unit_id, kind AS group_id FROM v_events WHERE event_id % 3 = 0), u AS (SELECT DISTINCT key AS unit_id FROM v_events WHERE event_id % 3 = 1 AND value > 80)
     SELECT unit_id, 'dead' AS problem FROM (SELECT DISTINCT unit_id FROM a) WHERE unit_id NOT IN (SELECT unit_id FROM u) UNION ALL SELECT unit_id, 'shared' FROM a GROUP BY unit_id HAVING count(DISTINCT group_id) > 1""")
 def j13_audit_assignments(v):
     assign = v.events.filter("event_id % 3 = 0").select(F.col("key").alias("unit_id"), F.col("kind").alias("group_id"))
-    return J.audit_assignments(assign, v.events.filter("event_id % 3 = 1").select(F.col("key").alias("unit_id")).distinct())
+    return J.audit_assignments(assign, v.events.filter("event_id % 3 = 1 and value > 80").select(F.col("key").alias("unit_id")).distinct())
 
 
 @query(f"SELECT p.player, p.x, p.y FROM v_players p JOIN v_cells c ON c.x = p.x AND c.y = p.y WHERE p.player <> {VIEWER} AND NOT c.visible")
@@ -273,15 +273,20 @@ def a1_sector_threat(v):
     return A.sector_threat(v.units, v.players, VIEWER, 8)
 
 
-@query(f"""WITH t AS (SELECT {RELATION} AS rel, zone = 'F' AS ground, stance = 'N' AS still, {POWER} AS power FROM v_units u LEFT JOIN v_players p ON u.owner = p.player LEFT JOIN v_kinds k ON u.kind_id = k.kind_id
-      LEFT JOIN v_weapons w1 ON k.primary_w = w1.weapon_id LEFT JOIN v_weapons w2 ON k.secondary_w = w2.weapon_id)
-    SELECT round(coalesce(sum(power) FILTER (rel = 'enemy' AND ground AND NOT still), 0), 2) AS enemy_land, round(coalesce(sum(power) FILTER (rel = 'enemy' AND NOT ground AND NOT still), 0), 2) AS enemy_air,
-      round(coalesce(sum(power) FILTER (rel = 'enemy' AND still), 0), 2) AS enemy_defence, round(coalesce(sum(power) FILTER (rel = 'self' AND ground AND NOT still), 0), 2) AS own_land,
-      round(coalesce(sum(power) FILTER (rel = 'self' AND NOT ground AND NOT still), 0), 2) AS own_air, round(coalesce(sum(power) FILTER (rel = 'self' AND still), 0), 2) AS own_defence,
-      round(coalesce(sum(power) FILTER (rel = 'enemy'), 0), 2) AS enemy_power, round(coalesce(sum(power) FILTER (rel = 'self'), 0), 2) AS own_power, count(*) FILTER (rel IN ('enemy', 'self')) AS counted FROM t""")
+@query(f"""WITH t AS (SELECT {RELATION} AS rel, zone = 'F' AND stance <> 'N' AS ground, zone <> 'F' AS flying, stance = 'N' AS building, stance = 'R' AS combatant, {POWER} AS power,
+      coalesce(p1.anti_ground, false) OR coalesce(p2.anti_ground, false) AS anti_ground, coalesce(p1.anti_air, false) OR coalesce(p2.anti_air, false) AS anti_air
+      FROM v_units u LEFT JOIN v_players p ON u.owner = p.player LEFT JOIN v_kinds k ON u.kind_id = k.kind_id
+      LEFT JOIN v_weapons w1 ON k.primary_w = w1.weapon_id LEFT JOIN v_weapons w2 ON k.secondary_w = w2.weapon_id
+      LEFT JOIN v_projectiles p1 ON w1.projectile_id = p1.projectile_id LEFT JOIN v_projectiles p2 ON w2.projectile_id = p2.projectile_id),
+    s AS (SELECT floor(x / 8.0) AS sx, floor(y / 8.0) AS sy, count(*) FILTER (terrain IS NOT NULL AND visible) / nullif(CAST(count(terrain) AS DOUBLE), 0) AS ratio FROM v_cells GROUP BY 1, 2)
+    SELECT round((SELECT avg(ratio) FROM s), 6) AS certainty, round(coalesce(sum(power) FILTER (rel = 'enemy' AND ground), 0), 2) AS enemy_ground, round(coalesce(sum(power) FILTER (rel = 'enemy' AND flying), 0), 2) AS enemy_air,
+      round(coalesce(sum(power) FILTER (rel = 'enemy' AND NOT building AND anti_air), 0), 2) AS enemy_anti_air, round(coalesce(sum(power) FILTER (rel = 'enemy' AND building AND anti_ground), 0), 2) AS enemy_defence,
+      round(coalesce(sum(power) FILTER (rel = 'self' AND building AND anti_ground), 0), 2) AS own_defence, round(coalesce(sum(power) FILTER (rel = 'self' AND combatant AND anti_ground), 0), 2) AS own_anti_ground,
+      round(coalesce(sum(power) FILTER (rel = 'self' AND (combatant OR building) AND anti_air), 0), 2) AS own_anti_air, round(coalesce(sum(power) FILTER (rel = 'self' AND flying AND combatant), 0), 2) AS own_air FROM t""")
 def a2_power_totals(v):
-    out = A.power_totals(v.units, v.kinds, v.weapons, v.players, VIEWER)
-    return out.select(*[F.round(c, 2).alias(c) if t == "double" else c for c, t in out.dtypes])
+    building = F.col("stance") == "N"
+    out = A.power_totals(v.units, v.kinds, v.weapons, v.projectiles, v.players, v.cells, VIEWER, (F.col("zone") == "F") & ~building, F.col("zone") != "F", building, F.col("stance") == "R")
+    return out.select(F.round("certainty", 6).alias("certainty"), *[F.round(c, 2).alias(c) for c in out.columns if c != "certainty"])
 
 
 @query("""WITH s AS (SELECT floor(x / 8.0) AS sx, floor(y / 8.0) AS sy, count(*) FILTER (terrain IS NOT NULL AND visible) / nullif(CAST(count(terrain) AS DOUBLE), 0) AS ratio FROM v_cells GROUP BY 1, 2)
@@ -464,11 +469,14 @@ def w9_pick_target(v):
     return R.pick_target(v.units.filter("owner < 20 and hp > 45"), v.players.select(F.col("player").alias("viewer")), enemies, starts, focus, F.col("stance") == "N")
 
 
-@query("""WITH s AS (SELECT family AS set_id, class AS item, count(*) AS w FROM v_kinds GROUP BY 1, 2)
-    SELECT set_id, item, CAST(floor(40 * w / CAST(sum(w) OVER (PARTITION BY set_id) AS DOUBLE) + 0.5) AS BIGINT) AS target, round(50.0 / count(*) OVER (PARTITION BY set_id), 6) AS share FROM s""")
+@query("""WITH s AS (SELECT family AS set_id, class AS item, count(*) AS w FROM v_kinds GROUP BY 1, 2), o AS (SELECT family AS set_id, class AS item, count(*) AS owned FROM v_kinds WHERE secondary_w IS NULL GROUP BY 1, 2),
+    t AS (SELECT set_id, item, CAST(floor(40 * w / CAST(sum(w) OVER (PARTITION BY set_id) AS DOUBLE) + 0.5) AS BIGINT) AS target FROM s),
+    m AS (SELECT set_id, item, target, greatest(target - coalesce(owned, 0), 0) AS missing FROM t LEFT JOIN o USING (set_id, item))
+    SELECT set_id, item, target, missing, round(50.0 * missing / nullif(CAST(sum(missing) OVER (PARTITION BY set_id) AS DOUBLE), 0), 6) AS share FROM m""")
 def w10_split_quota(v):
     sets = v.kinds.groupBy(F.col("family").alias("set_id"), "class").count().groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("class", "count"))).alias("members"))
-    return R.split_quota(sets, 40, 50.0).withColumn("share", F.round("share", 6))
+    owned = v.kinds.filter("secondary_w is null").groupBy(F.col("family").alias("set_id"), F.col("class").alias("item")).agg(F.count("*").alias("owned"))
+    return R.split_quota(sets, 40, 50.0, owned).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT kind, event_id FROM (SELECT kind, event_id, row_number() OVER (PARTITION BY kind ORDER BY md5(CAST(event_id AS VARCHAR) || 'seed'), event_id) AS n FROM v_events) WHERE n = 1")
@@ -526,10 +534,14 @@ def t7_idle_stages(v):
     return T.idle_stages(v.events, "key", "tick", "event_id", 1440, 2880).select("event_id", "gap", "stage")
 
 
-@query("""WITH i AS (SELECT *, sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY tick, event_id ROWS UNBOUNDED PRECEDING) AS island FROM v_events),
-    n AS (SELECT event_id, CAST(row_number() OVER (PARTITION BY key, island ORDER BY tick, event_id) - 1 AS INT) AS update_no FROM i) SELECT event_id, update_no, round(least(5.0 * pow(1.01, update_no), 50.0), 6) AS priority FROM n""")
+@query("""WITH RECURSIVE i AS (SELECT *, sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY tick, event_id ROWS UNBOUNDED PRECEDING) AS island FROM v_events),
+    n AS (SELECT key, island, tick, event_id, row_number() OVER (PARTITION BY key, island ORDER BY tick, event_id) AS n FROM i),
+    w(key, island, n, last, size, event_id) AS (SELECT key, island, n, tick, 12, event_id FROM n WHERE n = 1 UNION ALL
+      SELECT n.key, n.island, n.n, CASE WHEN n.tick > w.last + 240 THEN n.tick ELSE w.last END, CASE WHEN n.tick > w.last + 240 THEN w.size - 1 ELSE w.size END, n.event_id FROM w JOIN n ON n.key = w.key AND n.island = w.island AND n.n = w.n + 1)
+    SELECT event_id, CAST(n - 1 AS INT) AS update_no, round(least(5.0 * pow(1.01, n - 1), 50.0), 6) AS priority, size AS requested, size < 6 AS ended FROM w""")
 def t8_ramp(v):
-    return T.ramp(v.events, "key", "tick", "event_id", F.col("value") > 90, 5.0).select("event_id", "update_no", F.round("priority", 6).alias("priority"))
+    out = T.ramp(v.events, "key", "tick", "event_id", F.col("value") > 90, 5.0, 12, 6)
+    return out.select("event_id", "update_no", F.round("priority", 6).alias("priority"), "requested", "ended")
 
 
 @query("""WITH k AS (SELECT DISTINCT kind FROM v_events ORDER BY kind LIMIT 2), c AS (SELECT key, count(*) FILTER (kind = (SELECT min(kind) FROM k)) AS a, count(*) FILTER (kind = (SELECT max(kind) FROM k)) AS b FROM v_events WHERE kind IN (SELECT kind FROM k) GROUP BY key)
@@ -544,11 +556,25 @@ def t10_halving_mean(v):
     return T.halving_mean(v.events, "key", "tick", "event_id", "value").withColumn("level", F.round("level", 6))
 
 
-@query("""WITH r AS (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY tick, event_id) AS before FROM v_events WHERE kind IN ('click', 'purchase')),
-    f AS (SELECT *, lead(tick) OVER (PARTITION BY key ORDER BY tick, event_id) AS "end" FROM r WHERE (kind = 'click' AND (before IS NULL OR before = 'purchase')) OR (kind = 'purchase' AND before = 'click'))
-    SELECT key, tick AS start, "end", "end" - tick AS duration FROM f WHERE kind = 'click'""")
+_SPANS = """WITH r AS (SELECT *, lag(kind) OVER (PARTITION BY key ORDER BY tick, event_id) AS before FROM v_events WHERE kind IN ('click', 'purchase')),
+    f AS (SELECT *, lead(tick) OVER w AS "end", lead(CASE WHEN value < 20 THEN 'cheap' WHEN value < 60 THEN 'usual' ELSE 'dear' END) OVER w AS reason
+      FROM r WHERE (kind = 'click' AND (before IS NULL OR before = 'purchase')) OR (kind = 'purchase' AND before = 'click') WINDOW w AS (PARTITION BY key ORDER BY tick, event_id)),
+    s AS (SELECT key, tick AS start, "end", "end" - tick AS duration, reason FROM f WHERE kind = 'click')"""
+
+
+def _lifecycle(v) -> DataFrame:
+    reason = F.when(F.col("value") < 20, "cheap").when(F.col("value") < 60, "usual").otherwise("dear")
+    return T.group_lifecycle(v.events, "key", "tick", "event_id", "kind", "click", "purchase", reason)
+
+
+@query(f"{_SPANS} SELECT * FROM s")
 def t11_group_lifecycle(v):
-    return T.group_lifecycle(v.events, "key", "tick", "event_id", "kind", "click", "purchase")
+    return _lifecycle(v)
+
+
+@query(f'{_SPANS} SELECT reason, count(*) AS n, round(avg(duration), 4) AS mean_duration, max(duration) AS longest FROM s WHERE "end" IS NOT NULL GROUP BY reason')
+def t11_lifecycle_by_reason(v):
+    return T.lifecycle_by_reason(_lifecycle(v)).withColumn("mean_duration", F.round("mean_duration", 4))
 
 
 @query("SELECT count(*) AS n, round(sum(value), 4) AS total, CAST(time_bucket(INTERVAL '6 hours', ts) AS VARCHAR) AS start FROM v_events GROUP BY 3")
@@ -689,10 +715,19 @@ def r10_stream_expired(v):
 # --- extension surface ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_W8} SELECT item, round(CASE WHEN item % 4 = 3 THEN 7.0 ELSE priority END, 4) AS priority FROM s")
+@query(f"""WITH {_W8}, p AS (SELECT s.*, v.x AS base_x, v.y AS base_y, (v.x + 40) % 128 AS front_x, (v.y + 30) % 100 AS front_y FROM s JOIN v_players v USING (player))
+    SELECT item, round(CASE WHEN item % 4 = 3 THEN 7.0 ELSE priority END, 4) AS priority,
+      CASE item % 4 WHEN 0 THEN CAST(cap AS BIGINT) WHEN 2 THEN CAST(least(cap, 1 + floor(threat / greatest(1.0, strength))) AS BIGINT) END AS max_count,
+      CAST(CASE WHEN item % 4 = 2 THEN floor(base_x + (front_x - base_x) / 4.0 + 0.5) ELSE base_x END AS INT) AS place_x,
+      CAST(CASE WHEN item % 4 = 2 THEN floor(base_y + (front_y - base_y) / 4.0 + 0.5) ELSE base_y END AS INT) AS place_y FROM p""")
 def x1_rule_book(v):
     book = standard_rules().register("other", lambda: F.lit(7.0))
-    return _options(v).select("item", F.round(book.priority(), 4).alias("priority"))
+    options = _options(v)
+    parameters = ("family", "base", "cap", "credit_floor")  # these come from a table of rules by item
+    players = v.players.select("player", F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.expr("(x + 40) % 128").alias("front_x"), F.expr("(y + 30) % 100").alias("front_y"))
+    rows = with_parameters(options.drop(*parameters), options.filter("family <> 'other'").select("item", *parameters)).join(players, "player")
+    place = book.placement()
+    return rows.select("item", F.round(book.priority(), 4).alias("priority"), book.max_count().alias("max_count"), place["x"].cast("int").alias("place_x"), place["y"].cast("int").alias("place_y"))
 
 
 @query("SELECT unit_id FROM v_units u JOIN v_kinds k ON u.kind_id = k.kind_id WHERE u.owner = 3 AND k.primary_w IS NULL AND k.cost < 1500")
