@@ -10,7 +10,7 @@ from tickgrid.operators import aggregates as A
 from tickgrid.operators import grid as G
 from tickgrid.operators import joins as J
 from tickgrid.operators import temporal as T
-from tickgrid.operators.rules import RuleBook
+from tickgrid.operators.rules import RuleBook, standard_rules
 
 CELLS = "cell_id long, x int, y int, blocked boolean"
 
@@ -54,7 +54,7 @@ def test_radius_is_inclusive_and_negative_places_work(spark):
 def test_nearest_breaks_ties_by_id(spark):
     a = spark.createDataFrame([(1, 0, 0)], "a long, x int, y int")
     b = spark.createDataFrame([(9, 0, 40), (8, 40, 0)], "b long, x int, y int")
-    assert [(r.b, r.distance) for r in J.nearest(a, b, "a", "b", 2, 200.0).collect()] == [(8, 40.0)]
+    assert [(r.b, r.distance) for r in J.nearest(a, b, "a", "b", 2).collect()] == [(8, 40.0)]
 
 
 def test_unarmed_attacker_gives_no_row(spark):
@@ -113,3 +113,47 @@ def test_rule_book_falls_back(spark):
     df = spark.createDataFrame([("a", 2), ("b", 3)], "family string, owned int")
     book = RuleBook().register("a", lambda: F.lit(9.0))
     assert sorted(tuple(r) for r in df.select("family", book.priority()).collect()) == [("a", 9.0), ("b", -3.0)]
+
+
+def test_bad_health_counts_nothing(spark):
+    from tickgrid.functions.expr import firepower
+
+    rows = [(1, None, None), (2, 0.0, 0.0), (3, 10.0, None), (4, 5.0, 10.0)]
+    df = spark.createDataFrame(rows, "id int, hp double, max_hp double")
+    one = F.lit(1.0)
+    got = [r[0] for r in df.orderBy("id").select(firepower(F.col("hp"), F.col("max_hp"), [(F.lit(9.0), F.lit(3.0), one)])).collect()]
+    assert got == [0.0, 0.0, 200.0, 10.0]
+
+
+def test_all_blocked_and_far_points(spark):
+    cells = spark.createDataFrame([(i, i % 5, i // 5, True) for i in range(25)], "cell_id long, x int, y int, blocked boolean")
+    assert {r.d for r in G.distance_to_blocked(cells).collect()} == {0}
+    free = cells.withColumn("blocked", F.lit(False))
+    assert {r.d for r in G.distance_to_blocked(free).collect()} == {None}
+    assert G.distance_to_blocked(cells.limit(0)).count() == 0 and G.clear_spots(cells, 2).count() == 0
+    a = spark.createDataFrame([(1, 0, 0), (2, 1_000_000, 0), (3, None, 0)], "a long, x int, y int")
+    b = spark.createDataFrame([(7, 3, 4)], "b long, x int, y int")
+    assert [(r.a, r.b, round(r.distance)) for r in J.nearest(a, b, "a", "b", 2).orderBy("a").collect()] == [(1, 7, 5), (2, 7, 999997)]
+    assert J.nearest(a, b.limit(0), "a", "b", 2).count() == 0
+
+
+def test_full_and_over_cap(spark):
+    book = standard_rules()
+    rows = [(1, "basic", 3, 3), (2, "basic", 4, 3), (3, "basic", 0, 0), (4, "none", 2, 9)]
+    df = spark.createDataFrame(rows, "item int, family string, owned int, cap int").withColumns({c: F.lit(10.0) for c in ("base", "credits", "credit_floor", "power", "drain", "gain", "threat", "strength")})
+    df = df.withColumns({c: F.lit(4) for c in ("base_x", "base_y", "front_x", "front_y")})
+    got = df.select("item", book.priority().alias("p"), book.max_count().alias("m")).orderBy("item").collect()
+    assert [(r.p, r.m) for r in got] == [(-100.0, 3), (-100.0, 3), (-100.0, 0), (-2.0, None)]
+
+
+def test_equal_times_go_by_id(spark):
+    rows = [(i, 1, 5, k) for i, k in enumerate("aabba")]
+    df = spark.createDataFrame(rows, "event_id long, key long, tick long, kind string")
+    assert [r.event_id for r in T.emit_on_change(df, "key", "tick", "event_id", ["kind"]).orderBy("event_id").collect()] == [0, 2, 4]
+    assert [r.event_id for r in T.cooldown(df, "key", "tick", "event_id", 1).collect()] == [0]
+
+
+def test_orders_come_in_bounded_parts(spark):
+    df = spark.range(1000).select(F.col("id").alias("unit_id"), F.lit("move").alias("order_type"), F.lit(None).cast("long").alias("target_id"), F.lit(1).alias("px"), F.lit(None).cast("int").alias("py"))
+    got = A.batch_orders(df, 100).collect()
+    assert sorted(r.part for r in got) == list(range(10)) and sorted(i for r in got for i in r.unit_ids) == list(range(1000)) and max(len(r.unit_ids) for r in got) == 100

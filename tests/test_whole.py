@@ -37,3 +37,6 @@ def test_regions_and_reachability_cover_the_grid(spark):
     want = {(p, i) for p, r in players.items() for i, near in touched.items() if r in near}
     pairs = queries["j10_reachable_whole"](spark, SF).collect()
     assert {(r.a_id, r.b_id) for r in pairs} == want and len(pairs) == len(want) > 0
+    rows = queries["j10_reachable_regions_whole"](spark, SF).collect()
+    assert {(r.id, r.region) for r in rows if r.how == "stands"} == {(p, r) for p, r in players.items() if r is not None}
+    assert {(r.id, r.region) for r in rows if r.how == "touches"} == {(i, r) for i, near in touched.items() for r in near}

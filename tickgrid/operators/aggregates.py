@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,10 +87,19 @@ def composition(units: DataFrame, by: str, kind: str) -> DataFrame:
     return out.select(by, F.map_from_entries("pairs").alias("counts"), line.alias("line"))
 
 
-def batch_orders(orders: DataFrame) -> DataFrame:
-    """One row per order type and target, order type and point, or order type alone, with the units' ids."""
+def batch_orders(orders: DataFrame, most: int = 10_000) -> DataFrame:
+    """The units' ids per order type and target, order type and point, or order type alone, in parts.
+
+    A group is cut by the remainder of the id into as few parts as have about ``most`` ids
+    each, numbered from 0, so no array grows with the data.
+    """
     at = lambda c: F.when(F.col("target_id").isNull(), F.col(c)).alias(c)
-    return orders.groupBy("order_type", "target_id", at("px"), at("py")).agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
+    keys = ["order_type", "target_id", "px", "py"]
+    rows = orders.select("unit_id", "order_type", "target_id", at("px"), at("py"))
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts")).withColumnsRenamed({k: f"g_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
+    dealt = rows.join(parts, same).withColumn("part", F.pmod("unit_id", "parts"))
+    return dealt.groupBy(*keys, "part").agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
 
 
 def arg_extreme(df: DataFrame, by: list[str], value: str, id_column: str, how: str = "max") -> DataFrame:

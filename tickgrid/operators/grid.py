@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +27,9 @@ def distance_to_blocked(cells: DataFrame) -> DataFrame:
     and then along rows give it. The grid is padded to a rectangle first, since a missing
     cell would cut the path of a minimum.
     """
-    box = cells.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    full = box.filter("x0 is not null").select(F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    x0, x1, y0, y1 = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    columns = cells.sparkSession.range(x0 or 0, (x1 if x1 is not None else -1) + 1).select(F.col("id").cast("int").alias("x"))  # made in many tasks
+    full = columns.select("x", F.explode(F.sequence(F.lit(y0 or 0), F.lit(y1 or 0))).alias("y"))
     start = full.join(cells.select("cell_id", "x", "y", "blocked"), ["x", "y"], "left").withColumn("f", F.when(F.col("blocked"), 0))
     down = _running_min(start, "f", "x", "y", "g")
     return _running_min(down, "g", "y", "x", "d").filter("cell_id is not null").select("cell_id", "x", "y", F.col("d").cast("int").alias("d"))
@@ -37,10 +40,15 @@ def clear_spots(cells: DataFrame, d: int) -> DataFrame:
 
     This does not depend on a scan order, unlike greedy thinning, and may keep fewer cells.
     """
-    spots = distance_to_blocked(cells).filter(F.col("d") >= d)
-    rival = spots.select(F.col("cell_id").alias("rival"), "x", "y", F.col("d").alias("rd"))
-    beaten = radius_join(spots, rival, d).filter((F.col("distance") < d) & (F.struct("rd", -F.col("rival")) > F.struct("d", -F.col("cell_id"))))
-    return spots.join(beaten.select("cell_id"), "cell_id", "left_anti")
+    spots = written(distance_to_blocked(cells).filter(F.col("d") >= d).withColumn("rank", F.struct("d", -F.col("cell_id"))), "spots")
+    # Most are beaten within a square that fits into the circle: running maxima along rows and columns find those.
+    half = math.floor((d - 1e-9) / math.sqrt(2)) if d > 0 else 0
+    window = lambda across, along: W.partitionBy(across).orderBy(along).rangeBetween(-half, half)
+    row = spots.withColumn("best", F.max("rank").over(window("y", "x")))
+    open_spots = row.withColumn("best", F.max("best").over(window("x", "y"))).filter(F.col("best") == F.col("rank")).drop("best")
+    rival = spots.select(F.col("rank").alias("other"), "x", "y")
+    beaten = radius_join(open_spots, rival, d).filter((F.col("distance") < d) & (F.col("other") > F.col("rank")))
+    return open_spots.join(beaten.select("cell_id").distinct(), "cell_id", "left_anti").drop("rank")
 
 
 def diffuse(sectors: DataFrame, links: DataFrame, rounds: int) -> DataFrame:

@@ -55,27 +55,36 @@ def box_join(points: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
     return left.join(right, ["__gx", "__gy"]).filter(inside).drop("__gx", "__gy")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, extent: float) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float) -> DataFrame:
     """The closest ``b`` of each ``a`` as ``a_id, b_id, distance``; ties go to the smallest id.
 
     Rows of ``a`` without a partner within ``r`` are tried again at twice the radius until
-    it spans ``extent``, the diameter of the map; so the work follows the local density. Each
-    round's pairs are written, so a later round does not make them again.
+    none is left, so the work follows the local density and no point is too far. Each round's
+    pairs and leftovers are written, so a later round does not make them again. Rows without
+    a place have no partner; an empty ``b`` gives no rows.
     """
-    out, left = None, a.select(a_id, "x", "y")
+    has_place = F.col("x").isNotNull() & F.col("y").isNotNull()
+    left, b = a.filter(has_place).select(a_id, "x", "y"), b.filter(has_place).select(b_id, "x", "y")
+    out = None
     while True:
-        pairs = radius_join(left, b.select(b_id, "x", "y"), r)
+        pairs = radius_join(left, b, r)
         best = written(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"), "nearest")
         out = best if out is None else out.unionByName(best)
-        if r >= extent:
+        left, r = written(left.join(best, a_id, "left_anti"), "left"), r * 2
+        if left.isEmpty() or b.isEmpty():
             return out
-        left, r = left.join(best, a_id, "left_anti"), r * 2
 
 
-def growing_radius_alert(points: DataFrame, enemies: DataFrame, ticks: DataFrame, r0: float, rate: float, max_tick: int) -> DataFrame:
-    """Per tick the points with an enemy within ``r0 + rate * tick``: first the tick from which each point is threatened, then its ticks."""
+def growing_radius_alert(points: DataFrame, enemies: DataFrame, r0: float, rate: float, max_tick: int) -> DataFrame:
+    """``tick, point_id``: from tick 0 to ``max_tick`` the points with an enemy within ``r0 + rate * tick``.
+
+    A point's first tick follows from its closest enemy, and all later ones are alike.
+    """
     near = radius_join(points, enemies, r0 + rate * max_tick).groupBy("point_id").agg(F.min("distance").alias("distance"))
-    return near.join(F.broadcast(ticks), F.col("distance") <= r0 + rate * F.col("tick")).select("tick", "point_id")
+    # One tick early, then tested exactly, so that rounding of the division does not matter.
+    first = F.greatest(F.ceil((F.col("distance") - r0) / rate) - 1, F.lit(0)).cast("long")
+    ticks = near.select("point_id", "distance", F.explode(F.sequence(first, F.lit(max_tick).cast("long"))).alias("tick"))
+    return ticks.filter(F.col("distance") <= r0 + rate * F.col("tick")).select("tick", "point_id")
 
 
 def filter_far_candidates(cands: DataFrame, own: DataFrame, amounts: DataFrame, min_amount: float, min_dist: float, size: int, keep_zero: bool = True) -> DataFrame:
@@ -112,16 +121,25 @@ def neighbours8(cells: DataFrame, key: str = "cell_id") -> DataFrame:
     return left.join(cells.select(F.col(key).alias("neighbour"), "x", "y"), ["x", "y"]).select(key, "neighbour", "weight", "direction")
 
 
+def standing(a: DataFrame, labels: DataFrame, a_id: str) -> DataFrame:
+    """``a_id, region``: the region that each ``a`` stands in."""
+    return a.join(labels.select("x", "y", "region"), ["x", "y"]).select(a_id, "region")
+
+
+def touching(b: DataFrame, labels: DataFrame, b_id: str) -> DataFrame:
+    """``b_id, region``: the regions of the 3x3 ring around each ``b``, nine at most; ``b`` may stand on a blocked cell."""
+    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = b.select(b_id, "x", "y", ring.alias("o")).select(b_id, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+    return around.join(labels.select("x", "y", "region"), ["x", "y"]).select(b_id, "region").distinct()
+
+
 def reachable(a: DataFrame, b: DataFrame, labels: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """Pairs ``a_id, b_id`` with a cell of the 3x3 ring around ``b`` in the region that ``a`` stands in.
 
-    ``labels`` gives the region of each passable cell; ``b`` may stand on a blocked one.
+    ``labels`` gives the region of each passable cell. Pairs are as many as a region's a times
+    its b; where few would be read, ``standing`` and ``touching`` say the same in a row or nine each.
     """
-    at = a.join(labels.select("x", "y", "region"), ["x", "y"]).select(a_id, "region")
-    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    around = b.select(b_id, (F.col("x")), F.col("y"), ring.alias("o")).select(b_id, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    touched = around.join(labels.select("x", "y", "region"), ["x", "y"]).select(b_id, "region").distinct()
-    return at.join(touched, "region").select(a_id, b_id).distinct()
+    return standing(a, labels, a_id).join(touching(b, labels, b_id), "region").select(a_id, b_id).distinct()
 
 
 def feasible_sets(sets: DataFrame, available: DataFrame) -> DataFrame:

@@ -172,8 +172,7 @@ def j4_box_join(v):
 @query("""SELECT cell_id, player, round(d, 4) AS distance FROM (SELECT c.cell_id, p.player, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) AS d,
     row_number() OVER (PARTITION BY c.cell_id ORDER BY (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y), p.player) AS n FROM v_cells c CROSS JOIN v_players p) WHERE n = 1""")
 def j5_nearest(v):
-    extent = v.cells.agg(F.max("x") + F.max("y")).first()[0] or 1
-    return J.nearest(v.cells.select("cell_id", "x", "y"), v.players.select("player", "x", "y"), "cell_id", "player", 16, float(extent + 256)).select("cell_id", "player", r4("distance"))
+    return J.nearest(v.cells.select("cell_id", "x", "y"), v.players.select("player", "x", "y"), "cell_id", "player", 16).select("cell_id", "player", r4("distance"))
 
 
 @query(f"""WITH e AS (SELECT p.x, p.y FROM v_players p WHERE p.player <> {VIEWER} AND NOT p.is_neutral AND p.is_combatant AND p.team <> (SELECT team FROM v_players WHERE player = {VIEWER}))
@@ -182,7 +181,7 @@ def j6_growing_radius_alert(v):
     mine = v.players.filter(F.col("player") == VIEWER).select(F.col("team").alias("t"))
     enemies = v.players.crossJoin(F.broadcast(mine)).filter((F.col("player") != VIEWER) & ~F.col("is_neutral") & F.col("is_combatant") & (F.col("team") != F.col("t"))).select("x", "y")
     points = v.cells.filter("blocked").select(F.col("cell_id").alias("point_id"), "x", "y")
-    return J.growing_radius_alert(points, enemies, v.spark.range(10).withColumnRenamed("id", "tick"), 2, 0.5, 9)
+    return J.growing_radius_alert(points, enemies, 2, 0.5, 9)
 
 
 @query(f"""WITH a AS (SELECT CAST(floor(x / 8.0) AS INT) AS sx, CAST(floor(y / 8.0) AS INT) AS sy, sum(coalesce(amount, 0)) AS amount FROM v_cells GROUP BY 1, 2)
@@ -313,11 +312,13 @@ def a6_composition(v):
 _ORDERS = """SELECT unit_id, stance AS order_type, CASE WHEN kind_id % 3 = 0 THEN kind_id % 5 END AS target_id, CASE WHEN kind_id % 3 <> 2 THEN x % 4 END AS px, CASE WHEN kind_id % 3 <> 2 THEN y % 4 END AS py FROM v_units"""
 
 
-@query(f"""SELECT order_type, target_id, CASE WHEN target_id IS NULL THEN px END AS px, CASE WHEN target_id IS NULL THEN py END AS py, count(*) AS n, md5(string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id)) AS ids FROM ({_ORDERS}) GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH o AS (SELECT unit_id, order_type, target_id, CASE WHEN target_id IS NULL THEN px END AS px, CASE WHEN target_id IS NULL THEN py END AS py FROM ({_ORDERS})),
+    p AS (SELECT *, unit_id % CAST(ceil(count(*) OVER (PARTITION BY order_type, target_id, px, py) / 500.0) AS BIGINT) AS part FROM o)
+    SELECT order_type, target_id, px, py, part, count(*) AS n, md5(string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id)) AS ids FROM p GROUP BY 1, 2, 3, 4, 5""")
 def a7_batch_orders(v):
     at = lambda c: F.when(F.col("kind_id") % 3 != 2, F.col(c) % 4)
     orders = v.units.select("unit_id", F.col("stance").alias("order_type"), F.when(F.col("kind_id") % 3 == 0, F.col("kind_id") % 5).alias("target_id"), at("x").alias("px"), at("y").alias("py"))
-    return A.batch_orders(orders).select("order_type", "target_id", "px", "py", F.size("unit_ids").cast("long").alias("n"), F.md5(F.array_join("unit_ids", ",")).alias("ids"))
+    return A.batch_orders(orders, 500).select("order_type", "target_id", "px", "py", "part", F.size("unit_ids").cast("long").alias("n"), F.md5(F.array_join("unit_ids", ",")).alias("ids"))
 
 
 @query("SELECT kind, event_id, key, value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value DESC, event_id) AS n FROM v_events WHERE value IS NOT NULL) WHERE n = 1")

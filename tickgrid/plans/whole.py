@@ -51,6 +51,15 @@ def j10_reachable_whole(v):
     return J.reachable(a, v.cells.select(F.col("cell_id").alias("b_id"), "x", "y"), G.regions(walled(v.cells)), "a_id", "b_id")
 
 
+@query(None)
+def j10_reachable_regions_whole(v):
+    """The same in a row for each player and up to nine for each cell, instead of pairs."""
+    labels = G.regions(walled(v.cells))
+    a = J.standing(v.players, labels, "player").select(F.lit("stands").alias("how"), F.col("player").alias("id"), "region")
+    return a.unionByName(J.touching(v.cells, labels, "cell_id").select(F.lit("touches").alias("how"), F.col("cell_id").alias("id"), "region"))
+
+
+
 @query("""WITH need AS (SELECT DISTINCT family AS set_id, class AS item FROM v_kinds), have AS (SELECT DISTINCT k.class AS item FROM v_units u JOIN v_kinds k ON u.kind_id = k.kind_id)
     SELECT DISTINCT set_id FROM need n WHERE NOT EXISTS (SELECT 1 FROM need m WHERE m.set_id = n.set_id AND NOT EXISTS (SELECT 1 FROM have h WHERE h.item = m.item))""")
 def j11_feasible_sets_whole(v):

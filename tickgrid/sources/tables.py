@@ -47,9 +47,13 @@ def scan_units(units: DataFrame, players: DataFrame, kinds: DataFrame, viewer: i
     return out.select(*units.columns)
 
 
-def event_stream(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Event files as an unbounded table with event time; the schema is given, never inferred."""
-    return event_time(spark.readStream.schema(schema).parquet(path))
+def event_stream(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA, files_per_batch: int | None = None) -> DataFrame:
+    """Event files as an unbounded table with event time; the schema is given, never inferred.
+
+    ``files_per_batch`` bounds a micro-batch, and so the rows that a stateful operator holds of a key at once.
+    """
+    reader = spark.readStream.schema(schema)
+    return event_time((reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path))
 
 
 def export_snapshots(df: DataFrame, path: str, every: int) -> DataFrame:

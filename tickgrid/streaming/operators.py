@@ -24,9 +24,10 @@ def stream_threat(events: DataFrame, every: str, delay: str = "10 minutes") -> D
     return out.select(F.col("w.start").alias("start"), "n", "threat")
 
 
-def stream_freshness(events: DataFrame, length: str, slide: str, delay: str = "10 minutes") -> DataFrame:
-    """Keys seen in the last ``length``, every ``slide``."""
-    out = events.withWatermark("ts", delay).groupBy(F.window("ts", length, slide).alias("w")).agg(F.size(F.collect_set("key")).cast("long").alias("keys"))
+def stream_freshness(events: DataFrame, length: str, slide: str, delay: str = "10 minutes", error: float | None = None) -> DataFrame:
+    """Keys seen in the last ``length``, every ``slide``; with ``error`` from a sketch of fixed size, else from the whole key set as state."""
+    keys = F.size(F.collect_set("key")).cast("long") if error is None else F.approx_count_distinct("key", error)
+    out = events.withWatermark("ts", delay).groupBy(F.window("ts", length, slide).alias("w")).agg(keys.alias("keys"))
     return out.select(F.col("w.start").alias("start"), "keys")
 
 
@@ -109,14 +110,14 @@ class _DecayingMax(_PerKey):
         self.mult, self.flat, self.floor, self.per = mult, flat, floor, per
 
     def fold(self, row, state):
-        step, value = int(row.tick) // self.per, None
+        step, value = int(row.tick) // self.per, row.value
         if state is not None:
-            value, c = state[0], self.flat / (1 - self.mult)
-            if step > state[1]:
-                value = (value + c) * self.mult ** (step - state[1]) - c
-                value = value if value > self.floor else None
-        value = row.value if value is None else max(row.value, value)
-        return (float(value), step), {"event_id": row.event_id, "key": row.key, "value": value}
+            last, c = state[1], self.flat / (1 - self.mult)
+            # The older of the two has decayed since; the state's step never goes back.
+            old, new, steps = (state[0], value, step - last) if step >= last else (value, state[0], last - step)
+            old = (old + c) * self.mult**steps - c if steps else old
+            value, step = (max(new, old) if old > self.floor or not steps else new), max(step, last)
+        return (float(value), step), {"event_id": row.event_id, "key": row.key, "value": float(value)}
 
     def handleInputRows(self, key, rows, timerValues):
         yield from super().handleInputRows(key, rows, timerValues)
@@ -171,6 +172,20 @@ def stream_hysteresis(events: DataFrame, enter: float, stay: float) -> DataFrame
     return _stateful(events, _Hysteresis(enter, stay), "event_id long, key long, active boolean")
 
 
+def stream_snapshots(rows: DataFrame, path: str, every: int, checkpoint: str) -> DataFrame:
+    """Write rows of every ``every``-th tick by tag and tick as they arrive, and return the written table.
+
+    A micro-batch has a folder of its own, which a repeated batch overwrites, so a lost driver leaves no row twice.
+    """
+
+    def export(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").partitionBy("tag", "tick").parquet(f"{path}/epoch={epoch}")
+
+    query = rows.filter(F.col("tick") % every == 0).writeStream.foreachBatch(export).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).option("basePath", path).parquet(f"{path}/epoch=*").select(*rows.columns)
+
+
 def run_to_table(stream: DataFrame, shared: str) -> DataFrame:
     """Run what is there now to the end and return what was emitted, from files in the shared folder."""
     spark: SparkSession = stream.sparkSession
