@@ -2,8 +2,11 @@
 
 Shingles have one order for all texts, common ones last. Sets that are alike enough share
 a shingle among the first fifth of each (prefix filter), and the first one shared leaves
-enough after it on both sides. Such pairs are candidates; the whole sets are then compared.
-No pair is lost, whatever the order, so common shingles may be told from a sample.
+enough after it on both sides. Such pairs are candidates. Of each set the parity of its
+shingles in SIGNATURE_BITS slots is kept: two sets differ in at least as many shingles as
+slots, so most candidates that merely share a passage are ruled out by that, and only the
+rest have their whole sets compared. No pair is lost, whatever the order, so common
+shingles may be told from a sample.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ WORDS_EACH = 5
 PARTS_ALIKE, PARTS = 4, 5
 #: Shingles held by more sets than this are linked through one set first.
 PAIR_LIMIT = 64
+#: Slots of a set's signature.
+SIGNATURE_BITS = 1024
 #: Texts from which common shingles are told, in how many of them those are, and how many are ordered last.
 SAMPLE, COMMON, LAST = 4_000, 8, 200_000
 
@@ -44,10 +49,17 @@ def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each slot, as numbers of 64 bits."""
+    odd = np.bincount(own.view(np.uint64) % np.uint64(SIGNATURE_BITS), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [_set_id(grams(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64())], ["doc_id", "set_id"])
+        sets = [grams(t.as_py()) for t in batch.column(1)]
+        columns = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "set_id", "n", "signature"])
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -116,9 +128,18 @@ def _pairs(a: DataFrame, b: DataFrame, further) -> DataFrame:
     return both.select(F.least("a.set_id", "b.set_id").alias("u"), F.greatest("a.set_id", "b.set_id").alias("v")).distinct()
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` whose whole sets are alike enough. Only texts of candidates are shuffled."""
-    pairs = written(pairs, "candidates")
+def _may_be_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The ``pairs`` whose signatures allow enough likeness; none that is alike enough is lost."""
+    both = pairs
+    for c in "uv":
+        both = both.join(signatures.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")), c)
+    differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return both.filter((PARTS_ALIKE + PARTS) * differing <= (PARTS - PARTS_ALIKE) * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
+def _alike(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` whose whole sets are alike enough. Only sets of candidates are shuffled."""
+    pairs = written(_may_be_alike(pairs, signatures), "candidates")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
     sets = may_hold(docs.select("text").mapInArrow(_whole, "set_id long, grams array<long>"), "set_id", wanted).filter("may_hold")
     sets = written(sets.select("set_id", "grams").dropDuplicates(["set_id"]), "sets")
@@ -128,21 +149,25 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.filter((PARTS_ALIKE + PARTS) * shared >= PARTS_ALIKE * (F.size("gu") + F.size("gv"))).select("u", "v"), "alike")
 
 
-def links(docs: DataFrame, n: int) -> DataFrame:
+def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     """Edges ``(u, v)`` over set ids whose components are those of all near copies.
 
-    A shingle held by up to PAIR_LIMIT sets yields candidate pairs. In a larger one all sets
-    are compared with one of them first. Sets that are then outside the largest component
-    of the shingle are compared with all others, so a group of near copies of any size costs
-    a few rows a set and no link is lost.
+    ``signatures`` has ``set_id, n, signature`` of each set once. A shingle held by up to
+    PAIR_LIMIT sets yields candidate pairs. In a larger one all sets are compared with one of
+    them first. Sets that are then outside the largest component of the shingle are compared
+    with all others, so a group of near copies of any size costs a few rows a set and no link
+    is lost.
     """
-    entries = written(_entries(docs, n), "entries")
-    counts = entries.groupBy("token").agg(F.count("*").alias("held"), F.min("set_id").alias("hub")).filter("held > 1")
-    shared = written(entries.join(counts, "token"), "postings")
+    # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
+    entries = _entries(docs, n)
+    counts = written(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "held")
+    repeated = may_hold(entries, "token", counts).filter("may_hold").drop("may_hold")
+    shared = written(repeated.join(counts, "token"), "postings")
     small = shared.filter(F.col("held") <= PAIR_LIMIT)
     large = shared.filter(F.col("held") > PAIR_LIMIT)
-    to_hub = large.filter("set_id <> hub").select(F.col("hub").alias("u"), F.col("set_id").alias("v"))
-    edges = _alike(docs, _pairs(small, small, F.col("a.set_id") < F.col("b.set_id")).unionByName(to_hub).distinct())
+    hubs = large.groupBy("token").agg(F.min("set_id").alias("hub"))
+    to_hub = large.join(hubs, "token").filter("set_id <> hub").select(F.col("hub").alias("u"), F.col("set_id").alias("v"))
+    edges = _alike(docs, signatures, _pairs(small, small, F.col("a.set_id") < F.col("b.set_id")).unionByName(to_hub).distinct())
     if large.isEmpty():
         return edges
     labels = written(connected_components(edges).withColumnRenamed("node", "set_id"), "first-components")
@@ -151,7 +176,7 @@ def links(docs: DataFrame, n: int) -> DataFrame:
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
     minor = placed.join(largest, "token").filter("component <> largest").drop("largest")
-    return edges.unionByName(_alike(docs, _pairs(minor, placed, F.col("a.component") != F.col("b.component"))))
+    return edges.unionByName(_alike(docs, signatures, _pairs(minor, placed, F.col("a.component") != F.col("b.component"))))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -161,8 +186,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shingles have a Jaccard similarity of 0.8 or more (null where the whole component has
     none). Null and empty texts are alike; other columns are ignored.
     """
-    marks = written(docs.select("doc_id", "text").mapInArrow(_marks, "doc_id long, set_id long"), "marks")
-    labels = written(connected_components(links(docs, marks.count())).withColumnRenamed("node", "set_id"), "components")
+    marks = written(docs.select("doc_id", "text").mapInArrow(_marks, "doc_id long, set_id long, n int, signature array<long>"), "marks")
+    signatures = written(marks.select("set_id", "n", "signature").dropDuplicates(["set_id"]), "signatures")
+    marks = marks.select("doc_id", "set_id")
+    labels = written(connected_components(links(docs, signatures, marks.count())).withColumnRenamed("node", "set_id"), "components")
     low = marks.groupBy("set_id").agg(F.min("doc_id").alias("low"))
     grouped = written(low.join(labels, "set_id", "left").select("set_id", "low", F.coalesce("component", "set_id").alias("component")), "grouped")
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
