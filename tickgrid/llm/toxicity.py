@@ -38,7 +38,9 @@ LANDMARKS = 96
 #: A witness starts words of toxic documents this much likelier (log odds); at most this share of those found is expected by chance.
 MIN_ODDS, FALSE_SHARE = 1.7, 0.01
 #: The bounds on disturbed forms of insults and on words of sentences that the SVM is trained on; the weight of sentences that are not their document's worst.
-FORMS, SENTENCE_WORDS, OTHERS = 40_000, 20_000, 0.05
+FORMS, SENTENCE_WORDS, OTHERS = 20_000, 20_000, 0.05
+#: Strings whose vectors, and rows whose features, the driver holds at once.
+VECTORS, ROWS = 256, 4096
 #: Lengths of word beginnings that are looked at; a stem may be followed by any ending.
 STEMS = range(4, 13)
 THRESHOLD = 0.3
@@ -159,16 +161,21 @@ def fit_words(positive: dict[str, float], negative: dict[str, float], landmarks:
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     cost = np.array([positive[w] for w in sorted(positive)] + [negative[w] for w in sorted(negative)])
     land, white = nystroem(landmarks)
-    z = np.concatenate([(vectors(words[i : i + 1024]) @ land.T) @ white for i in range(0, len(words), 1024)])
+    one = np.ones((len(words), white.shape[1] + 1), np.float32)  # the features and a constant
+    for i in range(0, len(words), VECTORS):
+        one[i : i + VECTORS, :-1] = (vectors(words[i : i + VECTORS]) @ land.T) @ white
     for sign in (1, -1):
         cost[y == sign] /= 2 * max(1e-9, cost[y == sign].sum())
-    one = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    ridge = 1e-3 * np.eye(one.shape[1])
     w = np.zeros(one.shape[1])
-    for _ in range(25):  # Newton steps on the squared hinge
-        active = y * (one @ w) < 1
-        inside = one[active] * cost[active, None]
-        w = np.linalg.solve(inside.T @ one[active] + ridge, inside.T @ y[active])
+    for _ in range(25):  # Newton steps on the squared hinge, summed up over blocks of rows
+        bend, slope = 1e-3 * np.eye(len(w)), np.zeros(len(w))
+        for i in range(0, len(words), ROWS):
+            rows, sign = one[i : i + ROWS].astype(np.float64), y[i : i + ROWS]
+            active = sign * (rows @ w) < 1
+            inside = rows[active] * cost[i : i + ROWS][active, None]
+            bend += inside.T @ rows[active]
+            slope += inside.T @ sign[active]
+        w = np.linalg.solve(bend, slope)
     return (land.T @ (white @ w[:-1])).astype(np.float64), float(w[-1])
 
 
