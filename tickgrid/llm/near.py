@@ -140,8 +140,10 @@ def _may_be_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 def _alike(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` whose whole sets are alike enough. Only sets of candidates are shuffled."""
     pairs = written(_may_be_alike(pairs, signatures), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
-    sets = may_hold(docs.select("text").mapInArrow(_whole, "set_id long, grams array<long>"), "set_id", wanted).filter("may_hold")
+    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct(), "wanted")
+    # One document of each such set is read again; a null id stands for all rows that have none.
+    rows = may_hold(docs.select("doc_id", "text"), "doc_id", signatures.join(wanted, "set_id", "left_semi").select("doc_id")).filter("may_hold")
+    sets = may_hold(rows.select("text").mapInArrow(_whole, "set_id long, grams array<long>"), "set_id", wanted).filter("may_hold")
     sets = written(sets.select("set_id", "grams").dropDuplicates(["set_id"]), "sets")
     left = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("grams").alias("gu")), "u")
     both = left.join(sets.select(F.col("set_id").alias("v"), F.col("grams").alias("gv")), "v")
@@ -152,11 +154,12 @@ def _alike(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
 def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     """Edges ``(u, v)`` over set ids whose components are those of all near copies.
 
-    ``signatures`` has ``set_id, n, signature`` of each set once. A shingle held by up to
-    PAIR_LIMIT sets yields candidate pairs. In a larger one all sets are compared with one of
-    them first. Sets that are then outside the largest component of the shingle are compared
-    with all others, so a group of near copies of any size costs a few rows a set and no link
-    is lost.
+    ``signatures`` has ``set_id, n, signature`` of each set once, with the smallest doc_id of
+    its texts. A shingle held by up to PAIR_LIMIT sets yields candidate pairs. In a larger one
+    all sets are compared with one of them first, that with the fewest rarer shingles: of
+    changed copies of one text it is the least changed, so nearly all others are alike with
+    it. Sets that are then outside the largest component of the shingle are compared with all
+    others, so a group of near copies of any size costs a few rows a set and no link is lost.
     """
     # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
     entries = _entries(docs, n)
@@ -165,9 +168,8 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     shared = written(repeated.join(counts, "token"), "postings")
     small = shared.filter(F.col("held") <= PAIR_LIMIT)
     large = shared.filter(F.col("held") > PAIR_LIMIT)
-    hubs = large.groupBy("token").agg(F.min("set_id").alias("hub"))
-    to_hub = large.join(hubs, "token").filter("set_id <> hub").select(F.col("hub").alias("u"), F.col("set_id").alias("v"))
-    edges = _alike(docs, signatures, _pairs(small, small, F.col("a.set_id") < F.col("b.set_id")).unionByName(to_hub).distinct())
+    hubs = large.groupBy("token").agg(F.min(F.struct("at", "set_id", "n")).alias("hub")).select("token", "hub.*")
+    edges = _alike(docs, signatures, _pairs(small, small, F.col("a.set_id") < F.col("b.set_id")).unionByName(_pairs(large, hubs, F.lit(True))).distinct())
     if large.isEmpty():
         return edges
     labels = written(connected_components(edges).withColumnRenamed("node", "set_id"), "first-components")
@@ -187,7 +189,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     none). Null and empty texts are alike; other columns are ignored.
     """
     marks = written(docs.select("doc_id", "text").mapInArrow(_marks, "doc_id long, set_id long, n int, signature array<long>"), "marks")
-    signatures = written(marks.select("set_id", "n", "signature").dropDuplicates(["set_id"]), "signatures")
+    signatures = written(marks.groupBy("set_id").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("doc_id").alias("doc_id")), "signatures")
     marks = marks.select("doc_id", "set_id")
     labels = written(connected_components(links(docs, signatures, marks.count())).withColumnRenamed("node", "set_id"), "components")
     low = marks.groupBy("set_id").agg(F.min("doc_id").alias("low"))
