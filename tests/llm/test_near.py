@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.conftest import SF
@@ -53,6 +54,17 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, limit):
     assert sorted(x.doc_id for x in simhash.keep_one(rows).collect()) == sorted(set(want.values()))
 
 
+def test_signatures_bound_the_differing_shingles(spark):
+    r = random.Random(5)
+    whole = [r.getrandbits(63) for _ in range(6000)]
+    sets = [np.unique(np.array(x, np.int64)) for x in (whole[:2000], whole[:2100], whole[100:2300], whole[1900:4000], whole[4000:])]
+    assert sorted({len(near.signature(s)) * 64 for s in sets}) == [2048, 4096]
+    table = spark.createDataFrame([(i, len(s), near.signature(s).tolist()) for i, s in enumerate(sets)], "set_id long, n int, signature array<long>")
+    every = [(i, j) for j in range(5) for i in range(j)]
+    got = {tuple(x) for x in near._may_be_alike(spark.createDataFrame(every, "u long, v long"), table).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)} == {(i, j) for i, j in every if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+
+
 def test_stage_finds_the_near_copies_of_the_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text")
     rows = docs.collect()

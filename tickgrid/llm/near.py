@@ -3,7 +3,7 @@
 Shingles have one order for all texts, common ones last. Sets that are alike enough share
 a shingle among the first fifth of each (prefix filter), and the first one shared leaves
 enough after it on both sides. Such pairs are candidates. Of each set the parity of its
-shingles in SIGNATURE_BITS slots is kept: two sets differ in at least as many shingles as
+shingles in at least SIGNATURE_BITS slots is kept: two sets differ in at least as many shingles as
 slots, so most candidates that merely share a passage are ruled out by that, and only the
 rest have their whole sets compared. No pair is lost, whatever the order, so common
 shingles may be told from a sample.
@@ -29,9 +29,9 @@ MARK = "__set"
 WORDS_EACH = 5
 #: Sets are near copies when PARTS_ALIKE of PARTS of their union is shared.
 PARTS_ALIKE, PARTS = 4, 5
-#: Shingles held by more sets than this are linked through one set first.
+#: Shingles held by more sets than this are linked through one set first; no link depends on it.
 PAIR_LIMIT = 64
-#: Slots of a set's signature.
+#: The fewest slots of a set's signature; a larger set has the next power of two not below its size.
 SIGNATURE_BITS = 1024
 #: Texts from which common shingles are told, in how many of them those are, and how many are ordered last.
 SAMPLE, COMMON, LAST = 4_000, 8, 200_000
@@ -50,8 +50,9 @@ def _set_id(own: np.ndarray) -> int:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The parity of a set's shingles in each slot, as numbers of 64 bits."""
-    odd = np.bincount(own.view(np.uint64) % np.uint64(SIGNATURE_BITS), minlength=SIGNATURE_BITS) & 1
+    """The parity of a set's shingles in each slot, as numbers of 64 bits; about as many slots as shingles."""
+    slots = max(SIGNATURE_BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount(own.view(np.uint64) % np.uint64(slots), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -129,11 +130,21 @@ def _pairs(a: DataFrame, b: DataFrame, further) -> DataFrame:
 
 
 def _may_be_alike(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The ``pairs`` whose signatures allow enough likeness; none that is alike enough is lost."""
+    """The ``pairs`` whose signatures allow enough likeness; none that is alike enough is lost.
+
+    Sizes of a pair are so close that one signature is at most twice as long as the other;
+    its halves laid over each other are the signature in half the slots.
+    """
+
+    def as_short(s: str, other: str):
+        half = F.expr(f"size({s}) div 2").cast("int")
+        folded = F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(s) > F.size(other), folded).otherwise(F.col(s))
+
     both = pairs
     for c in "uv":
         both = both.join(signatures.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("signature").alias(f"s{c}")), c)
-    differing = F.aggregate(F.zip_with("su", "sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    differing = F.aggregate(F.zip_with(as_short("su", "sv"), as_short("sv", "su"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     return both.filter((PARTS_ALIKE + PARTS) * differing <= (PARTS - PARTS_ALIKE) * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
@@ -159,7 +170,8 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     all sets are compared with one of them first, that with the fewest rarer shingles: of
     changed copies of one text it is the least changed, so nearly all others are alike with
     it. Sets that are then outside the largest component of the shingle are compared with all
-    others, so a group of near copies of any size costs a few rows a set and no link is lost.
+    sets of other components, each pair once, so a group of near copies of any size costs a
+    few rows a set and no link is lost.
     """
     # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
     entries = _entries(docs, n)
@@ -177,8 +189,9 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     placed = written(placed.select("token", "set_id", "n", "at", "component"), "placed")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    minor = placed.join(largest, "token").filter("component <> largest").drop("largest")
-    return edges.unionByName(_alike(docs, signatures, _pairs(minor, placed, F.col("a.component") != F.col("b.component"))))
+    minor = placed.join(largest, "token").filter("component <> largest")
+    once = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.largest")) | (F.col("a.set_id") < F.col("b.set_id")))
+    return edges.unionByName(_alike(docs, signatures, _pairs(minor, placed, once)))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
