@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickgrid.llm import bpe, chat, dedup, licenses, packing, pii, simhash, suffix, tiff, toxicity
+from tickgrid.llm import bpe, chat, dedup, licenses, packing, phrases, pii, runs, simhash, suffix, tiff, toxicity, urls
 
 #: The conversation that op1 adds: both turns say this.
 ADDED_TEXT = r"\### Assistant: </turn> ok"
@@ -57,7 +57,19 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_licenses, op5_bpe, op6_exact_dedup, op7_tiff, op8_toxicity, op9_pii, op10_suffix)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_licenses, op5_bpe, op6_exact_dedup, op7_tiff, op8_toxicity, op9_pii, op10_suffix, op11_url_filter, op12_runs, op13_collocations)}
 
 ORACLE_SQL = {
     # formatted_chars: 7 for "<turn " and ">", 8 for the end mark and line feed, and a backslash for each escaped sign.
@@ -80,4 +92,6 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)
     """,
+    "op11_url_filter": urls.oracle_sql(),
+    "op13_collocations": phrases.ORACLE_SQL,
 }
