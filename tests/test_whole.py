@@ -7,10 +7,13 @@ import pytest
 import __spark_entry__
 from tests.conftest import SF
 from tests.test_oracle import _rows, db  # noqa: F401
-from tickgrid.plans.whole import ORACLE_SQL, QUERIES
+from tickgrid.plans import busy, whole
 from tickgrid.sources.fixtures import view
 
 
+QUERIES, ORACLE_SQL = whole.QUERIES | busy.QUERIES, whole.ORACLE_SQL | busy.ORACLE_SQL
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_whole_query_matches_sql(spark, db, name):  # noqa: F811
     df, want = QUERIES[name](spark, SF), db.sql(ORACLE_SQL[name])
