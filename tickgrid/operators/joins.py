@@ -8,6 +8,7 @@ followed by the exact test. Spark picks broadcast or sort-merge and splits skewe
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.functions.expr import distance
@@ -55,24 +56,89 @@ def box_join(points: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
     return left.join(right, ["__gx", "__gy"]).filter(inside).drop("__gx", "__gy")
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float) -> DataFrame:
-    """The closest ``b`` of each ``a`` as ``a_id, b_id, distance``; ties go to the smallest id.
+#: Places in a finest cell of the pyramid at most, unless halving the cells no longer parts them.
+LEAF = 16
+
+#: Levels of the pyramid that one plan goes down before it is written.
+LEVELS_A_PLAN = 6
+
+
+def _placed(df: DataFrame) -> Column:
+    """Whether a row has a finite place."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return finite("x") & finite("y")
+
+
+def pyramid(places: DataFrame, id_column: str, side: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
+    """Occupied cells at all levels, the places with their finest cell, and the number of levels.
 
-    Rows of ``a`` without a partner within ``r`` are tried again at twice the radius until
-    none is left, so the work follows the local density and no point is too far. Each round's
-    pairs and leftovers are written, so a later round does not make them again. Rows without
-    a place have no partner; an empty ``b`` gives no rows.
+    ``places(x, y, id)`` are distinct and finite. Level 0 holds the finest cells: their side is
+    ``side``, halved until none has more than ``leaf`` places. A cell of the next level is
+    twice as wide; the last level is a single cell. A row ``level, gx, gy, n, x0, x1, y0, y1`` counts a cell's
+    places and bounds them tightly, so empty space costs nothing.
     """
-    has_place = F.col("x").isNotNull() & F.col("y").isNotNull()
-    left, b = a.filter(has_place).select(a_id, "x", "y"), b.filter(has_place).select(b_id, "x", "y")
-    out = None
+    low_x, high_x, low_y, high_y = places.agg(*[f(F.col(c).cast("double")) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    extent = max(high_x - low_x, high_y - low_y)
+    smallest = max(extent, side) * 2.0**-48  # a double's places part no further
     while True:
-        pairs = radius_join(left, b, r)
-        best = written(pairs.groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("m")).select(a_id, f"m.{b_id}", "m.distance"), "nearest")
-        out = best if out is None else out.unionByName(best)
-        left, r = written(left.join(best, a_id, "left_anti"), "left"), r * 2
-        if left.isEmpty() or b.isEmpty():
-            return out
+        cell = lambda c, low: F.floor((F.col(c).cast("double") - low) / side).cast("long")
+        cells = places.withColumns({"gx": cell("x", low_x), "gy": cell("y", low_y)})
+        fullest = cells.groupBy("gx", "gy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= leaf or side / 2 < smallest:
+            break
+        side /= 2
+    top = int(extent / side).bit_length()
+    cells = written(cells, "places")
+    box = [F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    finest = cells.groupBy("gx", "gy").agg(*box)
+    level = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    up = [F.call_function("shiftright", F.col(c), F.col("level")).alias(c) for c in ("gx", "gy")]
+    merged = level.select("level", *up, "n", "x0", "x1", "y0", "y1").groupBy("level", "gx", "gy")
+    levels = merged.agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return written(levels, "pyramid"), cells, top
+
+
+def _descend(asked: DataFrame, levels: DataFrame, top: int) -> DataFrame:
+    """``x, y, gx, gy``: for each asked place the finest cells in which its closest place may be."""
+    px, py = F.col("x").cast("double"), F.col("y").cast("double")
+    gap = lambda p, low, high: F.greatest(F.col(low) - p, p - F.col(high), F.lit(0.0))
+    far = lambda p, low, high: F.greatest(F.abs(p - F.col(low)), F.abs(p - F.col(high)))
+    length = lambda a, b: F.sqrt(a * a + b * b)
+    at_least, at_most = length(gap(px, "x0", "x1"), gap(py, "y0", "y1")), length(far(px, "x0", "x1"), far(py, "y0", "y1"))
+    own = W.partitionBy("x", "y")
+    front = asked.withColumns({"gx": F.lit(0).cast("long"), "gy": F.lit(0).cast("long")})
+    for k in range(top - 1, -1, -1):
+        quarter = [F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c) for c in ("gx", "gy")]
+        front = front.select("x", "y", quarter[0], "gy").select("x", "y", "gx", quarter[1])
+        cells = levels.filter(F.col("level") == k).select("gx", "gy", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])
+        front = front.join(cells, ["gx", "gy"]).select("x", "y", "gx", "gy", at_least.alias("low"), F.min(at_most).over(own).alias("best"))
+        front = front.filter("low <= best").select("x", "y", "gx", "gy")
+        if k and (top - k) % LEVELS_A_PLAN == 0:
+            front = written(front, "front")
+    return front
+
+
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, leaf: int = LEAF) -> DataFrame:
+    """The closest ``b`` of each ``a`` as ``a_id, b_id, distance``; ties go to the smallest id.
+
+    The places of ``b`` are counted into a pyramid of occupied cells, which each place of
+    ``a`` goes down from the top, all places a level at a time: a cell is left where its closest
+    corner is further than the furthest corner of another. So a place meets a few cells a
+    level and some ``leaf`` places at the end, however dense or far ``b`` is, and levels grow with the
+    logarithm of the extent. ``r`` is the side of a cell to begin with, say a usual distance.
+
+    Rows of one place are searched for once. Rows whose place is null, NaN or infinite have no partner and are none; an empty ``b`` gives no rows.
+    """
+    a, b = a.filter(_placed(a)).select(a_id, "x", "y"), b.filter(_placed(b)).select(b_id, "x", "y")
+    places = written(b.groupBy("x", "y").agg(F.min(b_id).alias(b_id)), "places")
+    if places.isEmpty():
+        return a.select(a_id).join(b.select(b_id), F.lit(False)).withColumn("distance", F.lit(0.0))
+    levels, cells, top = pyramid(places, b_id, float(r), leaf)
+    front = _descend(a.select("x", "y").distinct(), levels, top)
+    pairs = front.join(cells.withColumnsRenamed({"x": "bx", "y": "by"}), ["gx", "gy"])
+    d = distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
+    best = pairs.groupBy("x", "y").agg(F.min(F.struct(d.alias("distance"), b_id)).alias("m")).select("x", "y", f"m.{b_id}", "m.distance")
+    return a.join(best, ["x", "y"]).select(a_id, b_id, "distance")
 
 
 def growing_radius_alert(points: DataFrame, enemies: DataFrame, r0: float, rate: float, max_tick: int) -> DataFrame:
@@ -81,8 +147,8 @@ def growing_radius_alert(points: DataFrame, enemies: DataFrame, r0: float, rate:
     A point's first tick follows from its closest enemy, and all later ones are alike.
     """
     near = radius_join(points, enemies, r0 + rate * max_tick).groupBy("point_id").agg(F.min("distance").alias("distance"))
-    # One tick early, then tested exactly, so that rounding of the division does not matter.
-    first = F.greatest(F.ceil((F.col("distance") - r0) / rate) - 1, F.lit(0)).cast("long")
+    # One tick early, then tested exactly, so that rounding of the division does not matter. A radius that does not grow is met at once.
+    first = F.greatest(F.ceil((F.col("distance") - r0) / rate) - 1, F.lit(0)).cast("long") if rate else F.lit(0).cast("long")
     ticks = near.select("point_id", "distance", F.explode(F.sequence(first, F.lit(max_tick).cast("long"))).alias("tick"))
     return ticks.filter(F.col("distance") <= r0 + rate * F.col("tick")).select("tick", "point_id")
 

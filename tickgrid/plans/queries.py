@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -84,6 +85,13 @@ def s4_export_snapshots(v):
     return out.select("tag", F.col("tick").cast("long").alias("tick"), "event_id", "value")
 
 
+@query("SELECT kind AS tag, tick, event_id, value FROM v_events WHERE tick % 360 = 0")
+def s4_stream_snapshots(v):
+    rows = _stream(v).select(F.col("kind").alias("tag"), "tick", "event_id", "value")
+    at = f"{shared_dir(v.spark)}/snapshots-{uuid.uuid4().hex}"
+    return ST.stream_snapshots(rows, f"{at}/out", 360, f"{at}/state")
+
+
 # --- projections and filters -----------------------------------------------------------
 
 
@@ -698,6 +706,26 @@ def r8_stream_hysteresis(v):
     return _run(v, ST.stream_hysteresis(_stream(v), 60, 30))
 
 
+def _passed(v, out):
+    """Rows of events that the watermark has passed; of the others an ordered stream has emitted none."""
+    return out.join(event_time(v.events).select("event_id", "ts"), "event_id").crossJoin(F.broadcast(event_time(v.events).agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("b")))).filter("ts <= b").drop("ts", "b")
+
+
+@query(f"""SELECT event_id, key, kind FROM (SELECT *, lag(kind) OVER w AS last, row_number() OVER w AS n FROM v_events WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)) WHERE (n = 1 OR kind IS DISTINCT FROM last) AND ts <= {_LATE}""")
+def r5_stream_on_change_ordered(v):
+    return _passed(v, _run(v, ST.stream_on_change(_stream(v), "10 minutes")))
+
+
+@query(_KEPT.format(more=", last AS tick") + f" AND event_id IN (SELECT event_id FROM v_events WHERE ts <= {_LATE})")
+def r6_stream_cooldown_ordered(v):
+    return _passed(v, _run(v, ST.stream_cooldown(_stream(v), 1440, "10 minutes", forget=dt.timedelta(minutes=1440))))
+
+
+@query(f"""SELECT event_id, key, active FROM (SELECT event_id, key, ts, coalesce(last_value(CASE WHEN value >= 60 THEN true WHEN value < 30 THEN false END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS active FROM v_events) WHERE ts <= {_LATE}""")
+def r8_stream_hysteresis_ordered(v):
+    return _passed(v, _run(v, ST.stream_hysteresis(_stream(v), 60, 30, "10 minutes")))
+
+
 @query("SELECT e.event_id, e.kind, k.first_kind FROM v_events e LEFT JOIN (SELECT kind, min(event_id) AS first_kind FROM v_events WHERE kind <> 'click' GROUP BY kind) k ON e.kind = k.kind")
 def r9_stream_enrich(v):
     kinds = v.events.filter("kind <> 'click'").groupBy("kind").agg(F.min("event_id").alias("first_kind"))

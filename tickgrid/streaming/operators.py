@@ -1,14 +1,20 @@
 """Streaming forms of the time-based operators.
 
 The stateful ones keep one small value per key in ``transformWithStateInPandas`` (RocksDB
-state). Within a micro-batch rows are ordered by time and id; rows that arrive in a later
-batch are taken to be later.
+state). Change, cooldown and hysteresis come in two forms. Without ``delay`` a row counts when it
+arrives: a micro-batch is ordered by time and id, and rows of a later batch are taken to be
+later. With ``delay`` rows wait in list state until the watermark has passed them, and then
+count in order of time, whichever batch brought them; see ``_InOrder``. There state may be
+forgotten by event time (``forget``). Spark's own time to live of state goes by the clock, needs
+processing time, in which an ``availableNow`` run never ends, and depends on arrival, so it is not used.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +64,6 @@ class _PerKey(StatefulProcessor):
     """One state row per key, folded over the key's rows in order."""
 
     schema = ""
-    end_of_time = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -147,19 +152,114 @@ class _Hysteresis(_PerKey):
         return (bool(active),), {"event_id": row.event_id, "key": row.key, "active": bool(active)}
 
 
+#: Rows that ``_InOrder`` hands on at a time.
+EMITTED = 10_000
+
+
+class _InOrder(StatefulProcessor):
+    """Rows of a key in order of time and id, folded by the rule of a ``_PerKey``.
+
+    A row waits in list state until the watermark reaches it; rows that come later still are
+    late and dropped before. One event-time timer a key stands at its first waiting row, or, when
+    none waits, where its state is to be forgotten. Held in memory are the rows that one
+    advance of the watermark sets free, never a key's whole batch or history. After more than ``forget_us``
+    without a row a key begins anew; that goes by the rows' times, so it is the same however they
+    arrive, and the timer only frees the room.
+    """
+
+    def __init__(self, rule: _PerKey, forget_us: int | None) -> None:
+        self.rule, self.forget_us = rule, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, tick long, value double")
+        self.state = handle.getValueState("state", self.rule.schema)
+        self.last = handle.getValueState("last", "at long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch[batch["ts"].notna()]
+            if len(batch):
+                at = batch["ts"].astype("datetime64[us]").astype("int64")
+                self.waiting.appendList(list(zip(at.tolist(), batch["event_id"].tolist(), batch["kind"].tolist(), batch["tick"].tolist(), batch["value"].tolist())))
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _release(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        free, waiting = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (free if row[0] <= watermark else waiting).append(tuple(row))
+        state = tuple(self.state.get()) if self.state.exists() else None
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for at, event_id, kind, tick, value in sorted(free, key=lambda r: r[:2]):
+            if last is not None and self.forget_us is not None and at - last > self.forget_us:
+                state = None
+            state, found = self.rule.fold(_Row(event_id, key[0], kind, tick, value), state)
+            last = at
+            if found is not None:
+                out.append(found)
+            if len(out) == EMITTED:
+                yield pd.DataFrame(out, columns=self.rule.columns)
+                out = []
+        if free:
+            self.waiting.put(waiting) if waiting else self.waiting.clear()
+        if not waiting and last is not None and self.forget_us is not None and watermark > last + self.forget_us:
+            self.state.clear()
+            self.last.clear()
+            state = last = None
+        elif free:
+            self.last.update((last,))
+            if state is not None:
+                self.state.update(state)
+        self._set_timer(min(r[0] for r in waiting) if waiting else last + self.forget_us + 1 if last is not None and self.forget_us is not None else None)
+        yield pd.DataFrame(out, columns=self.rule.columns)
+
+    def _set_timer(self, at: int | None) -> None:
+        wanted = None if at is None else -(-at // 1000)
+        there = [int(t[0] if isinstance(t, tuple) else t) for t in self.handle.listTimers()]
+        for old in there:
+            if old != wanted:
+                self.handle.deleteTimer(old)
+        if wanted is not None and wanted not in there:
+            self.handle.registerTimer(wanted)
+
+
+class _Row(NamedTuple):
+    event_id: int
+    key: int
+    kind: str
+    tick: int
+    value: float
+
+
 def _stateful(events: DataFrame, processor: _PerKey, schema: str, mode: str = "none", delay: str = "10 minutes") -> DataFrame:
     rows = events.withWatermark("ts", delay) if mode == "eventTime" else events
     return rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", mode)
 
 
-def stream_on_change(events: DataFrame) -> DataFrame:
+def _ruled(events: DataFrame, rule: _PerKey, schema: str, delay: str | None, forget: dt.timedelta | None) -> DataFrame:
+    """The rule over rows as they arrive, or with ``delay`` in order of time."""
+    if delay is not None:
+        return _stateful(events, _InOrder(rule, None if forget is None else forget // dt.timedelta(microseconds=1)), schema, "eventTime", delay)
+    if forget is not None:
+        raise ValueError("forgetting goes by event time and needs a delay")
+    return _stateful(events, rule, schema)
+
+
+def stream_on_change(events: DataFrame, delay: str | None = None, forget: dt.timedelta | None = None) -> DataFrame:
     """An event only when its kind differs from the key's last one."""
-    return _stateful(events, _OnChange(), "event_id long, key long, kind string")
+    return _ruled(events, _OnChange(), "event_id long, key long, kind string", delay, forget)
 
 
-def stream_cooldown(events: DataFrame, gap: int) -> DataFrame:
-    """An event only at least ``gap`` ticks after the key's last one kept."""
-    return _stateful(events, _Cooldown(gap), "event_id long, key long, tick long")
+def stream_cooldown(events: DataFrame, gap: int, delay: str | None = None, forget: dt.timedelta | None = None) -> DataFrame:
+    """An event only at least ``gap`` ticks after the key's last one kept. To forget after ``gap`` or later changes nothing."""
+    return _ruled(events, _Cooldown(gap), "event_id long, key long, tick long", delay, forget)
 
 
 def stream_decaying_max(events: DataFrame, per: int, mult: float = 0.75, flat: float = 1.0, floor: float = 0.5) -> DataFrame:
@@ -167,9 +267,9 @@ def stream_decaying_max(events: DataFrame, per: int, mult: float = 0.75, flat: f
     return _stateful(events, _DecayingMax(mult, flat, floor, per), "event_id long, key long, value double", "eventTime")
 
 
-def stream_hysteresis(events: DataFrame, enter: float, stay: float) -> DataFrame:
+def stream_hysteresis(events: DataFrame, enter: float, stay: float, delay: str | None = None, forget: dt.timedelta | None = None) -> DataFrame:
     """On from a value of ``enter`` until it falls below ``stay``, per key and event."""
-    return _stateful(events, _Hysteresis(enter, stay), "event_id long, key long, active boolean")
+    return _ruled(events, _Hysteresis(enter, stay), "event_id long, key long, active boolean", delay, forget)
 
 
 def stream_snapshots(rows: DataFrame, path: str, every: int, checkpoint: str) -> DataFrame:
