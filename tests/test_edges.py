@@ -157,3 +157,31 @@ def test_orders_come_in_bounded_parts(spark):
     df = spark.range(1000).select(F.col("id").alias("unit_id"), F.lit("move").alias("order_type"), F.lit(None).cast("long").alias("target_id"), F.lit(1).alias("px"), F.lit(None).cast("int").alias("py"))
     got = A.batch_orders(df, 100).collect()
     assert sorted(r.part for r in got) == list(range(10)) and sorted(i for r in got for i in r.unit_ids) == list(range(1000)) and max(len(r.unit_ids) for r in got) == 100
+
+
+def test_viewers_that_are_no_players(spark):
+    from tickgrid.sources.tables import scan_units
+
+    units = spark.createDataFrame([(i, owner, 1) for i, owner in enumerate([1, 2, 3, 9, None])], "unit_id long, owner int, kind_id long")
+    players = spark.createDataFrame([(1, 1, True, False), (2, 1, True, False), (3, 2, True, False), (4, 1, True, True)], "player int, team int, is_combatant boolean, is_neutral boolean")
+    seen = lambda viewer, relation: sorted(r.unit_id for r in scan_units(units, players, None, viewer, relation).collect())
+    assert [seen(1, r) for r in ("self", "ally", "enemy", "hostile")] == [[0], [1], [2], [2, 3, 4]]
+    assert [seen(9, r) for r in ("self", "ally", "enemy", "hostile")] == [[3], [], [0, 1, 2], [0, 1, 2, 4]]
+
+
+def test_ranking_keeps_caps_and_falls_back(spark):
+    from tickgrid.operators.ranking import build_ranking
+
+    names = "item int, owned int, cap int, threat double, cost double, amount int"
+    rows = [(1, 3, 3, 90.0, 500.0, 4), (2, 1, 3, None, 500.0, 4), (3, 4, 9, None, 500.0, 4), (4, 1, 9, 25.0, 500.0, 4), (5, 0, 9, 5.0, 500.0, 4)]
+    df = spark.createDataFrame(rows, names).withColumns({"family": F.lit("threat"), "base": F.lit(10.0), "strength": F.lit(10.0), "player": F.lit(1), "queue": F.col("item")})
+    df = df.withColumns({c: F.lit(1.0) for c in ("credits", "credit_floor", "power", "drain", "gain")}).withColumns({c: F.lit(4) for c in ("base_x", "base_y", "front_x", "front_y")})
+    got = build_ranking(df, standard_rules(unknown_threat=True)).collect()
+    # 1 is at its cap, 3 has all it needs, 5 faces no threat; 2 goes by strength and cost, 4 by the threat.
+    assert {r.item: r.priority for r in got} == {2: 150.0, 4: 25.0}
+
+
+def test_a_radius_that_does_not_grow(spark):
+    points = spark.createDataFrame([(1, 0, 0), (2, 9, 0)], "point_id long, x int, y int")
+    got = J.growing_radius_alert(points, spark.createDataFrame([(3, 0)], "x int, y int"), 3.0, 0.0, 2)
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (1, 1), (2, 1)]

@@ -105,8 +105,9 @@ def closest_free_cell(cells: DataFrame, bases: DataFrame, size: int, gap: int, t
 
 
 def build_ranking(options: DataFrame, book: RuleBook) -> DataFrame:
-    """Per player and queue the option of the highest priority; negative ones are never chosen."""
-    scored = options.withColumn("priority", book.priority()).filter("priority >= 0")
+    """Per player and queue the option of the highest priority; only positive ones are chosen, and none of which there are as many as the book allows."""
+    room = F.col("__most").isNull() | (F.col("owned") < F.col("__most"))
+    scored = options.withColumn("__most", book.max_count()).filter(room).withColumn("priority", book.priority()).filter("priority > 0")
     best = scored.groupBy("player", "queue").agg(F.max_by(F.struct("item", "priority"), F.struct("priority", "item")).alias("b"))
     return best.select("player", "queue", "b.*")
 

@@ -91,10 +91,20 @@ def power_rule() -> Column:
 
 
 def threat_rule() -> Column:
-    """In proportion to a threat more than a tenth above own strength, else 0."""
+    """In proportion to a threat more than a tenth above own strength, else 0; 0 at the cap."""
     own = F.col("strength")
-    return F.when(F.col("threat") > own * 1.1, F.col("base") * F.col("threat") / F.greatest(F.lit(1.0), own)).otherwise(0.0)
+    rises = F.when(F.col("threat") > own * 1.1, F.col("base") * F.col("threat") / F.greatest(F.lit(1.0), own)).otherwise(0.0)
+    return F.when(F.col("owned") >= F.col("cap"), 0.0).otherwise(rises)
 
 
-def standard_rules() -> RuleBook:
-    return RuleBook().register("basic", basic_rule, column_cap).register("power", power_rule).register("threat", threat_rule, threat_cap, front_place)
+def threat_or_cost_rule() -> Column:
+    """``threat_rule``; where no threat is known, strength per cost, falling to nothing at ``amount`` owned (and negative beyond)."""
+    per_cost = F.col("strength") / F.nullif(F.col("cost"), F.lit(0.0)) * 1000
+    usual = F.col("base") * (1 - F.col("owned") / F.nullif(F.col("amount"), F.lit(0))) * per_cost
+    return F.when((F.col("owned") < F.col("cap")) & F.col("threat").isNull(), usual).otherwise(threat_rule())
+
+
+def standard_rules(unknown_threat: bool = False) -> RuleBook:
+    """The usual rules; with ``unknown_threat`` options also have ``amount`` and ``cost``, which count where the threat is null."""
+    threat = threat_or_cost_rule if unknown_threat else threat_rule
+    return RuleBook().register("basic", basic_rule, column_cap).register("power", power_rule).register("threat", threat, threat_cap, front_place)

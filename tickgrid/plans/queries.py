@@ -451,18 +451,20 @@ def _options(v):
     d = lambda e: F.expr(f"cast({e} as double)")
     return v.kinds.select(
         (F.col("kind_id") % 25).alias("player"), (F.col("kind_id") % 3).alias("queue"), F.col("kind_id").alias("item"), f.alias("family"), (F.col("kind_id") % 7).alias("owned"), (F.col("kind_id") % 9).alias("cap"),
-        d("10 + kind_id % 5").alias("base"), d("kind_id % 100 * 20").alias("credits"), F.lit(1000.0).alias("credit_floor"), d("kind_id % 60").alias("power"), d("30").alias("drain"), d("kind_id % 13").alias("gain"), d("kind_id % 90").alias("threat"), d("kind_id % 40").alias("strength"),
+        d("10 + kind_id % 5").alias("base"), d("kind_id % 100 * 20").alias("credits"), F.lit(1000.0).alias("credit_floor"), d("kind_id % 60").alias("power"), d("30").alias("drain"), d("kind_id % 13").alias("gain"), d("nullif(kind_id % 90, kind_id % 11)").alias("threat"), d("kind_id % 40").alias("strength"),
+        "cost", (F.col("kind_id") % 5 + 1).alias("amount"),
     )
 
 
-_W8 = """o AS (SELECT kind_id AS item, kind_id % 25 AS player, kind_id % 3 AS queue, kind_id % 7 AS owned, kind_id % 9 AS cap, 10.0 + kind_id % 5 AS base, kind_id % 100 * 20.0 AS credits, kind_id % 60 AS power, 30 AS drain, kind_id % 13 AS gain, CAST(kind_id % 90 AS DOUBLE) AS threat, CAST(kind_id % 40 AS DOUBLE) AS strength FROM v_kinds),
+_W8 = """o AS (SELECT kind_id AS item, kind_id % 25 AS player, kind_id % 3 AS queue, kind_id % 7 AS owned, kind_id % 9 AS cap, 10.0 + kind_id % 5 AS base, kind_id % 100 * 20.0 AS credits, kind_id % 60 AS power, 30 AS drain, kind_id % 13 AS gain, CAST(nullif(kind_id % 90, kind_id % 11) AS DOUBLE) AS threat, CAST(kind_id % 40 AS DOUBLE) AS strength, cost, CAST(kind_id % 5 + 1 AS DOUBLE) AS amount FROM v_kinds),
     s AS (SELECT *, CAST(CASE item % 4 WHEN 0 THEN CASE WHEN owned >= cap THEN -100 WHEN credits < 1000 THEN base * (1 - owned / CAST(nullif(cap, 0) AS DOUBLE)) * credits / 1000.0 ELSE base * (1 - owned / CAST(nullif(cap, 0) AS DOUBLE)) END
-      WHEN 1 THEN CASE WHEN power < drain THEN 100 WHEN power < drain + gain / 2.0 THEN 20 ELSE 0 END WHEN 2 THEN CASE WHEN threat > strength * CAST(1.1 AS DOUBLE) THEN base * threat / greatest(1.0, strength) ELSE 0 END ELSE -owned END AS DOUBLE) AS priority FROM o)"""
+      WHEN 1 THEN CASE WHEN power < drain THEN 100 WHEN power < drain + gain / 2.0 THEN 20 ELSE 0 END WHEN 2 THEN CASE WHEN owned >= cap THEN 0 WHEN threat IS NULL THEN base * (1 - owned / amount) * (strength / nullif(cost, 0) * 1000) WHEN threat > strength * CAST(1.1 AS DOUBLE) THEN base * threat / greatest(1.0, strength) ELSE 0 END ELSE -owned END AS DOUBLE) AS priority FROM o)"""
 
 
-@query(f"""WITH {_W8} SELECT player, queue, item, round(priority, 4) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY player, queue ORDER BY priority DESC, item DESC) AS n FROM s WHERE priority >= 0) WHERE n = 1""")
+@query(f"""WITH {_W8} SELECT player, queue, item, round(priority, 4) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY player, queue ORDER BY priority DESC, item DESC) AS n FROM s
+    WHERE priority > 0 AND owned < coalesce(CASE item % 4 WHEN 0 THEN CAST(cap AS DOUBLE) WHEN 2 THEN least(CAST(cap AS DOUBLE), 1 + floor(threat / greatest(1.0, strength))) END, 1e9)) WHERE n = 1""")
 def w8_build_ranking(v):
-    return R.build_ranking(_options(v), standard_rules()).withColumn("priority", F.round("priority", 4))
+    return R.build_ranking(_options(v), standard_rules(unknown_threat=True)).withColumn("priority", F.round("priority", 4))
 
 
 @query("""WITH e AS (SELECT a.player AS viewer, b.player AS owner FROM v_players a JOIN v_players b ON a.team <> b.team AND b.is_combatant AND NOT b.is_neutral WHERE a.is_combatant),
@@ -750,7 +752,7 @@ def r10_stream_expired(v):
       CAST(CASE WHEN item % 4 = 2 THEN floor(base_x + (front_x - base_x) / 4.0 + 0.5) ELSE base_x END AS INT) AS place_x,
       CAST(CASE WHEN item % 4 = 2 THEN floor(base_y + (front_y - base_y) / 4.0 + 0.5) ELSE base_y END AS INT) AS place_y FROM p""")
 def x1_rule_book(v):
-    book = standard_rules().register("other", lambda: F.lit(7.0))
+    book = standard_rules(unknown_threat=True).register("other", lambda: F.lit(7.0))
     options = _options(v)
     parameters = ("family", "base", "cap", "credit_floor")  # these come from a table of rules by item
     players = v.players.select("player", F.col("x").alias("base_x"), F.col("y").alias("base_y"), F.expr("(x + 40) % 128").alias("front_x"), F.expr("(y + 30) % 100").alias("front_y"))

@@ -27,21 +27,22 @@ def scan_cells(df: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
 def scan_units(units: DataFrame, players: DataFrame, kinds: DataFrame, viewer: int, relation: str, pred: Column | None = None) -> DataFrame:
     """Units that ``viewer`` sees as ``self``, ``ally``, ``enemy`` or ``hostile``, narrowed by a predicate on kinds.
 
-    ``hostile`` is whatever is neither own nor allied, neutral owners included; ``enemy``
-    is a hostile combatant. Players are a small dimension and are broadcast when Spark's
-    size threshold allows.
+    ``hostile`` is whatever is neither own nor allied, neutral and unknown owners included; ``enemy``
+    is a hostile combatant. A viewer that is no player has own units but no allies. Players are a
+    small dimension and are broadcast when Spark's size threshold allows.
     """
     mine = players.filter(F.col("player") == viewer).select(F.col("team").alias("viewer_team"))
-    known = players.select(F.col("player").alias("owner"), "team", "is_combatant", "is_neutral").crossJoin(F.broadcast(mine))
-    same, allied = F.col("owner") == viewer, (F.col("team") == F.col("viewer_team")) & ~F.col("is_neutral")
-    rule = {
-        "self": same,
-        "ally": ~same & allied,
-        "hostile": ~same & ~allied,
-        "enemy": ~same & ~allied & ~F.col("is_neutral") & F.col("is_combatant"),
-    }[relation]
-    wanted = known.filter(rule).select("owner")
-    out = units.join(wanted, "owner", "left_semi")
+    known = players.select(F.col("player").alias("owner"), "team", "is_combatant", "is_neutral").join(F.broadcast(mine), F.lit(True), "left")
+    same, allied = F.col("owner") == viewer, F.coalesce((F.col("team") == F.col("viewer_team")) & ~F.col("is_neutral"), F.lit(False))
+    owners = lambda rule: known.filter(rule).select("owner")
+    if relation == "self":
+        out = units.filter(same)
+    elif relation == "hostile":
+        out = units.filter(F.coalesce(~same, F.lit(True))).join(owners(allied), "owner", "left_anti")
+    elif relation in ("ally", "enemy"):
+        out = units.join(owners(~same & (allied if relation == "ally" else ~allied & ~F.col("is_neutral") & F.col("is_combatant"))), "owner", "left_semi")
+    else:
+        raise ValueError(f"no relation {relation}")
     if pred is not None:
         out = out.join(kinds.filter(pred).select("kind_id"), "kind_id", "left_semi")
     return out.select(*units.columns)
