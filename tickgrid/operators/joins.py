@@ -32,11 +32,67 @@ def weapon_any(units: DataFrame, kinds: DataFrame, weapons: DataFrame, projectil
     return units.join(slots.join(able, "weapon_id", "left_semi").select("kind_id"), "kind_id", "left_semi").select(*units.columns)
 
 
+#: Quarterings of a full bucket at most; what is fuller still is dealt out by row.
+DEEPEST = 16
+
+
+def _tiled(df: DataFrame, width: float, most: int) -> DataFrame:
+    """``df`` with ``__tile``, of which none holds more than about ``most`` rows, and its bucket ``__gx, __gy`` of side ``width``.
+
+    A bucket is quartered as often as its count asks for; a quarter that is still too full, as
+    points crowd in it or share one place, is dealt into parts. The rows are written, as
+    parts go by row number.
+    """
+    rows = df.filter(_placed(df)).withColumns({f"__g{c}": F.floor(F.col(c) / width) for c in "xy"})
+    bucket = ["__gx", "__gy"]
+    full = lambda keys: rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    depth = F.least(F.ceil(F.log(F.col("__n") / most) / F.log(F.lit(4.0))), F.lit(DEEPEST)).cast("int")
+    rows = rows.join(full(bucket).select(*bucket, depth.alias("__depth")), bucket, "left").withColumn("__side", F.pow(F.lit(2.0), F.coalesce("__depth", F.lit(0))))
+    quarter = lambda c: F.least(F.floor((F.col(c) / width - F.col(f"__g{c}")) * F.col("__side")), F.col("__side") - 1).cast("long")
+    rows = rows.withColumns({f"__q{c}": quarter(c) for c in "xy"}).drop("__depth", "__side")
+    quarters = [*bucket, "__qx", "__qy"]
+    parts = full(quarters).select(*quarters, F.ceil(F.col("__n") / most).alias("__parts"))
+    part = F.monotonically_increasing_id() % F.coalesce("__parts", F.lit(1))
+    rows = rows.join(parts, quarters, "left").withColumn("__tile", F.struct(*quarters, part.alias("__part")))
+    return written(rows.drop("__qx", "__qy", "__parts"), "tiled")
+
+
+def _tiles(rows: DataFrame, name: str) -> DataFrame:
+    """The tiles of ``_tiled`` rows, as ``name``, with their bounds and numbers of rows."""
+    bounds = [f(F.col(c).cast("double")).alias(f"{name}_{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+    return rows.groupBy(F.col("__tile").alias(name), "__gx", "__gy").agg(*bounds, F.count("*").alias(f"{name}_n"))
+
+
+def _tile_pairs(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
+    """``__a, __b``: tiles within ``r`` of each other, of rows tiled with that width."""
+    near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    left = _tiles(a, "__a").withColumn("__ox", near).withColumn("__oy", near).withColumns({"__gx": F.col("__gx") + F.col("__ox"), "__gy": F.col("__gy") + F.col("__oy")})
+    gap = lambda c: F.greatest(F.col(f"__a_{c}0") - F.col(f"__b_{c}1"), F.col(f"__b_{c}0") - F.col(f"__a_{c}1"), F.lit(0.0))
+    return left.join(_tiles(b, "__b"), ["__gx", "__gy"]).filter(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= r).select("__a", "__b")
+
+
+def radius_join_tiled(a: DataFrame, b: DataFrame, r: float, on: tuple[str, ...] = (), most: int = 20_000) -> DataFrame:
+    """``radius_join`` for points that crowd in a few buckets: the same rows, by joins on pairs of tiles of about ``most`` rows each.
+
+    Which tiles lie within ``r`` is found from their counts and bounds alone; both sides follow
+    their pairs, so no join key has more than ``most`` rows of a side, and tiles too far apart are
+    never compared.
+    """
+    width = float(max(r, 1))
+    a, b = _tiled(a, width, most), _tiled(b, width, most)
+    pairs = written(_tile_pairs(a, b, r), "pairs")
+    side = lambda rows, name: rows.drop("__gx", "__gy").withColumnRenamed("__tile", name).join(pairs, name)
+    left, right = side(a, "__a"), side(b, "__b").withColumnsRenamed({"x": "bx", "y": "by"})
+    d = distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
+    return left.join(right, ["__a", "__b", *on]).withColumn("distance", d).filter(F.col("distance") <= r).drop("__a", "__b")
+
+
 def radius_join(a: DataFrame, b: DataFrame, r: float, on: tuple[str, ...] = ()) -> DataFrame:
     """All pairs at Euclidean distance of at most ``r``, with ``distance``.
 
     Both sides have ``x, y``; other names must not clash. The columns of ``b`` are kept
-    with its place as ``bx, by``. ``on`` names columns that must be equal too.
+    with its place as ``bx, by``. ``on`` names columns that must be equal too. Where many
+    points share a bucket of side ``r``, see ``radius_join_tiled``.
     """
     width = float(max(r, 1))
     cell = lambda c: F.floor(F.col(c) / width)
@@ -56,6 +112,20 @@ def box_join(points: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
     return left.join(right, ["__gx", "__gy"]).filter(inside).drop("__gx", "__gy")
 
 
+def box_join_tiled(points: DataFrame, boxes: DataFrame, width: int, most: int = 20_000) -> DataFrame:
+    """``box_join`` for points or boxes that crowd in a few buckets: the same rows, by joins on tiles of about ``most`` points and parts of as many boxes."""
+    rows = _tiled(points, float(width), most)
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+    right = boxes.filter("x1 > x0 and y1 > y0").withColumn("__gx", span("x0", "x1")).withColumn("__gy", span("y0", "y1"))
+    touches = (F.col("__t_x1") >= F.col("x0")) & (F.col("__t_x0") < F.col("x1")) & (F.col("__t_y1") >= F.col("y0")) & (F.col("__t_y0") < F.col("y1"))
+    met = written(right.join(_tiles(rows, "__t"), ["__gx", "__gy"]).filter(touches).select("__t", *boxes.columns), "boxes")
+    parts = met.groupBy("__t").agg(F.ceil(F.count("*") / most).alias("__parts"))
+    met = written(met.join(parts, "__t").withColumn("__p", F.monotonically_increasing_id() % F.col("__parts")).drop("__parts"), "boxes")
+    left = rows.drop("__gx", "__gy").withColumnRenamed("__tile", "__t").join(parts, "__t").withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    return left.join(met, ["__t", "__p"]).filter(inside).drop("__t", "__p")
+
+
 #: Places in a finest cell of the pyramid at most, unless halving the cells no longer parts them.
 LEAF = 16
 

@@ -166,12 +166,27 @@ def j2_weapon_any(v):
     return J.weapon_any(v.units, v.kinds, v.weapons, v.projectiles, "anti_air").select("unit_id")
 
 
-@query("SELECT c.cell_id, p.player, round(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 4) AS distance FROM v_cells c JOIN v_players p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 144")
+_J3 = "SELECT c.cell_id, p.player, round(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 4) AS distance FROM v_cells c JOIN v_players p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 144"
+_J4 = "SELECT c.cell_id, p.player FROM v_cells c JOIN v_players p ON c.x >= p.x - 6 AND c.x < p.x + 7 AND c.y >= p.y - 6 AND c.y < p.y + 7"
+
+
+@query(_J3)
+def j3_radius_join_tiled(v):
+    return J.radius_join_tiled(v.cells.select("cell_id", "x", "y"), v.players.select("player", "x", "y"), 12, most=50).select("cell_id", "player", r4("distance"))
+
+
+@query(_J4)
+def j4_box_join_tiled(v):
+    boxes = v.players.select("player", (F.col("x") - 6).alias("x0"), (F.col("y") - 6).alias("y0"), (F.col("x") + 7).alias("x1"), (F.col("y") + 7).alias("y1"))
+    return J.box_join_tiled(v.cells.select("cell_id", "x", "y"), boxes, 13, most=50).select("cell_id", "player")
+
+
+@query(_J3)
 def j3_radius_join(v):
     return J.radius_join(v.cells.select("cell_id", "x", "y"), v.players.select("player", "x", "y"), 12).select("cell_id", "player", r4("distance"))
 
 
-@query("SELECT c.cell_id, p.player FROM v_cells c JOIN v_players p ON c.x >= p.x - 6 AND c.x < p.x + 7 AND c.y >= p.y - 6 AND c.y < p.y + 7")
+@query(_J4)
 def j4_box_join(v):
     boxes = v.players.select("player", (F.col("x") - 6).alias("x0"), (F.col("y") - 6).alias("y0"), (F.col("x") + 7).alias("x1"), (F.col("y") + 7).alias("y1"))
     return J.box_join(v.cells.select("cell_id", "x", "y"), boxes, 13).select("cell_id", "player")
@@ -667,12 +682,25 @@ def r1_stream_threat(v):
     return _closed(v, out, F.col("start") + F.expr("INTERVAL 1 HOUR")).select(F.col("start").cast("string").alias("start"), "n", F.round("threat", 4).alias("threat"))
 
 
-@query(f"""SELECT CAST(s AS VARCHAR) AS start, keys FROM (SELECT b.s - INTERVAL '1 hour' * o.o AS s, count(DISTINCT key) AS keys FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, key FROM v_events) b CROSS JOIN (SELECT unnest(range(0, 3)) AS o) o GROUP BY 1) WHERE s + INTERVAL '3 hours' <= {_LATE}""")
+_R2 = f"""SELECT CAST(s AS VARCHAR) AS start, keys FROM (SELECT b.s - INTERVAL '1 hour' * o.o AS s, count(DISTINCT key) AS keys FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, key FROM v_events) b CROSS JOIN (SELECT unnest(range(0, 3)) AS o) o GROUP BY 1) WHERE s + INTERVAL '3 hours' <= {_LATE}"""
+
+
+@query(_R2)
 def r2_stream_freshness(v):
     out = _run(v, ST.stream_freshness(_stream(v), "3 hours", "1 hour"))
     return _closed(v, out, F.col("start") + F.expr("INTERVAL 3 HOURS")).select(F.col("start").cast("string").alias("start"), "keys")
 
 
+@query(f"SELECT start, keys, true AS near FROM ({_R2})")
+def r2_stream_freshness_sketched(v):
+    """The sketched counts beside those of the batch twin, which they may miss by the sketch's stated error."""
+    out = _run(v, ST.stream_freshness_sketched(_stream(v), "3 hours", "1 hour"))
+    windows = event_time(v.events).groupBy(F.window("ts", "3 hours", "1 hour").alias("w")).agg(F.count_distinct("key").alias("exact")).select(F.col("w.start").alias("start"), "exact")
+    both = _closed(v, out, F.col("start") + F.expr("INTERVAL 3 HOURS")).join(windows, "start")
+    near = F.abs(F.col("keys") - F.col("exact")) <= F.greatest(F.col("exact") * ST.sketch_error(12), F.lit(1))
+    return both.select(F.col("start").cast("string").alias("start"), F.col("exact").alias("keys"), near.alias("near"))
+
+
 @query(f"""WITH g AS (SELECT key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS new FROM v_events),
     s AS (SELECT key, ts, sum(new) OVER (PARTITION BY key ORDER BY ts) AS i FROM g) SELECT key, CAST(a AS VARCHAR) AS start, n FROM (SELECT key, min(ts) AS a, max(ts) + INTERVAL '12 hours' AS b, count(*) AS n FROM s GROUP BY key, i) WHERE b <= {_LATE}""")
 def r3_stream_sessions(v):

@@ -12,6 +12,7 @@ processing time, in which an ``availableNow`` run never ends, and depends on arr
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,6 +38,23 @@ def stream_freshness(events: DataFrame, length: str, slide: str, delay: str = "1
     return out.select(F.col("w.start").alias("start"), "keys")
 
 
+def sketch_error(lg_size: int) -> float:
+    """Three standard errors of a HyperLogLog sketch of ``2**lg_size`` registers, as a share of the count."""
+    return 3 * 1.04 / math.sqrt(2**lg_size)
+
+
+def stream_freshness_sketched(events: DataFrame, length: str, slide: str, delay: str = "10 minutes", lg_size: int = 12) -> DataFrame:
+    """``stream_freshness`` by one mergeable sketch a pane of ``slide``, and the union of its panes' sketches for each window.
+
+    ``length`` is a whole number of slides. An event enters one pane, not each window over
+    it, and state is a sketch of at most ``2**lg_size`` bytes a pane and window, however many keys there
+    are. The count is off by more than ``sketch_error(lg_size)`` in fewer than one window in two hundred; small counts are exact.
+    """
+    panes = events.withWatermark("ts", delay).groupBy(F.window("ts", slide).alias("pane")).agg(F.hll_sketch_agg("key", F.lit(lg_size)).alias("sketch"))
+    out = panes.groupBy(F.window(F.window_time("pane"), length, slide).alias("w")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("keys"))
+    return out.select(F.col("w.start").alias("start"), "keys")
+
+
 def stream_sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Sessions per key that end after ``gap`` without an event."""
     out = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "key").agg(F.count("*").alias("n"))
