@@ -34,6 +34,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def plainly_named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` and ``text`` and all other columns called c0, c1, .., so that no name can clash or need quoting; ``toDF(*docs.columns)`` undoes it."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 #: Bits of the bitmap in ``may_hold``; at most 4 MB are broadcast, whatever the input.
 FILTER_BITS = 1 << 25
 

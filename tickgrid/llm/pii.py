@@ -385,4 +385,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return _let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), ends.alias("ends")), with_blocks)
 
     out = F.when(F.size(name) > 0, replaced(F.col(name))).otherwise(text)
-    return tagged.withColumn("text", out).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return tagged.withColumn("text", out).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tickgrid.llm.common import written
+from tickgrid.llm.common import plainly_named, written
 from tickgrid.llm.components import connected_components
 from tickgrid.llm.near import MARK, marked, near_copies
 
@@ -131,8 +131,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Near copies have a Jaccard similarity of at least 0.8 over five-word shingles; two bits
     of a fingerprint, the bound of ``near_duplicates``, would leave most of them.
     Rows that share a doc_id count as one document. Of a group where no row has a doc_id
-    exactly one row stays. Columns are those of ``docs``.
+    exactly one row stays. Columns are those of ``docs``, whatever those are called.
     """
+    return _kept(plainly_named(docs)).toDF(*docs.columns)
+
+
+def _kept(docs: DataFrame) -> DataFrame:
     groups = written(near_copies(docs), "near-copies")
     kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

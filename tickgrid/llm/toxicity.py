@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.common import text_or_empty, written
+from tickgrid.llm.common import plainly_named, text_or_empty, written
 from tickgrid.llm.near import MARK, marked, near_copies
 
 #: Subsequences span at most SPAN places; DECAY is what each place costs; longer strings are read in overlapping parts.
@@ -402,6 +402,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic. Rows that share a doc_id go together; null ids stay."""
-    bad = classify(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that are predicted toxic. Rows that share a doc_id go together; null ids stay. Columns are those of ``docs``, whatever those are called."""
+    own = plainly_named(docs)
+    bad = classify(own, labels).filter("predicted = 1").select("doc_id").distinct()
+    return own.join(bad, "doc_id", "left_anti").select(*own.columns).toDF(*docs.columns)
