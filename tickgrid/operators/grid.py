@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.operators.joins import neighbours8, radius_join
+from tickgrid.operators.joins import nearest, neighbours8, radius_join
 from tickgrid.sources.shared import written
 
 
@@ -20,14 +20,21 @@ def _running_min(df: DataFrame, value: str, across: str, along: str, out: str) -
     return df.withColumn(out, low)
 
 
+#: Places of the extent per cell up to which ``distance_to_blocked`` pads the grid.
+PADDED = 4
+
+
 def distance_to_blocked(cells: DataFrame) -> DataFrame:
     """``cell_id, x, y, d``: Manhattan distance to the nearest blocked cell, null where none is blocked.
 
     Manhattan distance splits into a column and a row part, so running minima down columns
     and then along rows give it. The grid is padded to a rectangle first, since a missing
-    cell would cut the path of a minimum.
+    cell would cut the path of a minimum. Where the extent has more than PADDED places a cell, the blocked
+    cells are searched through a pyramid instead, see ``distance_over_gaps``.
     """
-    x0, x1, y0, y1 = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    x0, x1, y0, y1, n = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    if n and (x1 - x0 + 1) * (y1 - y0 + 1) > PADDED * n:
+        return distance_over_gaps(cells)
     columns = cells.sparkSession.range(x0 or 0, (x1 if x1 is not None else -1) + 1).select(F.col("id").cast("int").alias("x"))  # made in many tasks
     full = columns.select("x", F.explode(F.sequence(F.lit(y0 or 0), F.lit(y1 or 0))).alias("y"))
     start = full.join(cells.select("cell_id", "x", "y", "blocked"), ["x", "y"], "left").withColumn("f", F.when(F.col("blocked"), 0))
@@ -35,6 +42,14 @@ def distance_to_blocked(cells: DataFrame) -> DataFrame:
     return _running_min(down, "g", "y", "x", "d").filter("cell_id is not null").select("cell_id", "x", "y", F.col("d").cast("int").alias("d"))
 
 
+def distance_over_gaps(cells: DataFrame) -> DataFrame:
+    """``distance_to_blocked`` at a cost that goes by cells, however far apart they lie: the nearest blocked cell of each place."""
+    blocked = cells.filter("blocked").select(F.col("cell_id").alias("__wall"), "x", "y")
+    found = nearest(cells.select("cell_id", "x", "y"), blocked, "cell_id", "__wall", 16.0, metric="manhattan")
+    d = found.groupBy("cell_id").agg(F.min("distance").cast("int").alias("d"))
+    return cells.filter("cell_id is not null").select("cell_id", "x", "y").join(d, "cell_id", "left")
+
+
 def clear_spots(cells: DataFrame, d: int) -> DataFrame:
     """Cells at least ``d`` from any blocked one that no better cell lies closer to than ``d`` (larger distance, then smaller id).
 

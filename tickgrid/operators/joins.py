@@ -168,12 +168,16 @@ def pyramid(places: DataFrame, id_column: str, side: float, leaf: int = LEAF) ->
     return written(levels, "pyramid"), cells, top
 
 
-def _descend(asked: DataFrame, levels: DataFrame, top: int) -> DataFrame:
+#: Lengths of a step by its two parts; each part may only raise it.
+METRICS = {"euclidean": lambda a, b: F.sqrt(a * a + b * b), "manhattan": lambda a, b: a + b}
+
+
+def _descend(asked: DataFrame, levels: DataFrame, top: int, metric: str = "euclidean") -> DataFrame:
     """``x, y, gx, gy``: for each asked place the finest cells in which its closest place may be."""
     px, py = F.col("x").cast("double"), F.col("y").cast("double")
     gap = lambda p, low, high: F.greatest(F.col(low) - p, p - F.col(high), F.lit(0.0))
     far = lambda p, low, high: F.greatest(F.abs(p - F.col(low)), F.abs(p - F.col(high)))
-    length = lambda a, b: F.sqrt(a * a + b * b)
+    length = METRICS[metric]
     at_least, at_most = length(gap(px, "x0", "x1"), gap(py, "y0", "y1")), length(far(px, "x0", "x1"), far(py, "y0", "y1"))
     own = W.partitionBy("x", "y")
     front = asked.withColumns({"gx": F.lit(0).cast("long"), "gy": F.lit(0).cast("long")})
@@ -188,8 +192,8 @@ def _descend(asked: DataFrame, levels: DataFrame, top: int) -> DataFrame:
     return front
 
 
-def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, leaf: int = LEAF) -> DataFrame:
-    """The closest ``b`` of each ``a`` as ``a_id, b_id, distance``; ties go to the smallest id.
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, leaf: int = LEAF, metric: str = "euclidean") -> DataFrame:
+    """The closest ``b`` of each ``a`` by one of METRICS, as ``a_id, b_id, distance``; ties go to the smallest id.
 
     The places of ``b`` are counted into a pyramid of occupied cells, which each place of
     ``a`` goes down from the top, all places a level at a time: a cell is left where its closest
@@ -204,9 +208,9 @@ def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, leaf: in
     if places.isEmpty():
         return a.select(a_id).join(b.select(b_id), F.lit(False)).withColumn("distance", F.lit(0.0))
     levels, cells, top = pyramid(places, b_id, float(r), leaf)
-    front = _descend(a.select("x", "y").distinct(), levels, top)
+    front = _descend(a.select("x", "y").distinct(), levels, top, metric)
     pairs = front.join(cells.withColumnsRenamed({"x": "bx", "y": "by"}), ["gx", "gy"])
-    d = distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
+    d = METRICS[metric](*[F.abs(F.col(c).cast("double") - F.col(f"b{c}").cast("double")) for c in "xy"])
     best = pairs.groupBy("x", "y").agg(F.min(F.struct(d.alias("distance"), b_id)).alias("m")).select("x", "y", f"m.{b_id}", "m.distance")
     return a.join(best, ["x", "y"]).select(a_id, b_id, "distance")
 

@@ -66,6 +66,13 @@ def s1_scan_cells(v):
     return S.scan_cells(v.cells, 20, 10, 40, 40).select("cell_id", "x", "y", "amount")
 
 
+@query("SELECT cell_id, x, y, amount FROM v_cells WHERE x >= 20 AND x < 60 AND y >= 10 AND y < 50")
+def s1_scan_stored(v):
+    at = f"{shared_dir(v.spark)}/cells-{uuid.uuid4().hex}"
+    S.store_cells(v.cells.select("cell_id", "x", "y", "amount"), at, side=32)
+    return S.scan_stored(v.spark, at, 20, 10, 40, 40, side=32).select("cell_id", "x", "y", "amount")
+
+
 @query(f"""SELECT u.unit_id, u.owner, u.kind_id FROM v_units u JOIN v_players p ON u.owner = p.player JOIN v_kinds k ON u.kind_id = k.kind_id
     WHERE u.owner <> {VIEWER} AND NOT (p.team = (SELECT team FROM v_players WHERE player = {VIEWER}) AND NOT p.is_neutral) AND NOT p.is_neutral AND p.is_combatant AND k.cost > 905""")
 def s2_scan_units(v):
@@ -619,6 +626,11 @@ def g1_distance_to_blocked(v):
     return G.distance_to_blocked(v.cells)
 
 
+@query(f"WITH {_DISTANCE} SELECT * FROM d")
+def g1_distance_over_gaps(v):
+    return G.distance_over_gaps(v.cells)
+
+
 @query(f"WITH {_DISTANCE}, s AS (SELECT * FROM d WHERE d >= 6) SELECT cell_id, d FROM s WHERE NOT EXISTS (SELECT 1 FROM s r WHERE (r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y) < 36 AND (r.d > s.d OR (r.d = s.d AND r.cell_id < s.cell_id)))")
 def g2_clear_spots(v):
     return G.clear_spots(v.cells, 6).select("cell_id", "d")

@@ -24,6 +24,35 @@ def scan_cells(df: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
     return df.filter((F.col("x") >= x0) & (F.col("x") < x0 + w) & (F.col("y") >= y0) & (F.col("y") < y0 + h))
 
 
+def _woven(x: Column, y: Column) -> Column:
+    """The bits of two numbers of at most 16 bits in turns: neighbours on the plane are mostly neighbours in this order."""
+    bit = lambda c, i, to: F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")), to)
+    parts = [bit(c.cast("long"), i, 2 * i + k) for i in range(16) for k, c in enumerate((x, y))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
+
+
+def store_cells(cells: DataFrame, path: str, side: int = 1024, files: int = 200, group_bytes: int = 8 << 20) -> None:
+    """Write cells so that ``scan_stored`` reads little: a folder for each square of ``side`` cells, rows in it along a space-filling curve.
+
+    A square's rows are dealt by ranges of the curve to at most ``files`` files over all squares, so a crowded
+    one is several files; ``group_bytes`` bounds a row group, whose least and largest x and y Parquet keeps. ``side`` is at most 65,536.
+    """
+    places = {f"s{c}": F.floor(F.col(c) / side).cast("long") for c in "xy"}
+    rows = cells.withColumns(places).withColumn("__curve", _woven(F.pmod("x", F.lit(side)), F.pmod("y", F.lit(side))))
+    order = ["sx", "sy", "__curve"]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("__curve")
+    dealt.write.mode("overwrite").option("parquet.block.size", group_bytes).partitionBy("sx", "sy").parquet(path)
+
+
+def scan_stored(spark: SparkSession, path: str, x0: int, y0: int, w: int, h: int, side: int = 1024) -> DataFrame:
+    """``scan_cells`` of a table of ``store_cells`` with the same ``side``: squares outside are no files to read, and bounds on x and y skip row groups."""
+    inside = [F.col(f"s{c}").between(lo // side, (lo + n - 1) // side) for c, lo, n in (("x", x0, w), ("y", y0, h))]
+    return scan_cells(spark.read.parquet(path).filter(inside[0] & inside[1]), x0, y0, w, h).drop("sx", "sy")
+
+
 def scan_units(units: DataFrame, players: DataFrame, kinds: DataFrame, viewer: int, relation: str, pred: Column | None = None) -> DataFrame:
     """Units that ``viewer`` sees as ``self``, ``ally``, ``enemy`` or ``hostile``, narrowed by a predicate on kinds.
 
