@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,26 +108,74 @@ def sector_links(cells: DataFrame, size: int) -> DataFrame:
     return pairs.groupBy("sector_id").agg(F.array_sort(F.collect_list("other")).alias("links"))
 
 
+def _spread(nodes: DataFrame, touch: DataFrame) -> DataFrame:
+    """``node, label``: the smallest of the nodes that ``touch(node, other)`` joins, for each of ``nodes(node)``.
+
+    Each round a node takes the smallest label around it and then that label's own label,
+    so a chain shrinks by more than a step a round.
+    """
+    links = written(touch.unionByName(touch.select(F.col("other").alias("node"), F.col("node").alias("other"))), "touch")
+    label = written(nodes.withColumn("label", F.col("node")), "labels")
+    while True:
+        near = links.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"), "label")
+        jump = step.join(label.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
+        new = written(jump.select("node", F.least("next", "far").alias("new"), "label"), "labels")
+        changed = new.filter("new <> label").limit(1).count()
+        label = new.select("node", F.col("new").alias("label"))
+        if not changed:
+            return label
+
+
+#: Side of the square tiles in ``regions``; a task holds the cells of one tile at a time.
+TILE = 64
+
+
+def _label_tile(part: pd.DataFrame) -> pd.DataFrame:
+    """Each cell of one tile with the smallest cell id that it is connected to inside the tile."""
+    part = part.sort_values("cell_id", ignore_index=True)
+    wide = TILE + 2  # a closed border, so that no step leaves the tile
+    place = (part["y"].to_numpy() % TILE + 1) * wide + part["x"].to_numpy() % TILE + 1
+    low = np.full(wide * wide, len(part))
+    np.minimum.at(low, place, np.arange(len(part)))
+    filled = np.unique(place)
+    while True:
+        near = np.minimum.reduce([low[filled + step] for step in (0, 1, -1, wide, -wide)])
+        near = low[place[near]]
+        if (near == low[filled]).all():
+            return part.assign(part=part["cell_id"].to_numpy()[low[place]])[["cell_id", "x", "y", "part"]]
+        low[filled] = near
+
+
 def regions(cells: DataFrame) -> DataFrame:
     """``cell_id, x, y, region`` of passable cells: connected by edges, named by the smallest cell id.
 
-    Runs of cells in a row are contracted first, so rounds follow the turns of a region and
-    not its length; labels then spread over touching runs, with a jump to the label's own
-    label each round.
+    Cells are connected inside square tiles first, a tile in one task. What then touches
+    across the tiles' borders is a graph with a node for each part of a tile that reaches a
+    border, and labels spread over that only. Cells without an id or a place, or of which
+    it is not known whether they are blocked, are in no region.
     """
-    free = cells.filter(~F.col("blocked")).select("cell_id", "x", "y")
+    free = cells.filter(~F.col("blocked") & F.col("cell_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select("cell_id", "x", "y")
+    kinds = ", ".join(f"{c} {free.schema[c].dataType.simpleString()}" for c in free.columns)
+    tiles = free.groupBy(F.floor(F.col("x") / TILE).alias("tx"), F.floor(F.col("y") / TILE).alias("ty"))
+    member = written(tiles.applyInPandas(_label_tile, f"{kinds}, part {free.schema['cell_id'].dataType.simpleString()}"), "tiles")
+    on = lambda c, k: F.pmod(F.col(c), F.lit(TILE)) == k
+    right = member.filter(on("x", TILE - 1)).select((F.col("x") + 1).alias("x"), "y", F.col("part").alias("node"))
+    down = member.filter(on("y", TILE - 1)).select("x", (F.col("y") + 1).alias("y"), F.col("part").alias("node"))
+    edge = member.filter(on("x", 0) | on("y", 0)).select("x", "y", F.col("part").alias("other"))
+    touch = written(right.unionByName(down).join(edge, ["x", "y"]).select("node", "other").distinct(), "borders")
+    label = _spread(touch.select(F.explode(F.array("node", "other")).alias("node")).distinct(), touch)
+    return member.join(label.withColumnRenamed("node", "part"), "part", "left").select("cell_id", "x", "y", F.coalesce("label", "part").alias("region"))
+
+
+def regions_by_runs(cells: DataFrame) -> DataFrame:
+    """The rows of ``regions`` by another way: runs of cells in a row are contracted, and labels spread over touching runs.
+
+    It needs no Python, but its graph has a node for each run of the whole grid.
+    """
+    free = cells.filter(~F.col("blocked") & F.col("cell_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select("cell_id", "x", "y")
     run = free.withColumn("island", F.col("x") - F.row_number().over(W.partitionBy("y").orderBy("x")))
-    member = written(run.withColumn("run", F.min("cell_id").over(W.partitionBy("y", "island"))).select("cell_id", "x", "y", "run"), "runs")
-    below = member.select("x", (F.col("y") + 1).alias("y"), F.col("run").alias("other"))
-    touch = member.join(below, ["x", "y"]).select("run", "other").distinct()
-    links = written(touch.unionByName(touch.select(F.col("other").alias("run"), F.col("run").alias("other"))), "touch")
-    label = written(member.select("run").distinct().withColumn("region", F.col("run")), "labels")
-    while True:
-        near = links.join(label.withColumnRenamed("run", "other"), "other").groupBy("run").agg(F.min("region").alias("near"))
-        step = label.join(near, "run", "left").select("run", F.least("region", F.coalesce("near", "region")).alias("next"), "region")
-        jump = step.join(label.select(F.col("run").alias("next"), F.col("region").alias("far")), "next")
-        new = written(jump.select("run", F.least("next", "far").alias("new"), "region"), "labels")
-        changed = new.filter("new <> region").limit(1).count()
-        label = new.select("run", F.col("new").alias("region"))
-        if not changed:
-            return member.join(label, "run").select("cell_id", "x", "y", "region")
+    member = written(run.withColumn("node", F.min("cell_id").over(W.partitionBy("y", "island"))).select("cell_id", "x", "y", "node"), "runs")
+    below = member.select("x", (F.col("y") + 1).alias("y"), F.col("node").alias("other"))
+    touch = member.join(below, ["x", "y"]).select("node", "other").distinct()
+    return member.join(_spread(member.select("node").distinct(), touch), "node").select("cell_id", "x", "y", F.col("label").alias("region"))

@@ -241,24 +241,24 @@ def j9_neighbours8(v):
     return J.neighbours8(v.cells)
 
 
-_REGIONS = """free AS (SELECT cell_id, x, y FROM v_cells WHERE x < 12 AND y < 12 AND NOT (blocked OR cell_id % 7 = 0 OR cell_id % 11 = 3)),
-    link AS (SELECT a.cell_id AS a, b.cell_id AS b FROM free a JOIN free b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
-    walk(cell_id, seen) AS (SELECT cell_id, cell_id FROM free UNION SELECT w.cell_id, l.b FROM walk w JOIN link l ON w.seen = l.a),
-    reg AS (SELECT f.cell_id, f.x, f.y, min(w.seen) AS region FROM walk w JOIN free f ON w.cell_id = f.cell_id GROUP BY 1, 2, 3)"""
+#: Regions of the walled grid: a cell takes the smallest label next to it until none is smaller. Labels are keyed by cell, so no pair of cells is kept.
+REGIONS = """free AS MATERIALIZED (SELECT cell_id, x, y FROM v_cells WHERE NOT (blocked OR cell_id % 7 = 0 OR cell_id % 11 = 3)),
+    link AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM free a JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) ON true JOIN free b ON b.x = a.x + d.dx AND b.y = a.y + d.dy),
+    reg(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM free
+        UNION SELECT l.b, min(r.region) FROM reg r JOIN link l ON r.cell_id = l.a JOIN recurring.reg o ON o.cell_id = l.b WHERE r.region < o.region GROUP BY l.b)"""
 
 
-def _boxed(v):
-    cells = S.scan_cells(v.cells, 0, 0, 12, 12)
+def walled(cells: DataFrame) -> DataFrame:
+    """All cells, with walls added so that they fall into several regions."""
     return cells.withColumn("blocked", F.col("blocked") | (F.col("cell_id") % 7 == 0) | (F.col("cell_id") % 11 == 3))
 
 
-@query(f"""WITH RECURSIVE {_REGIONS} SELECT DISTINCT a.cell_id AS a_id, b.cell_id AS b_id FROM reg a JOIN v_cells b ON b.x < 12 AND b.y < 12 AND b.cell_id % 11 = 3
-    JOIN reg n ON abs(n.x - b.x) <= 1 AND abs(n.y - b.y) <= 1 AND n.region = a.region WHERE a.cell_id % 13 = 1""")
+@query(f"""WITH RECURSIVE {REGIONS}, place AS (SELECT f.x, f.y, r.region FROM free f JOIN reg r ON f.cell_id = r.cell_id),
+    next AS (SELECT DISTINCT b.cell_id, p.region FROM v_cells b JOIN (VALUES (-1), (0), (1)) i(dx) ON true JOIN (VALUES (-1), (0), (1)) j(dy) ON true JOIN place p ON p.x = b.x + i.dx AND p.y = b.y + j.dy)
+    SELECT a.player AS a_id, n.cell_id AS b_id FROM v_players a JOIN place s ON a.x = s.x AND a.y = s.y JOIN next n ON n.region = s.region""")
 def j10_reachable(v):
-    cells = _boxed(v)
-    a = cells.filter("cell_id % 13 = 1").select(F.col("cell_id").alias("a_id"), "x", "y")
-    b = cells.filter("cell_id % 11 = 3").select(F.col("cell_id").alias("b_id"), "x", "y")
-    return J.reachable(a, b, G.regions(cells), "a_id", "b_id")
+    a = v.players.select(F.col("player").alias("a_id"), "x", "y")
+    return J.reachable(a, v.cells.select(F.col("cell_id").alias("b_id"), "x", "y"), G.regions(walled(v.cells)), "a_id", "b_id")
 
 
 @query("""WITH need AS (SELECT DISTINCT family AS set_id, class AS item FROM v_kinds), have AS (SELECT DISTINCT k.class AS item FROM v_units u JOIN v_kinds k ON u.kind_id = k.kind_id WHERE u.owner < 2 AND u.x < 100)
@@ -665,9 +665,9 @@ def g5_sector_links(v):
     return G.sector_links(cells, 4).withColumn("links", F.array_join("links", ","))
 
 
-@query(f"WITH RECURSIVE {_REGIONS} SELECT cell_id, region FROM reg")
+@query(f"WITH RECURSIVE {REGIONS} SELECT cell_id, region FROM reg")
 def g6_regions(v):
-    return G.regions(_boxed(v)).select("cell_id", "region")
+    return G.regions(walled(v.cells)).select("cell_id", "region")
 
 
 # --- streams ---------------------------------------------------------------------------------------------

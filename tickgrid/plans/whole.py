@@ -1,7 +1,7 @@
 """Whole-table forms of queries whose SQL in ``plans.queries`` holds for a part of the rows only.
 
-Roles come from attributes, so every row takes part. Regions and reachability have no SQL:
-a recursive one visits all pairs of cells in a region. Tests compare them with a plain search.
+Roles come from attributes, so every row takes part. Regions here are found by runs of
+cells, those of ``plans.queries`` by tiles; a test compares both with a plain search.
 """
 
 from __future__ import annotations
@@ -15,43 +15,41 @@ from tickgrid.operators import aggregates as A
 from tickgrid.operators import grid as G
 from tickgrid.operators import joins as J
 from tickgrid.operators import ranking as R
-from tickgrid.plans.queries import Source
+from tickgrid.plans.queries import ORACLE_SQL as ORACLE_OF
+from tickgrid.plans.queries import REGIONS, Source, walled
 from tickgrid.sources.fixtures import duckdb_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None):
+def query(sql: str):
     """Register a function of a Source, with the SQL that gives the same rows."""
 
     def add(f: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Source(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = duckdb_views(sql)
+        ORACLE_SQL[f.__name__] = sql if sql.startswith("WITH RECURSIVE v_") else duckdb_views(sql)
         return f
 
     return add
 
 
-def walled(cells: DataFrame) -> DataFrame:
-    """All cells, with the walls that ``g6_regions`` adds."""
-    return cells.withColumn("blocked", F.col("blocked") | (F.col("cell_id") % 7 == 0) | (F.col("cell_id") % 11 == 3))
-
-
-@query(None)
+@query(ORACLE_OF["g6_regions"])
 def g6_regions_whole(v):
-    return G.regions(walled(v.cells)).select("cell_id", "region")
+    """The regions by contracted runs of cells instead of tiles."""
+    return G.regions_by_runs(walled(v.cells)).select("cell_id", "region")
 
 
-@query(None)
+@query(ORACLE_OF["j10_reachable"])
 def j10_reachable_whole(v):
-    """All cells that can be reached from each player's start."""
+    """All cells that can be reached from each player's start, over those regions."""
     a = v.players.select(F.col("player").alias("a_id"), "x", "y")
-    return J.reachable(a, v.cells.select(F.col("cell_id").alias("b_id"), "x", "y"), G.regions(walled(v.cells)), "a_id", "b_id")
+    return J.reachable(a, v.cells.select(F.col("cell_id").alias("b_id"), "x", "y"), G.regions_by_runs(walled(v.cells)), "a_id", "b_id")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {REGIONS}, place AS (SELECT f.x, f.y, r.region FROM free f JOIN reg r ON f.cell_id = r.cell_id)
+    SELECT 'stands' AS how, a.player AS id, s.region FROM v_players a JOIN place s ON a.x = s.x AND a.y = s.y
+    UNION ALL SELECT DISTINCT 'touches', b.cell_id, p.region FROM v_cells b JOIN (VALUES (-1), (0), (1)) i(dx) ON true JOIN (VALUES (-1), (0), (1)) j(dy) ON true JOIN place p ON p.x = b.x + i.dx AND p.y = b.y + j.dy""")
 def j10_reachable_regions_whole(v):
     """The same in a row for each player and up to nine for each cell, instead of pairs."""
     labels = G.regions(walled(v.cells))
@@ -59,7 +57,6 @@ def j10_reachable_regions_whole(v):
     return a.unionByName(J.touching(v.cells, labels, "cell_id").select(F.lit("touches").alias("how"), F.col("cell_id").alias("id"), "region"))
 
 
-
 @query("""WITH need AS (SELECT DISTINCT family AS set_id, class AS item FROM v_kinds), have AS (SELECT DISTINCT k.class AS item FROM v_units u JOIN v_kinds k ON u.kind_id = k.kind_id)
     SELECT DISTINCT set_id FROM need n WHERE NOT EXISTS (SELECT 1 FROM need m WHERE m.set_id = n.set_id AND NOT EXISTS (SELECT 1 FROM have h WHERE h.item = m.item))""")
 def j11_feasible_sets_whole(v):
