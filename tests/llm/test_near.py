@@ -33,9 +33,10 @@ def _components(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("limit", [1, 4, 64])
-def test_near_copies_equal_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, unlike", [(1, 256), (1, 0), (4, 2), (64, 256)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, limit, unlike):
     monkeypatch.setattr(near, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(near, "UNLIKE_LIMIT", unlike)
     r = random.Random(limit)
     words = [f"w{i}" for i in range(300)]
     line = r.choices(words, k=40)
@@ -70,3 +71,40 @@ def test_stage_finds_the_near_copies_of_the_tables(spark):
     rows = docs.collect()
     want = [rows[i].doc_id for i in _components([x.text for x in rows])]
     assert [x.component_id for x in near.near_copies(docs).orderBy("doc_id").collect()] == want
+
+
+def test_alike_sets_share_a_part_key():
+    r, alike = random.Random(9), 0
+    for _ in range(3000):
+        whole = [r.getrandbits(62) for _ in range(r.choice([3, 5, 6, 9, 20, 60, 200, 900]))]
+        a, b = list(whole), list(whole)
+        for _ in range(r.randrange(2 + len(whole) // 8)):
+            of = r.choice([a, b])
+            of.pop(r.randrange(len(of))) if len(of) > 1 and r.random() < 0.5 else of.append(r.getrandbits(62))
+        x, y = np.unique(np.array(a, np.int64)), np.unique(np.array(b, np.int64))
+        shared = len(np.intersect1d(x, y))
+        if 5 * shared >= 4 * (len(x) + len(y) - shared):
+            alike += 1
+            assert len(np.intersect1d(near.part_keys(x), near.part_keys(y))), (len(x), len(y), shared)
+        assert len(near.part_keys(x)) < 4 * len(x) + 60
+    assert alike > 1000
+
+
+def test_a_shingle_of_thousands_of_unlike_sets_yields_few_pairs(spark, monkeypatch):
+    """Short texts around one passage, some of them near copies: all share shingles that are in every prefix."""
+    r, n = random.Random(3), 3000
+    words = [f"w{i}" for i in range(5000)]
+    passage = r.choices(words, k=14)
+    texts = [r.choices(words, k=r.randrange(20, 30)) for _ in range(n)]
+    texts = [t[:9] + passage + t[9:] for t in texts]
+    copies = {n + k: i for k, i in enumerate(range(0, n, 50))}
+    texts += [[*texts[i], "end"] for i in copies.values()]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    met = []
+    join = near._may_be_alike
+    monkeypatch.setattr(near, "_may_be_alike", lambda pairs, signatures: met.append(pairs.count()) or join(pairs, signatures))
+    # Nothing is told to be common, so that the passage stands in many prefixes.
+    monkeypatch.setattr(near, "COMMON", 10**9)
+    got = {x.doc_id: x.component_id for x in near.near_copies(rows).collect()}
+    assert got == {i: copies.get(i, i) for i in range(len(texts))}
+    assert len(met) == 2 and 20 * met[1] < n * (n - 1) / 2, met

@@ -31,6 +31,10 @@ WORDS_EACH = 5
 PARTS_ALIKE, PARTS = 4, 5
 #: Shingles held by more sets than this are linked through one set first; no link depends on it.
 PAIR_LIMIT = 64
+#: Sets outside the largest component of a shingle up to which they are compared with all sets of it; no link depends on it.
+UNLIKE_LIMIT = 256
+#: Differences that one part of two alike sets has at most, see ``part_keys``.
+PART_DIFFERENCES = 5
 #: The fewest slots of a set's signature; a larger set has the next power of two not below its size.
 SIGNATURE_BITS = 1024
 #: Texts from which common shingles are told, in how many of them those are, and how many are ordered last.
@@ -117,6 +121,61 @@ def _entries(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, set_id long, n int, at int")
 
 
+def _size_classes(n: int) -> list[int]:
+    """The largest sizes of the classes in which a set of ``n`` shingles may meet an alike one: by the larger set of a pair."""
+    top, found = 1, []
+    while True:
+        if top >= n:
+            found.append(top)
+        if PARTS_ALIKE * top >= PARTS * n:
+            return found
+        top = max(top + 1, PARTS * top // PARTS_ALIKE)
+
+
+def part_keys(own: np.ndarray) -> np.ndarray:
+    """Keys of one set such that any two sets that are alike enough have one in common.
+
+    Alike sets of at most ``top`` shingles differ in at most ``d`` = 2 * top / 9. Shingles are
+    dealt by hash to so many parts that one has at most PART_DIFFERENCES differences, and in
+    a part to two sub-parts more than that, so two sub-parts are the same in both sets: a key
+    is what two sub-parts of a part hold, about 0.8 keys a shingle. Sets that merely share a
+    passage rarely hold it, and nothing else, in two sub-parts.
+    """
+    values, keys = own.view(np.uint64), []
+    mixed = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    for top in _size_classes(len(own)):
+        d = 2 * (PARTS - PARTS_ALIKE) * top // (PARTS + PARTS_ALIKE)
+        least = min(PART_DIFFERENCES, d)
+        parts, subs = d // (least + 1) + 1, least + 2
+        held = np.zeros(parts * subs, np.uint64)
+        np.add.at(held, values % np.uint64(parts * subs), mixed)
+        i, j = np.triu_indices(subs, 1)
+        held = held.reshape(parts, subs)
+        place = np.arange(parts * len(i), dtype=np.uint64).reshape(parts, -1) + (np.uint64(top) << np.uint64(32))
+        both = held[:, i] * np.uint64(0x9E3779B97F4A7C15) + held[:, j] * np.uint64(0xC2B2AE3D27D4EB4F) + place * np.uint64(0x165667B19E3779F9)
+        keys.append((both ^ (both >> np.uint64(31))).ravel())
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
+def _part_entries(docs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """``token, set_id, n, at, component`` for each key in ``part_keys`` of ``sets(set_id, component)`` that a second set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                own = [grams(t.as_py()) for t in batch.column(0).slice(at, 50)]
+                keys = [part_keys(s) for s in own]
+                each = [len(k) for k in keys]
+                columns = [np.concatenate(keys), np.repeat([_set_id(s) for s in own], each), np.repeat([len(s) for s in own], each), np.zeros(sum(each))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32))], ["token", "set_id", "n", "at"])
+
+    rows = may_hold(docs.select("doc_id", "text"), "doc_id", signatures.join(sets, "set_id", "left_semi").select("doc_id")).filter("may_hold")
+    entries = may_hold(rows.select("text").mapInArrow(run, "token long, set_id long, n int, at int"), "set_id", sets).filter("may_hold").drop("may_hold")
+    counts = written(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token"), "part-keys")
+    repeated = may_hold(entries, "token", counts).filter("may_hold").drop("may_hold").distinct()
+    return repeated.join(counts, "token").join(sets, "set_id")
+
+
 def _may_be_near(a: str, b: str):
     """What sizes and places of a shared shingle allow."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -169,9 +228,11 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     its texts. A shingle held by up to PAIR_LIMIT sets yields candidate pairs. In a larger one
     all sets are compared with one of them first, that with the fewest rarer shingles: of
     changed copies of one text it is the least changed, so nearly all others are alike with
-    it. Sets that are then outside the largest component of the shingle are compared with all
-    sets of other components, each pair once, so a group of near copies of any size costs a
-    few rows a set and no link is lost.
+    it. Up to UNLIKE_LIMIT sets that are then outside the largest component of the shingle are
+    compared with all sets of other components, each pair once. Where more are outside, many
+    unlike texts merely share the shingle; the sets of such shingles meet by ``part_keys``
+    instead. So a group of near copies of any size costs a few rows a set, a shingle at most
+    UNLIKE_LIMIT pairs a set, and no link is lost.
     """
     # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
     entries = _entries(docs, n)
@@ -186,12 +247,28 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
         return edges
     labels = written(connected_components(edges).withColumnRenamed("node", "set_id"), "first-components")
     placed = large.join(labels, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    placed = written(placed.select("token", "set_id", "n", "at", "component"), "placed")
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-    minor = placed.join(largest, "token").filter("component <> largest")
+    placed = _by_component(placed.select("token", "set_id", "n", "at", "component"), "placed")
+    pairs = _unlike_pairs(placed.filter(F.col("unlike") <= UNLIKE_LIMIT))
+    crowd = placed.filter(F.col("unlike") > UNLIKE_LIMIT)
+    if not crowd.isEmpty():
+        sets = written(crowd.select("set_id", "component").distinct(), "crowd")
+        pairs = pairs.unionByName(_unlike_pairs(_by_component(_part_entries(docs, signatures, sets), "parts"))).distinct()
+    return edges.unionByName(_alike(docs, signatures, pairs))
+
+
+def _by_component(rows: DataFrame, name: str) -> DataFrame:
+    """``rows(token, set_id, n, at, component)`` of tokens with two components or more, each with the token's largest component and how many sets are outside it."""
+    rows = written(rows, name)
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    told = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), (F.sum("k") - F.max("k")).alias("unlike")).filter("unlike > 0")
+    return written(rows.join(told, "token"), name)
+
+
+def _unlike_pairs(placed: DataFrame) -> DataFrame:
+    """Each pair of sets of different components that a token of ``placed`` holds and that sizes and places allow."""
+    minor = placed.filter("component <> largest")
     once = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.largest")) | (F.col("a.set_id") < F.col("b.set_id")))
-    return edges.unionByName(_alike(docs, signatures, _pairs(minor, placed, once)))
+    return _pairs(minor, placed, once)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
