@@ -103,6 +103,7 @@ def test_a_shingle_of_thousands_of_unlike_sets_yields_few_pairs(spark, monkeypat
     met = []
     join = near._may_be_alike
     monkeypatch.setattr(near, "_may_be_alike", lambda pairs, signatures: met.append(pairs.count()) or join(pairs, signatures))
+    monkeypatch.setattr(near, "UNLIKE_LIMIT", 256)
     # Nothing is told to be common, so that the passage stands in many prefixes.
     monkeypatch.setattr(near, "COMMON", 10**9)
     got = {x.doc_id: x.component_id for x in near.near_copies(rows).collect()}

@@ -32,7 +32,8 @@ PARTS_ALIKE, PARTS = 4, 5
 #: Shingles held by more sets than this are linked through one set first; no link depends on it.
 PAIR_LIMIT = 64
 #: Sets outside the largest component of a shingle up to which they are compared with all sets of it; no link depends on it.
-UNLIKE_LIMIT = 256
+#: Up to a few thousand such tests of sizes and places cost a set less than to shuffle its part keys.
+UNLIKE_LIMIT = 4096
 #: Differences that one part of two alike sets has at most, see ``part_keys``.
 PART_DIFFERENCES = 5
 #: The fewest slots of a set's signature; a larger set has the next power of two not below its size.
