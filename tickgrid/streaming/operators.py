@@ -280,8 +280,13 @@ def stream_cooldown(events: DataFrame, gap: int, delay: str | None = None, forge
     return _ruled(events, _Cooldown(gap), "event_id long, key long, tick long", delay, forget)
 
 
-def stream_decaying_max(events: DataFrame, per: int, mult: float = 0.75, flat: float = 1.0, floor: float = 0.5) -> DataFrame:
-    """The key's best value after each event, decaying every ``per`` ticks; dead keys are evicted by timer."""
+def stream_decaying_max(events: DataFrame, per: int, mult: float = 0.75, flat: float = 1.0, floor: float = 0.5, delay: str | None = None, forget: dt.timedelta | None = None) -> DataFrame:
+    """The key's best value after each event, decaying every ``per`` ticks.
+
+    As rows arrive, keys that have decayed away are evicted by timer; in order of time, with ``delay``, by ``forget``.
+    """
+    if delay is not None or forget is not None:
+        return _ruled(events, _DecayingMax(mult, flat, floor, per), "event_id long, key long, value double", delay, forget)
     return _stateful(events, _DecayingMax(mult, flat, floor, per), "event_id long, key long, value double", "eventTime")
 
 
