@@ -312,6 +312,49 @@ def test_tiff_digests_and_pages(spark):
     assert tiff.digests(_empty(spark)).count() == 0
 
 
+#: Strips that other programs wrote: LZW and PackBits (the examples of the format's description), and what they hold (fixed values).
+PUBLISHED = {
+    "lzw": (bytes.fromhex("80 01 E0 40 80 44 08 0C 06 80 80"), bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])),
+    "packbits": (bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA"), bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")),
+}
+
+
+def test_published_strips():
+    coded, plain = PUBLISHED["packbits"]
+    assert tiff.unpackbits(coded, len(plain)) == plain and tiff.packbits(plain) == coded
+    coded, plain = PUBLISHED["lzw"]
+    assert tiff.unlzw(coded, len(plain)) == plain and tiff.lzw(plain) == coded
+
+
+def test_damaged_media_are_rows_with_errors(spark):
+    r = random.Random(4)
+    pages = [np.frombuffer(r.randbytes(h * w), np.uint8).reshape(h, w) for h, w in ((3, 576), (70, 130))]
+    whole = {c: tiff.write_tiff(pages, tiff.Layout(c, tiled=t)) for c, t in ((tiff.LZW, False), (tiff.DEFLATE, True), (tiff.PACKBITS, False))}
+    media = [None, b"", b"GIF89a..", b"II*\0" + bytes(4), *whole.values()]
+    for good in whole.values():
+        media += [good[: r.randrange(len(good))] for _ in range(20)]
+        for _ in range(60):
+            bad = bytearray(good)
+            bad[r.randrange(len(bad))] ^= 1 << r.randrange(8)
+            media.append(bytes(bad))
+    huge = bytearray(whole[tiff.LZW])
+    at = struct.unpack_from("<I", huge, 4)[0] + 2
+    struct.pack_into("<I", huge, at + 8, 1 << 31)  # the width, the first field
+    media.append(bytes(huge))
+    rows = spark.createDataFrame(list(enumerate(media)), "doc_id long, media binary")
+    got: dict = {}
+    for p in tiff.read_pages(rows).orderBy("doc_id", "page").collect():
+        got.setdefault(p.doc_id, []).append(p)
+    assert sorted(got) == list(range(len(media)))
+    for i in (0, 1, 2, 3, len(media) - 1):
+        assert [(p.page, p.samples) for p in got[i]] == [(0, None)] and got[i][0].error
+    for i in (4, 5, 6):
+        assert [p.samples for p in got[i]] == [p.tobytes() for p in pages] and all(p.error is None for p in got[i])
+    for found in got.values():
+        assert [p.page for p in found] == list(range(len(found))) and all((p.error is None) == (p.samples is not None) for p in found)
+        assert all(p.error is None for p in found[:-1])
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 

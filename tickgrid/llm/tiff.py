@@ -2,7 +2,7 @@
 
 The reader walks the chain of image directories in either byte order, decodes PackBits,
 LZW or deflate strips and tiles, undoes the horizontal predictor and yields one row per
-page.
+page. What cannot be read is a row with an error, not a failed job.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Samples in a row of an image, and the unit that payloads are filled up to.
 WIDTH = 576
 #: Rows on a page, rows in a strip, and the side of a tile.
 PAGE_ROWS, STRIP_ROWS, TILE = 256, 32, 64
+#: Samples of the largest page that is decoded; a larger one is an error.
+MAX_SAMPLES = 1 << 28
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
@@ -138,6 +141,8 @@ def unlzw(data: bytes, size: int) -> bytes:
         if not last:
             entry = table[code]
         else:
+            if code > len(table):
+                raise ValueError("LZW code out of its table")
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
             if len(table) in (511, 1023, 2047):
@@ -154,7 +159,7 @@ def _encode(data: bytes, compression: int) -> bytes:
 
 def _decode(data: bytes, compression: int, size: int) -> bytes:
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression in (NONE, LZW, PACKBITS):
         return {NONE: lambda d, n: d, LZW: unlzw, PACKBITS: unpackbits}[compression](data, size)
     raise ValueError(f"compression {compression} is not supported")
@@ -217,6 +222,8 @@ def read_tiff(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF file")
     (at,), seen = struct.unpack_from(order + "I", data, 4), set()
+    if not at:
+        raise ValueError("no image directory")
     while at and at not in seen:
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
@@ -236,11 +243,18 @@ def _samples(data: bytes, fields: dict[str, list[int]]) -> np.ndarray:
     width, height, compression = one("width"), one("height"), one("compression", NONE)
     if one("bits", 1) != 8 or one("samples", 1) != 1:
         raise ValueError("only one 8-bit sample for each pixel is supported")
+    if not (width > 0 and height > 0 and width * height <= MAX_SAMPLES):
+        raise ValueError(f"a page of {width} by {height}")
     tiled = "tile_at" in fields
     w, h = (one("tile_width"), one("tile_height")) if tiled else (width, min(one("strip_rows", height), height))
-    across = -(-width // w)
+    if not (w > 0 and h > 0 and w * h <= MAX_SAMPLES):
+        raise ValueError(f"a block of {w} by {h}")
+    across, down = -(-width // w), -(-height // h)
+    places, sizes = (fields[f"{'tile' if tiled else 'strip'}_{x}"] for x in ("at", "size"))
+    if min(len(places), len(sizes)) < across * down:
+        raise ValueError(f"{min(len(places), len(sizes))} of {across * down} blocks")
     out = np.zeros((height, width), np.uint8)
-    for k, (at, size) in enumerate(zip(fields["tile_at" if tiled else "strip_at"], fields["tile_size" if tiled else "strip_size"])):
+    for k, (at, size) in enumerate(zip(places[: across * down], sizes)):
         row, col = k // across * h, k % across * w
         rows = h if tiled else min(h, height - row)
         block = np.frombuffer(_decode(data[at : at + size], compression, rows * w), np.uint8, rows * w).reshape(rows, w)
@@ -289,28 +303,58 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def read_pages(media: DataFrame) -> DataFrame:
-    """``media(doc_id, media)`` -> one row per page: its number, size, compression and samples."""
+#: What damaged media raise on reading.
+_DAMAGE = (ValueError, KeyError, IndexError, TypeError, OverflowError, ZeroDivisionError, struct.error, zlib.error)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "page", "width", "height", "compression", "samples"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names)
+def pages_of(data: bytes | None) -> Iterator[tuple[int, dict, np.ndarray | None, str | None]]:
+    """``number, fields, samples, error`` per page; reading ends at the first error, which has no samples."""
+    k = 0
+    try:
+        if data is None:
+            raise ValueError("no media")
+        for fields, samples in read_tiff(data):
+            yield k, fields, samples, None
+            k += 1
+    except _DAMAGE as e:
+        yield k, {}, None, f"{type(e).__name__}: {e}"
+
+
+def read_pages(media: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``media(doc_id, media)`` -> one row per page: its number, size, compression and samples.
+
+    Media that are null, no TIFF file or damaged have a last row with ``error`` and null
+    for what could not be read, numbered as the page that failed; the pages before it
+    stand. Pages of one row come in order, one after the other. The columns ``keep`` are
+    repeated on each page.
+    """
+    fields = [f for f in media.schema.fields if f.name in keep]
+    names = ["doc_id", "page", "width", "height", "compression", "samples", "error"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    kept = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple], of: list[int], batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)]
+            return pa.RecordBatch.from_arrays(columns + [batch.column(c).take(pa.array(of, pa.int64())) for c in kept], names + kept)
 
         for batch in batches:
-            rows, size = [], 0
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("media"))):
-                for k, (fields, samples) in enumerate(read_tiff(data.as_py())):
-                    rows.append((key, k, samples.shape[1], samples.shape[0], fields["compression"][0], samples.tobytes()))
-                    size += samples.size
+            rows, of, size = [], [], 0
+            for i, (key, data) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("media"))):
+                for k, own, samples, error in pages_of(data.as_py()):
+                    if error is None:
+                        rows.append((key, k, samples.shape[1], samples.shape[0], own.get("compression", [NONE])[0], samples.tobytes(), None))
+                        size += samples.size
+                    else:
+                        rows.append((key, k, None, None, None, None, error))
+                    of.append(i)
                     if size > 8_000_000:
-                        yield table(rows)
-                        rows, size = [], 0
-            yield table(rows)
+                        yield table(rows, of, batch)
+                        rows, of, size = [], [], 0
+            yield table(rows, of, batch)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, page int, width int, height int, compression int, samples binary")
+    schema = "doc_id long, page int, width int, height int, compression int, samples binary, error string"
+    return media.select("doc_id", "media", *kept).mapInArrow(run, ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in fields)]))
 
 
 def features(counts: np.ndarray, rows: int, pages: int) -> str:
@@ -323,29 +367,58 @@ def features(counts: np.ndarray, rows: int, pages: int) -> str:
     return f"rows={rows};pages={pages};mean={mean:.4f};spread={spread:.4f};entropy={entropy:.4f}"
 
 
+class _Summary:
+    """What is told of one stored text, page after page."""
+
+    def __init__(self, row: dict):
+        self.own = (row["doc_id"], row["n_bytes"])
+        self.stored = (row["media_bytes"], row["media_sha256"])
+        self.total = self.rows = self.pages = 0
+        self.tail = b""
+        self.sha, self.counts = hashlib.sha256(), np.zeros(256, np.int64)
+
+    def add(self, row: dict) -> None:
+        if row["error"] is not None:
+            raise ValueError(f"page {row['page']} of {row['doc_id']}: {row['error']}")
+        samples = row["samples"]
+        self.sha.update(samples)
+        self.counts += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+        self.total, self.rows, self.pages, self.tail = self.total + len(samples), self.rows + row["height"], self.pages + 1, samples[-32:]
+
+    def result(self) -> tuple:
+        return (*self.own, self.total, self.sha.hexdigest(), zlib.crc32(self.tail), *self.stored, features(self.counts, self.rows, self.pages))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as TIFF, read the stored bytes back page by page, and describe what was read.
+    """Store every text as TIFF, read the stored bytes back as page rows, and describe what was read.
 
     One row per row of ``docs(doc_id, text)``; null and empty texts are one row of bytes
-    255; equal texts give equal values; other columns are ignored. No shuffle.
+    255; equal texts give equal values; other columns are ignored. A page that cannot be
+    read back fails the job, since it was stored here. No shuffle: the pages of a text
+    come one after the other, the first is number 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+
+        text: _Summary | None = None
         for batch in batches:
             out = []
-            for media in batch.column(2):
-                data = media.as_py()
-                total, rows, pages, tail = 0, 0, 0, b""
-                sha, counts = hashlib.sha256(), np.zeros(256, np.int64)
-                for _, samples in read_tiff(data):
-                    raw = samples.tobytes()
-                    sha.update(raw)
-                    counts += np.bincount(samples.ravel(), minlength=256)
-                    total, rows, pages, tail = total + len(raw), rows + len(samples), pages + 1, raw[-32:]
-                out.append((total, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), features(counts, rows, pages)))
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", *names])
-
-    return store(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["page"] == 0:
+                    if text is not None:
+                        out.append(text.result())
+                    text = _Summary(row)
+                text.add(row)
+            yield table(out)
+        if text is not None:
+            yield table([text.result()])
+
+    stored = store(docs).withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    pages = read_pages(stored, keep=("n_bytes", "media_bytes", "media_sha256"))
+    return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
