@@ -233,6 +233,64 @@ def test_license_base_and_rules(spark):
     assert licenses.scan(_empty(spark)).count() == 0
 
 
+def _matching(pattern, r):
+    """A random text that the pattern matches."""
+
+    def make(items):
+        out = ""
+        for kind, value in items:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "IN":
+                what, x = r.choice(value)
+                out += chr(x if str(what) == "LITERAL" else r.randint(*x))
+            elif kind == "ANY":
+                out += r.choice("ab ")
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, body = value
+                out += "".join(make(body) for _ in range(r.randint(low, min(int(high), low + 2))))
+            elif kind == "BRANCH":
+                out += make(r.choice(value[1]))
+            else:
+                assert kind == "SUBPATTERN"
+                out += make(value[3])
+        return out
+
+    return make(re._parser.parse(pattern))
+
+
+def test_license_rules_equal_running_all(spark):
+    """Gate, priority and containment by definition: every rule is tried on every text, every pair of detections compared."""
+    r = random.Random(8)
+    rules = licenses.rules()
+    texts = []
+    for rule in rules:
+        for _ in range(3):
+            texts.append(_matching(rule.pattern, r))
+            assert re.fullmatch(rule.pattern, texts[-1])
+    for _ in range(300):
+        parts = [_matching(r.choice(rules).pattern, r) for _ in range(r.randrange(1, 9))]
+        texts.append(" ".join(r.choice((p, p.upper(), p.replace(" ", "-\n"), "gnu " + p, p + "x")) for p in parts))
+    texts.append("word " * 200_000 + " ".join(texts))  # a very long text
+    compiled = [(rule, re.compile(rf"(?<![^ ])(?:{rule.pattern})(?![^ ])")) for rule in rules]
+    got: dict = {}
+    for row in licenses.spans(_docs(spark, texts).filter("doc_id is not null").dropDuplicates(["doc_id"])).filter("not base").collect():
+        got.setdefault(row.doc_id, []).append((row.first_word, row.end_word, row.label, row.priority))
+    for i, t in enumerate(texts):
+        joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)))
+        if len(joined) > 100_000:  # pairs of all detections are too many there; the parts were compared one by one
+            assert len(got[i]) > 1000
+            continue
+        found = sorted({(-rule.priority, m.start() - m.end(), m.start(), rule.label, m.end()) for rule, find in compiled for m in find.finditer(joined)})
+        kept: list = []
+        for d in found:
+            if not any(k[2] <= d[2] and d[4] <= k[4] for k in kept):
+                kept.append(d)
+        word = lambda at: joined.count(" ", 0, at)
+        assert sorted(got.get(i, [])) == sorted((word(s), word(e) + 1, label, -p) for p, _, s, label, e in kept), t
+
+
 # --- BPE --------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -182,8 +183,8 @@ def _identifiers() -> Iterator[Rule]:
     """Short identifier lines for well-known licenses."""
     names = "afl agpl apache artistic bsd bsl cc cddl cecill cpl ecl edl efl epl eupl gfdl gpl ipl isc lgpl lpl lppl mit mpl ms naist ncsa ngpl nosl npl oclc odbl ofl ogl oldap openssl osl php postgresql psf python qpl rpl rpsl ruby sgi sissl spl sspl unlicense upl vim vsl w3c watcom wtfpl x11 xnet zend zlib zpl"
     for name in names.split():
-        yield Rule(name, rf"spdx license identifier {name}(?: [a-z0-9]+)*? ?(?:only|or later)?", ("spdx", name), 57, 0.95)
-        yield Rule(name, rf"licen[sc]e ?(?:type|name|id)? (?:is )?{name}(?: ?v?[0-9](?: [0-9])?)? (?:licen[sc]e)", (name,), 42, 0.8)
+        yield Rule(name, rf"spdx license identifier {name}(?: [0-9]+)*(?: only| or later)?", ("spdx", name), 57, 0.95)
+        yield Rule(name, rf"licen[sc]e(?: type| name| id)? (?:is )?{name}(?: v?[0-9](?: [0-9])?)? licen[sc]e", (name,), 42, 0.8)
 
 
 def rules() -> tuple[Rule, ...]:
@@ -198,8 +199,18 @@ def rules() -> tuple[Rule, ...]:
 _RULES = rules()
 _COMPILED = [(r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])".encode()), tuple(k.encode() for k in r.keywords)) for r in _RULES]
 _BASE = [(re.compile(rf"(?<![^ ])(?={phrase}(?![^ ]))".encode()), phrase.split()[0].encode() + b" " + phrase.split()[1].encode(), label) for phrase, label in BASE.items()]
-#: Every rule needs one of these words; a text without any of them is done at once.
-_GATE = frozenset(keys[0] for _, _, keys in _COMPILED)
+
+
+def _by_keyword() -> dict[bytes, list[int]]:
+    """Rules by the one of their keywords that fewest rules have; a text meets only the rules of words it holds."""
+    common = Counter(k for _, _, keys in _COMPILED for k in keys)
+    index: dict[bytes, list[int]] = {}
+    for i, (_, _, keys) in enumerate(_COMPILED):
+        index.setdefault(min(keys, key=lambda k: (common[k], -len(k), k)), []).append(i)
+    return index
+
+
+_INDEX = _by_keyword()
 #: Upper to lower case; ASCII that is neither letter nor digit to a space; all else stays.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -222,14 +233,13 @@ class Detection:
 def detections(words: list[bytes], joined: bytes) -> list[Detection]:
     """Detections over words, placed by bytes of their joined form, overlaps resolved; base phrases first."""
     base = [Detection(m.start(), m.start() + len(p), label, 0, 0.9, True) for find, p, label in _BASE if p in joined for m in find.finditer(joined)]
-    found = []
-    if not _GATE.isdisjoint(words):
-        held = set(words)
-        found = [Detection(m.start(), m.end(), r.label, r.priority, r.confidence, False) for r, find, keys in _COMPILED if held.issuperset(keys) for m in find.finditer(joined)]
+    held = set(words)
+    met = [_COMPILED[i] for word in _INDEX.keys() & held for i in _INDEX[word]]
+    found = [Detection(m.start(), m.end(), r.label, r.priority, r.confidence, False) for r, find, keys in met if held.issuperset(keys) for m in find.finditer(joined)]
     kept: list[Detection] = []
     starts: list[int] = []  # of kept intervals that lie in no other one; their ends rise with them
     ends: list[int] = []
-    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label, -d.confidence)):
         at = bisect_right(starts, d.start)
         if at and ends[at - 1] >= d.end:
             continue
