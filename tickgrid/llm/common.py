@@ -76,3 +76,14 @@ def with_group(rows: DataFrame, key: str, spread: Column, values: dict[str, tupl
     told = first.select(F.col(key).alias("__own"), F.col("__salt").alias("__part")).join(whole, F.col("__own").eqNullSafe(F.col("__key"))).drop("__key")
     both = parts.join(told, F.col(key).eqNullSafe(F.col("__own")) & (F.col("__salt") == F.col("__part")))
     return both.select(*rows.columns, *[F.col(f"__{name}").alias(name) for name in values])
+
+
+def with_facts(rows: DataFrame, key: str, spread: Column, facts: DataFrame) -> DataFrame:
+    """Left join of ``rows`` to ``facts``, a table with one row per ``key``, whatever share of the rows one key holds.
+
+    The facts of a key are first sent to the SALTS parts of it that occur (by a hash of
+    ``spread``), then to the rows by key and part. A key or fact that is null has no partner.
+    """
+    parts = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    told = parts.select(key, "__salt").distinct().join(facts, key)
+    return parts.join(told, [key, "__salt"], "left").drop("__salt")

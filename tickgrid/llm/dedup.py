@@ -15,10 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.common import WHITE_SPACE, may_hold, shared_dir, text_or_empty, written, written_at
+from tickgrid.llm.common import WHITE_SPACE, may_hold, shared_dir, text_or_empty, with_facts, written, written_at
 
 #: How much of the digest table one micro-batch reads at most.
 BATCH_BYTES = 16 << 30
+#: Repeats of a row that are made at a time.
+REPEATS = 1 << 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,15 +107,20 @@ def exact_groups(docs: DataFrame, files_per_batch: int | None = None, digest: Ca
     if digests.isEmpty():
         return digests.select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     state = written(first_seen(digests, path, files_per_batch), "groups")
-    hits = state.filter("group_size > 1").select("digest")
-    unlike = written(_unlike(docs, hits, digest), "unlike")
-    groups = digests.join(state, "digest")
+    hits = state.filter("group_size > 1").select("digest", "keep_id", "group_size")
+    unlike = written(_unlike(docs, hits.select("digest"), digest), "unlike")
+    marked = may_hold(digests, "digest", hits)
+    single = marked.filter("not may_hold").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.col("n"))
+    several = with_facts(marked.filter("may_hold"), "digest", F.col("doc_id"), hits)  # with a few single ones, which find no hit
+    several = several.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", "n"))
+    groups = single.unionByName(several).drop("may_hold", "locator")
     if not unlike.isEmpty():  # different texts with one digest: their rows are grouped by the whole text
         by_text = unlike.groupBy("digest", "body").agg(F.min("doc_id").alias("own_keep"), F.count("*").alias("own_size"))
         sized = by_text.select("digest", sha256(F.col("body")).alias("text_sha256"), "own_keep", "own_size")
         groups = groups.join(sized, ["digest", "text_sha256"], "left")
         groups = groups.withColumn("keep_id", F.when(F.col("own_size").isNull(), F.col("keep_id")).otherwise(F.col("own_keep"))).withColumn("group_size", F.coalesce("own_size", "group_size"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
+    groups = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))).alias("before"))
+    copy = F.explode(F.sequence(F.col("before") + 1, F.least(F.col("n"), F.col("before") + REPEATS))).alias("copy")
     return groups.select("*", copy).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"
     )
@@ -128,13 +135,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def _first_rows(docs: DataFrame) -> DataFrame:
-    # How many rows have the identifier that stays: more than one where it is null or a row is repeated.
-    kept = exact_groups(docs).filter("doc_id <=> keep_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).agg(F.count("*").alias("__n"))
-    kept = written(kept, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
-    rows = docs.withColumn("__digest", sha256(normalised()))
-    one = rows.join(kept.filter("__n = 1"), same, "left_semi")
-    several = kept.filter("__n > 1")
+    # A row goes at once unless a bitmap says that a row of its identifier and digest may be dropped or repeated; only
+    # those are shuffled. There may be several rows with the identifier that stays: where it is null or a row is repeated.
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest")
+    groups = exact_groups(docs).groupBy("doc_id", F.col("text_sha256").alias("__digest")).agg(F.count("*").alias("__n"), F.bool_or("kept").alias("__kept"))
+    doubted = written(groups.filter("__n > 1 or not __kept").withColumn("__key", key), "doubted")
+    rows = may_hold(docs.withColumn("__digest", sha256(normalised())).withColumn("__key", key), "__key", doubted)
+    sure, others = rows.filter("not may_hold"), rows.filter("may_hold")
+    one = sure.unionByName(others.join(doubted.select("__key"), "__key", "left_anti"))
+    several = doubted.filter("__kept and __n > 1").select("__key")
     if not several.isEmpty():
-        one = one.unionByName(rows.join(several, same, "left_semi").dropDuplicates(["__digest"]))
-    return one.drop("__digest")
+        one = one.unionByName(others.join(several, "__key", "left_semi").dropDuplicates(["__digest"]))
+    return one.drop("__digest", "__key", "may_hold")
