@@ -21,3 +21,12 @@ def test_no_distance_frame_looks_ahead_to_the_end(spark):
     """Such a frame is evaluated anew for each row: a column of 70,000 cells took 2.5 thousand million steps."""
     cells = spark.range(400).selectExpr("id cell_id", "cast(id % 4 as int) x", "cast(id div 4 as int) y", "id % 37 = 0 blocked")
     assert "unboundedfollowing$" not in _plan(G.distance_to_blocked(cells)).lower()
+
+
+def test_nearest_goes_down_by_cells_not_by_places(spark, monkeypatch):
+    asked = []
+    descend = J._descend
+    monkeypatch.setattr(J, "_descend", lambda a, *more: asked.append(a.count()) or descend(a, *more))
+    cells = spark.createDataFrame([(i, i % 60, i // 60, i % 97 == 0) for i in range(3600)], CELLS)
+    assert sorted(map(tuple, G.distance_over_gaps(cells).collect())) == sorted(map(tuple, G.distance_to_blocked(cells).collect()))
+    assert asked[0] * 20 < 3600

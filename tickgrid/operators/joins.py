@@ -7,6 +7,11 @@ followed by the exact test. Spark picks broadcast or sort-merge and splits skewe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,7 +145,16 @@ def _placed(df: DataFrame) -> Column:
 
 
 def pyramid(places: DataFrame, id_column: str, side: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, int]:
-    """Occupied cells at all levels, the places with their finest cell, and the number of levels.
+    """``_pyramid`` without its measures."""
+    return _pyramid(places, side, leaf)[:3]
+
+
+def _cell(c: str, low: float, side: float) -> Column:
+    return F.floor((F.col(c).cast("double") - low) / side).cast("long")
+
+
+def _pyramid(places: DataFrame, side: float, leaf: int) -> tuple[DataFrame, DataFrame, int, dict[str, float], float]:
+    """Occupied cells at all levels, the places with their finest cell, the number of levels, and corner and side of the finest cells.
 
     ``places(x, y, id)`` are distinct and finite. Level 0 holds the finest cells: their side is
     ``side``, halved until none has more than ``leaf`` places. A cell of the next level is
@@ -151,8 +165,7 @@ def pyramid(places: DataFrame, id_column: str, side: float, leaf: int = LEAF) ->
     extent = max(high_x - low_x, high_y - low_y)
     smallest = max(extent, side) * 2.0**-48  # a double's places part no further
     while True:
-        cell = lambda c, low: F.floor((F.col(c).cast("double") - low) / side).cast("long")
-        cells = places.withColumns({"gx": cell("x", low_x), "gy": cell("y", low_y)})
+        cells = places.withColumns({"gx": _cell("x", low_x, side), "gy": _cell("y", low_y, side)})
         fullest = cells.groupBy("gx", "gy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         if fullest <= leaf or side / 2 < smallest:
             break
@@ -165,7 +178,7 @@ def pyramid(places: DataFrame, id_column: str, side: float, leaf: int = LEAF) ->
     up = [F.call_function("shiftright", F.col(c), F.col("level")).alias(c) for c in ("gx", "gy")]
     merged = level.select("level", *up, "n", "x0", "x1", "y0", "y1").groupBy("level", "gx", "gy")
     levels = merged.agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    return written(levels, "pyramid"), cells, top
+    return written(levels, "pyramid"), cells, top, {"x": low_x, "y": low_y}, side
 
 
 #: Lengths of a step by its two parts; each part may only raise it.
@@ -173,46 +186,90 @@ METRICS = {"euclidean": lambda a, b: F.sqrt(a * a + b * b), "manhattan": lambda
 
 
 def _descend(asked: DataFrame, levels: DataFrame, top: int, metric: str = "euclidean") -> DataFrame:
-    """``x, y, gx, gy``: for each asked place the finest cells in which its closest place may be."""
-    px, py = F.col("x").cast("double"), F.col("y").cast("double")
-    gap = lambda p, low, high: F.greatest(F.col(low) - p, p - F.col(high), F.lit(0.0))
-    far = lambda p, low, high: F.greatest(F.abs(p - F.col(low)), F.abs(p - F.col(high)))
+    """``x, y, gx, gy``: for each asked place the finest cells in which its closest place may be.
+
+    With columns BOX an asked row ``x, y`` stands for all places inside those bounds, and gets the cells of them all.
+    """
+    box = [c for c in BOX if c in asked.columns]
+    low, high = ({c: F.col(f"__{c}{i}" if box else c).cast("double") for c in "xy"} for i in (0, 1))
+    gap = lambda c: F.greatest(F.col(f"{c}0") - high[c], low[c] - F.col(f"{c}1"), F.lit(0.0))
+    far = lambda c: F.greatest(F.abs(high[c] - F.col(f"{c}0")), F.abs(low[c] - F.col(f"{c}1")))
     length = METRICS[metric]
-    at_least, at_most = length(gap(px, "x0", "x1"), gap(py, "y0", "y1")), length(far(px, "x0", "x1"), far(py, "y0", "y1"))
+    at_least, at_most = length(gap("x"), gap("y")), length(far("x"), far("y"))
     own = W.partitionBy("x", "y")
     front = asked.withColumns({"gx": F.lit(0).cast("long"), "gy": F.lit(0).cast("long")})
     for k in range(top - 1, -1, -1):
         quarter = [F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)).alias(c) for c in ("gx", "gy")]
-        front = front.select("x", "y", quarter[0], "gy").select("x", "y", "gx", quarter[1])
+        front = front.select("x", "y", *box, quarter[0], "gy").select("x", "y", *box, "gx", quarter[1])
         cells = levels.filter(F.col("level") == k).select("gx", "gy", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])
-        front = front.join(cells, ["gx", "gy"]).select("x", "y", "gx", "gy", at_least.alias("low"), F.min(at_most).over(own).alias("best"))
-        front = front.filter("low <= best").select("x", "y", "gx", "gy")
+        front = front.join(cells, ["gx", "gy"]).select("x", "y", *box, "gx", "gy", at_least.alias("low"), F.min(at_most).over(own).alias("best"))
+        front = front.filter("low <= best").select("x", "y", *box, "gx", "gy")
         if k and (top - k) % LEVELS_A_PLAN == 0:
             front = written(front, "front")
-    return front
+    return front.select("x", "y", "gx", "gy")
+
+
+#: Bounds of the places that an asked row of ``_descend`` stands for.
+BOX = ("__x0", "__x1", "__y0", "__y1")
+#: Asked rows of a cell that are searched for together, rows of a group in one task, and distances in memory at once; all bound memory only.
+ASKED, GROUP_ROWS, DISTANCES = 4_096, 100_000, 1 << 20
+
+
+def _closest(metric: str, a_id: str, b_id: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The closest of the right rows of the same ``__key`` for each left row; ties go to the smallest id."""
+    length = {"euclidean": lambda a, b: np.sqrt(a * a + b * b), "manhattan": lambda a, b: a + b}[metric]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("__key")
+        right = right.take(pc.sort_indices(right, [("__key", "ascending"), (b_id, "ascending")], null_placement="at_start"))
+        lx, ly, rx, ry = (t.column(c).to_numpy() for t in (left, right) for c in ("x", "y"))
+        keys = left.column("__key").to_numpy()
+        kinds, first = np.unique(keys, return_index=True)
+        starts, ends = (np.searchsorted(right.column("__key").to_numpy(), kinds, side) for side in ("left", "right"))
+        at, best = np.zeros(len(keys), np.int64), np.zeros(len(keys))
+        for begin, end, r0, r1 in zip(first, np.append(first[1:], len(keys)), starts, ends):
+            step = max(1, DISTANCES // (r1 - r0))
+            for i in range(begin, end, step):
+                j = min(i + step, end)
+                d = length(np.abs(lx[i:j, None] - rx[r0:r1]), np.abs(ly[i:j, None] - ry[r0:r1]))
+                low = d.argmin(axis=1)
+                at[i:j], best[i:j] = low + r0, d[np.arange(j - i), low]
+        return pa.table({a_id: left.column(a_id), b_id: right.column(b_id).take(pa.array(at)), "distance": best})
+
+    return run
 
 
 def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, r: float, leaf: int = LEAF, metric: str = "euclidean") -> DataFrame:
     """The closest ``b`` of each ``a`` by one of METRICS, as ``a_id, b_id, distance``; ties go to the smallest id.
 
-    The places of ``b`` are counted into a pyramid of occupied cells, which each place of
-    ``a`` goes down from the top, all places a level at a time: a cell is left where its closest
-    corner is further than the furthest corner of another. So a place meets a few cells a
-    level and some ``leaf`` places at the end, however dense or far ``b`` is, and levels grow with the
+    The places of ``b`` are counted into a pyramid of occupied cells. The places of ``a`` are put into
+    cells as wide as its finest ones, and each of these goes down the pyramid from the top, all a level at a time: a cell is
+    left where its closest corner is further than the furthest corner of another. So a cell of ``a`` meets a few cells a
+    level and some ``leaf`` places of each at the end, however dense or far ``b`` is, and levels grow with the
     logarithm of the extent. ``r`` is the side of a cell to begin with, say a usual distance.
 
-    Rows of one place are searched for once. Rows whose place is null, NaN or infinite have no partner and are none; an empty ``b`` gives no rows.
+    Cells of ``a`` and the places that they meet are dealt into groups of about GROUP_ROWS rows, a group in one task; a crowded
+    cell is several parts. Rows whose place is null, NaN or infinite have no partner and are none; an empty ``b`` gives no rows.
     """
-    a, b = a.filter(_placed(a)).select(a_id, "x", "y"), b.filter(_placed(b)).select(b_id, "x", "y")
+    place = [F.col(c).cast("double").alias(c) for c in "xy"]
+    a, b = a.filter(_placed(a)).select(a_id, *place), b.filter(_placed(b)).select(b_id, *place)
     places = written(b.groupBy("x", "y").agg(F.min(b_id).alias(b_id)), "places")
     if places.isEmpty():
         return a.select(a_id).join(b.select(b_id), F.lit(False)).withColumn("distance", F.lit(0.0))
-    levels, cells, top = pyramid(places, b_id, float(r), leaf)
-    front = _descend(a.select("x", "y").distinct(), levels, top, metric)
-    pairs = front.join(cells.withColumnsRenamed({"x": "bx", "y": "by"}), ["gx", "gy"])
-    d = METRICS[metric](*[F.abs(F.col(c).cast("double") - F.col(f"b{c}").cast("double")) for c in "xy"])
-    best = pairs.groupBy("x", "y").agg(F.min(F.struct(d.alias("distance"), b_id)).alias("m")).select("x", "y", f"m.{b_id}", "m.distance")
-    return a.join(best, ["x", "y"]).select(a_id, b_id, "distance")
+    levels, cells, top, low, side = _pyramid(places, float(r), leaf)
+    asked = a.withColumns({f"__q{c}": _cell(c, low[c], side) for c in "xy"})
+    bounds = [f(c).alias(f"__{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+    boxes = written(asked.groupBy("__qx", "__qy").agg(*bounds, F.count("*").alias("__n")), "boxes")
+    front = written(_descend(boxes.select(F.col("__qx").alias("x"), F.col("__qy").alias("y"), *BOX), levels, top, metric).withColumnsRenamed({"x": "__qx", "y": "__qy"}), "front")
+    parts = boxes.select("__qx", "__qy", F.ceil(F.col("__n") / ASKED).alias("__parts"))
+    met = front.hint("merge").join(cells, ["gx", "gy"]).join(parts, ["__qx", "__qy"]).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    key = F.xxhash64("__qx", "__qy", "__part")
+    met = written(met.select("__qx", "__qy", "__part", b_id, "x", "y"), "met")
+    groups = 1 + (boxes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] + met.count()) // GROUP_ROWS
+    own = asked.join(parts.filter("__parts > 1"), ["__qx", "__qy"], "left").withColumn("__part", F.pmod(F.xxhash64(a_id, "x", "y"), F.coalesce("__parts", F.lit(1).cast("long"))))
+    dealt = lambda rows, of: rows.select(F.pmod(key, F.lit(groups)).alias("__group"), key.alias("__key"), of, "x", "y").groupBy("__group")
+    kinds = [f"`{c}` {t.schema[c].dataType.simpleString()}" for t, c in ((a, a_id), (b, b_id))]
+    return dealt(own, a_id).cogroup(dealt(met, b_id)).applyInArrow(_closest(metric, a_id, b_id), f"{', '.join(kinds)}, distance double")
 
 
 def growing_radius_alert(points: DataFrame, enemies: DataFrame, r0: float, rate: float, max_tick: int) -> DataFrame:
@@ -286,6 +343,8 @@ def feasible_sets(sets: DataFrame, available: DataFrame) -> DataFrame:
     """Sets ``(set_id, members map)`` all of whose members are available."""
     need = sets.select("set_id", F.explode_outer(F.map_keys("members")).alias("item"))
     have = available.select("item").distinct().withColumn("have", F.lit(1))
+    A region that no ``a`` stands in is left out before its ring is made. Pairs are made distinct only for
+    an ``a`` of several regions, as those of any other are distinct already.
     counted = need.join(have, "item", "left").groupBy("set_id").agg(F.count("item").alias("need"), F.count("have").alias("have"))
     return counted.filter("need = have").select("set_id")
 
