@@ -23,6 +23,14 @@ def test_no_distance_frame_looks_ahead_to_the_end(spark):
     assert "unboundedfollowing$" not in _plan(G.distance_to_blocked(cells)).lower()
 
 
+def test_cells_are_never_broadcast(spark):
+    cells = spark.range(400).selectExpr("id cell_id", "cast(id % 20 as int) x", "cast(id div 20 as int) y", "id % 37 = 0 blocked")
+    labels = cells.selectExpr("x", "y", "0 region")
+    for df in (J.neighbours8(cells), J.touching(cells, labels, "cell_id"), J.standing(cells, labels, "cell_id")):
+        df.collect()
+        assert "Broadcast" not in _plan(df)
+
+
 def test_nearest_goes_down_by_cells_not_by_places(spark, monkeypatch):
     asked = []
     descend = J._descend

@@ -312,22 +312,30 @@ NEIGHBOURS = [(-1, -1, 0.707, "NW"), (0, -1, 1.0, "N"), (1, -1, 0.707, "NE"), (-
 
 
 def neighbours8(cells: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Each cell with its existing neighbours: ``key, neighbour, weight, direction``."""
+    """Each cell with its existing neighbours: ``key, neighbour, weight, direction``.
+
+    Both sides have a row a cell, so the join is never broadcast: few bytes in a compressed file may be more rows than a driver holds.
+    """
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("weight"), F.lit(d).alias("direction")) for dx, dy, w, d in NEIGHBOURS])
     left = cells.select(key, "x", "y", F.explode(steps).alias("s")).select(key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "s.weight", "s.direction")
-    return left.join(cells.select(F.col(key).alias("neighbour"), "x", "y"), ["x", "y"]).select(key, "neighbour", "weight", "direction")
+    return left.join(cells.select(F.col(key).alias("neighbour"), "x", "y").hint("merge"), ["x", "y"]).select(key, "neighbour", "weight", "direction")
 
 
 def standing(a: DataFrame, labels: DataFrame, a_id: str) -> DataFrame:
     """``a_id, region``: the region that each ``a`` stands in."""
-    return a.join(labels.select("x", "y", "region"), ["x", "y"]).select(a_id, "region")
+    return a.join(labels.select("x", "y", "region").hint("merge"), ["x", "y"]).select(a_id, "region")
 
 
 def touching(b: DataFrame, labels: DataFrame, b_id: str) -> DataFrame:
-    """``b_id, region``: the regions of the 3x3 ring around each ``b``, nine at most; ``b`` may stand on a blocked cell."""
-    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    around = b.select(b_id, "x", "y", ring.alias("o")).select(b_id, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    return around.join(labels.select("x", "y", "region"), ["x", "y"]).select(b_id, "region").distinct()
+    """``b_id, region``: the regions of the 3x3 ring around each ``b``, nine at most; ``b`` may stand on a blocked cell.
+
+    Labels are spread along rows first and down columns then; neighbours mostly have one region, so that
+    is a few rows a cell, where the ring would be nine. A label is never broadcast, as there is one for each cell.
+    """
+    near = lambda c: F.explode(F.array(*[F.col(c) + F.lit(i) for i in (-1, 0, 1)])).alias(c)
+    along = labels.select(near("x"), "y", "region").distinct()
+    around = along.select("x", near("y"), "region").distinct()
+    return b.select(b_id, "x", "y").join(around.hint("merge"), ["x", "y"]).select(b_id, "region").distinct()
 
 
 def reachable(a: DataFrame, b: DataFrame, labels: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -335,16 +343,23 @@ def reachable(a: DataFrame, b: DataFrame, labels: DataFrame, a_id: str, b_id: st
 
     ``labels`` gives the region of each passable cell. Pairs are as many as a region's a times
     its b; where few would be read, ``standing`` and ``touching`` say the same in a row or nine each.
+    A region that no ``a`` stands in is left out before its ring is made. Pairs are made distinct only for
+    an ``a`` of several regions, as those of any other are distinct already.
     """
-    return standing(a, labels, a_id).join(touching(b, labels, b_id), "region").select(a_id, b_id).distinct()
+    stands = written(standing(a, labels, a_id).distinct(), "standing")
+    touches = touching(b, labels.join(stands.select("region").distinct(), "region", "left_semi"), b_id)
+    several = stands.groupBy(a_id).count().filter("count > 1").select(a_id)
+    pairs = lambda some: touches.join(some, "region").select(a_id, b_id)
+    once = pairs(stands.join(several, a_id, "left_anti"))
+    if several.isEmpty():
+        return once
+    return once.unionByName(pairs(stands.join(several, a_id, "left_semi")).distinct())
 
 
 def feasible_sets(sets: DataFrame, available: DataFrame) -> DataFrame:
     """Sets ``(set_id, members map)`` all of whose members are available."""
     need = sets.select("set_id", F.explode_outer(F.map_keys("members")).alias("item"))
     have = available.select("item").distinct().withColumn("have", F.lit(1))
-    A region that no ``a`` stands in is left out before its ring is made. Pairs are made distinct only for
-    an ``a`` of several regions, as those of any other are distinct already.
     counted = need.join(have, "item", "left").groupBy("set_id").agg(F.count("item").alias("need"), F.count("have").alias("have"))
     return counted.filter("need = have").select("set_id")
 
