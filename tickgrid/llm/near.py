@@ -11,8 +11,8 @@ shingles may be told from a sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +122,40 @@ def _entries(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, set_id long, n int, at int")
 
 
+#: Fingerprints of a set in ``fingerprint_entries``, bytes of one that alike sets must share to meet, and what a further fingerprint turns the hashes by.
+FINGERPRINTS, EQUAL_BYTES, TURN = 2, 4, np.uint64(0x9E3779B97F4A7C15)
+_KEYS = np.array(list(combinations(range(8), EQUAL_BYTES)))
+
+
+def fingerprint_keys(own: np.ndarray) -> np.ndarray:
+    """Positional keys of a set's SimHash fingerprints: what each choice of EQUAL_BYTES of the eight bytes holds."""
+    found, hashes = [], own.view(np.uint64)
+    for k in range(FINGERPRINTS):
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        held = np.packbits(2 * ones > len(hashes), bitorder="little")[_KEYS].astype(np.uint64)
+        value = (held << (np.arange(EQUAL_BYTES, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+        found.append(value | (np.uint64(k * len(_KEYS)) + np.arange(len(_KEYS), dtype=np.uint64)) << np.uint64(32))
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * TURN
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ (hashes >> np.uint64(31))
+    return np.concatenate(found).view(np.int64)
+
+
+def fingerprint_entries(docs: DataFrame, n: int) -> DataFrame:
+    """``token, set_id, n, at``: positional keys of each text's fingerprints, an inverted index of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                sets = [grams(t.as_py()) for t in batch.column(0).slice(at, 200)]
+                keys = [fingerprint_keys(s) for s in sets]
+                each = len(keys[0])
+                columns = [np.concatenate(keys), np.repeat([_set_id(s) for s in sets], each), np.repeat([len(s) for s in sets], each), np.zeros(each * len(sets))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32))], ["token", "set_id", "n", "at"])
+
+    return docs.select("text").mapInArrow(run, "token long, set_id long, n int, at int")
+
+
 def _size_classes(n: int) -> list[int]:
     """The largest sizes of the classes in which a set of ``n`` shingles may meet an alike one: by the larger set of a pair."""
     top, found = 1, []
@@ -222,7 +256,7 @@ def _alike(docs: DataFrame, signatures: DataFrame, pairs: DataFrame) -> DataFram
     return written(both.filter((PARTS_ALIKE + PARTS) * shared >= PARTS_ALIKE * (F.size("gu") + F.size("gv"))).select("u", "v"), "alike")
 
 
-def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
+def links(docs: DataFrame, signatures: DataFrame, n: int, index: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Edges ``(u, v)`` over set ids whose components are those of all near copies.
 
     ``signatures`` has ``set_id, n, signature`` of each set once, with the smallest doc_id of
@@ -233,10 +267,11 @@ def links(docs: DataFrame, signatures: DataFrame, n: int) -> DataFrame:
     compared with all sets of other components, each pair once. Where more are outside, many
     unlike texts merely share the shingle; the sets of such shingles meet by ``part_keys``
     instead. So a group of near copies of any size costs a few rows a set, a shingle at most
-    UNLIKE_LIMIT pairs a set, and no link is lost.
+    UNLIKE_LIMIT pairs a set, and no link is lost. With another ``index`` than that of prefix
+    shingles, sets meet by its keys; no link between sets that share one is lost.
     """
     # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
-    entries = _entries(docs, n)
+    entries = (index or _entries)(docs, n)
     counts = written(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "held")
     repeated = may_hold(entries, "token", counts).filter("may_hold").drop("may_hold")
     shared = written(repeated.join(counts, "token"), "postings")
@@ -272,17 +307,17 @@ def _unlike_pairs(placed: DataFrame) -> DataFrame:
     return _pairs(minor, placed, once)
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, index: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """``doc_id, set_id, component, component_id`` for every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reachable over texts whose sets of five-word
     shingles have a Jaccard similarity of 0.8 or more (null where the whole component has
-    none). Null and empty texts are alike; other columns are ignored.
+    none). Null and empty texts are alike; other columns are ignored. ``index`` is that of ``links``.
     """
     marks = written(docs.select("doc_id", "text").mapInArrow(_marks, "doc_id long, set_id long, n int, signature array<long>"), "marks")
     signatures = written(marks.groupBy("set_id").agg(F.min("n").alias("n"), F.min("signature").alias("signature"), F.min("doc_id").alias("doc_id")), "signatures")
     marks = marks.select("doc_id", "set_id")
-    labels = written(connected_components(links(docs, signatures, marks.count())).withColumnRenamed("node", "set_id"), "components")
+    labels = written(connected_components(links(docs, signatures, marks.count(), index)).withColumnRenamed("node", "set_id"), "components")
     low = marks.groupBy("set_id").agg(F.min("doc_id").alias("low"))
     grouped = written(low.join(labels, "set_id", "left").select("set_id", "low", F.coalesce("component", "set_id").alias("component")), "grouped")
     lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
