@@ -46,3 +46,16 @@ def test_stage_links_alike_texts_that_share_a_fingerprint_key(spark, monkeypatch
     assert 2 * linked > alike > 100
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, rows, "").collect()) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_stage_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    r = random.Random(2)
+    words, n = [f"w{i}" for i in range(5000)], 60
+    own = r.choices(words, k=200)
+    texts = [" ".join([*own[: 3 * i], "new", *own[3 * i + 1 :]]) for i in range(n)] + [" ".join(r.choices(words, k=200)) for _ in range(n)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    met = []
+    join = near._may_be_alike
+    monkeypatch.setattr(near, "_may_be_alike", lambda pairs, signatures: met.append(pairs.count()) or join(pairs, signatures))
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, rows, "").collect()) == [0, *range(n, 2 * n)]
+    assert n - 1 <= sum(met) < 12 * n, met

@@ -268,15 +268,18 @@ def links(docs: DataFrame, signatures: DataFrame, n: int, index: Callable[[DataF
     unlike texts merely share the shingle; the sets of such shingles meet by ``part_keys``
     instead. So a group of near copies of any size costs a few rows a set, a shingle at most
     UNLIKE_LIMIT pairs a set, and no link is lost. With another ``index`` than that of prefix
-    shingles, sets meet by its keys; no link between sets that share one is lost.
+    shingles, sets meet by its keys; no link between sets that share one is lost. Such keys
+    tell no places, by which most pairs of a shingle are ruled out, so there all keys of more
+    than two sets are linked through one set first.
     """
     # Prefixes are made twice, which is cheaper than to write or shuffle those that no other set has.
     entries = (index or _entries)(docs, n)
     counts = written(entries.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1"), "held")
     repeated = may_hold(entries, "token", counts).filter("may_hold").drop("may_hold")
     shared = written(repeated.join(counts, "token"), "postings")
-    small = shared.filter(F.col("held") <= PAIR_LIMIT)
-    large = shared.filter(F.col("held") > PAIR_LIMIT)
+    paired = PAIR_LIMIT if index is None else min(PAIR_LIMIT, 2)
+    small = shared.filter(F.col("held") <= paired)
+    large = shared.filter(F.col("held") > paired)
     hubs = large.groupBy("token").agg(F.min(F.struct("at", "set_id", "n")).alias("hub")).select("token", "hub.*")
     edges = _alike(docs, signatures, _pairs(small, small, F.col("a.set_id") < F.col("b.set_id")).unionByName(_pairs(large, hubs, F.lit(True))).distinct())
     if large.isEmpty():
